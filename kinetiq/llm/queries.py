@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import packing, simhash, toxicity, wavelet
 
 
 def _table(spark, sf_dir, name):
@@ -13,6 +13,18 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash,)}
+def op2_toxicity(spark, sf_dir):
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op10_wavelet(spark, sf_dir):
+    return wavelet.round_trip(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op6_packing, op10_wavelet)}
 
 ORACLES: dict[str, str] = {}
