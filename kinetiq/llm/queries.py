@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, substring, toxicity, wavelet
+from . import decontam, packing, simhash, substring, toxicity, wavelet
 
 
 def _table(spark, sf_dir, name):
@@ -17,6 +17,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_decontam(spark, sf_dir):
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_substring(spark, sf_dir):
     return substring.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,6 @@ def op10_wavelet(spark, sf_dir):
     return wavelet.round_trip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op5_substring, op6_packing, op10_wavelet)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_decontam, op5_substring, op6_packing, op10_wavelet)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_decontam": decontam.ORACLE}
