@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, simhash, substring, toxicity, warc, wavelet
+from . import decontam, packing, sharding, simhash, substring, toxicity, warc, wavelet
 
 
 def _table(spark, sf_dir, name):
@@ -29,6 +29,10 @@ def op6_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_sharding(spark, sf_dir):
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark, sf_dir):
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -37,6 +41,6 @@ def op10_wavelet(spark, sf_dir):
     return wavelet.round_trip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_decontam, op5_substring, op6_packing, op9_warc, op10_wavelet)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_decontam, op5_substring, op6_packing, op8_sharding, op9_warc, op10_wavelet)}
 
 ORACLES: dict[str, str] = {"op4_decontam": decontam.ORACLE, "op9_warc": warc.ORACLE}
