@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, sharding, simhash, substring, toxicity, warc, wavelet
+from . import ann, decontam, packing, sharding, simhash, substring, toxicity, warc, wavelet
 
 
 def _table(spark, sf_dir, name):
@@ -17,6 +17,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_ann(spark, sf_dir):
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_decontam(spark, sf_dir):
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -41,6 +45,6 @@ def op10_wavelet(spark, sf_dir):
     return wavelet.round_trip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_decontam, op5_substring, op6_packing, op8_sharding, op9_warc, op10_wavelet)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_ann, op4_decontam, op5_substring, op6_packing, op8_sharding, op9_warc, op10_wavelet)}
 
 ORACLES: dict[str, str] = {"op4_decontam": decontam.ORACLE, "op9_warc": warc.ORACLE}
