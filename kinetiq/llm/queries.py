@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, packing, sharding, simhash, substring, toxicity, warc, wavelet
+from . import ann, decontam, packing, pii, sharding, simhash, substring, toxicity, warc, wavelet
 
 
 def _table(spark, sf_dir, name):
@@ -33,6 +33,10 @@ def op6_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark, sf_dir):
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark, sf_dir):
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,6 @@ def op10_wavelet(spark, sf_dir):
     return wavelet.round_trip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_ann, op4_decontam, op5_substring, op6_packing, op8_sharding, op9_warc, op10_wavelet)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_ann, op4_decontam, op5_substring, op6_packing, op7_pii, op8_sharding, op9_warc, op10_wavelet)}
 
 ORACLES: dict[str, str] = {"op4_decontam": decontam.ORACLE, "op9_warc": warc.ORACLE}
