@@ -1,25 +1,59 @@
-"""The corpus pipeline: stages over documents, each an operator of kinetiq.llm."""
+"""The corpus pipeline: five stages over documents, each an operator of kinetiq.llm.
+
+Every stage reads all rows that the one before kept and takes (spark, docs, sf_dir). All but the last return the columns
+of documents; the last returns a row per packed piece.
+"""
 
 from __future__ import annotations
 
-from kinetiq.llm import simhash
+from kinetiq.llm import decontam, packing, pii, simhash, toxicity
+from kinetiq.llm.store import cut
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Documents that the classifier rejects go."""
+    return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: the one with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontaminate(spark, docs, sf_dir):
+    """Documents that hold a benchmark passage go."""
+    return decontam.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark, docs, sf_dir):
+    """Personal data in the texts is masked; every document stays."""
+    return pii.redact(docs)
+
+
+def pack(spark, docs, sf_dir):
+    """The texts as token pieces in sequences of at most 2048."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("personal_data", mask_personal_data),
+    ("packing", pack),
+]
 
 #: Stages that score, hash or tokenise have no SQL counterpart; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    from kinetiq.llm.store import cut
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each result is written to the shared folder and read again."""
+    docs = _table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
