@@ -70,7 +70,8 @@ def _hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
         F.when(F.get("w", F.col("at") + j) == F.get("around", F.lit(i)), F.lit(1 << i)).otherwise(F.lit(0))
         for i, j in enumerate(AROUND)
     ]
-    met = places.join(F.broadcast(seeds), "seed").withColumn("bits", reduce(lambda a, b: a + b, same))
+    # exploding the one value keeps the optimizer from writing its long expression into every use of it
+    met = places.join(F.broadcast(seeds), "seed").withColumn("bits", F.explode(F.array(reduce(lambda a, b: a + b, same))))
     return met.withColumn("agree", _agreement()).filter("agree >= need").select("key", "doc_id", "item_id", "agree")
 
 
