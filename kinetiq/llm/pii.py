@@ -170,7 +170,8 @@ class Trees:
 def rewritten(kind: str, span: str, pick: int) -> str:
     """A base span in one of the looser forms of its kind."""
     if kind == "email":
-        return [span.replace("@", " at ").replace(".", " dot "), span.replace("@", "(at)"), span.replace("@", " [at] ")][pick % 3]
+        local, _, domain = span.partition("@")
+        return [f"{local} at {domain.replace('.', ' dot ')}", f"{local}(at){domain}", f"{local} [at] {domain}"][pick % 3]
     if kind == "ip":
         return [span.replace(".", "[.]"), span.replace(".", " . "), span.replace(".", "(.)")][pick % 3]
     digits = _ODD.sub("", span)
