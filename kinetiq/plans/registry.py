@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from kinetiq.functions import geometry as G
 from kinetiq.functions import physics as P
 from kinetiq.operators import aggregates as A
+from kinetiq.operators import cycles as C
 from kinetiq.operators import joins as J
 from kinetiq.operators import ordered as E
 from kinetiq.plans import adapters as V
 from kinetiq.plans.adapters import with_views
+from kinetiq.sources import frames as S
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -486,3 +488,114 @@ def g4_absorb(spark, d):
 @query(with_views("SELECT subject_id, frame FROM signal WHERE subject_id IN (SELECT subject_id FROM signal GROUP BY 1 HAVING count(*) >= 70)", "signal"))
 def g5_drop_short(spark, d):
     return A.drop_short(V.signal(spark, d), KEY, 70).select(*KEY, *ORDER)
+
+
+# Cycles
+
+
+def _cycles(spark, d):
+    """Feature frames in cycles of 20, the last one shorter."""
+    f = V.feat(spark, d).withColumn("cycle", F.expr("frame div 20")).withColumn("at", F.expr("frame % 20"))
+    n = f.groupBy("subject_id", "cycle").agg(F.count("*").alias("length")).filter("length >= 2")
+    return f.join(n, ["subject_id", "cycle"])
+
+
+_CYCLE = """, c AS (SELECT subject_id, frame // 20 AS cycle, frame % 20 AS at, f FROM feat),
+n AS (SELECT subject_id, cycle, count(*) AS length FROM c GROUP BY ALL HAVING count(*) >= 2),
+g AS (SELECT *, phase * (length - 1) / 9.0::DOUBLE AS place, floor(place)::BIGINT AS lo, least(floor(place)::BIGINT + 1, length - 1) AS hi, place - floor(place) AS w
+  FROM n, range(10) t(phase)),
+s AS (SELECT g.subject_id, g.cycle, phase, unnest(range(28)) AS dim, unnest(a.f) * (1 - w) + unnest(b.f) * w AS v
+  FROM g JOIN c a ON a.subject_id = g.subject_id AND a.cycle = g.cycle AND a.at = lo JOIN c b ON b.subject_id = g.subject_id AND b.cycle = g.cycle AND b.at = hi),
+b AS (SELECT subject_id, phase, dim, avg(v) AS mean, greatest(stddev_pop(v), 1e-6) AS std FROM s GROUP BY ALL)"""
+
+
+@query(with_views(_CYCLE + " SELECT subject_id, cycle, phase, dim, round(v, 4) AS v FROM s WHERE dim < 3", "feat"))
+def f4_resample(spark, d):
+    out = C.resample(_cycles(spark, d), ["subject_id", "cycle"], 10)
+    return out.select("subject_id", "cycle", "phase", F.posexplode("f").alias("dim", "v")).filter("dim < 3").withColumn("v", r("v"))
+
+
+@query(with_views(_CYCLE + " SELECT subject_id, phase, dim, round(mean, 4) AS mean, round(std, 4) AS std FROM b", "feat"))
+def d2_build_baseline(spark, d):
+    out = C.baseline(C.resample(_cycles(spark, d), ["subject_id", "cycle"], 10), ["subject_id"])
+    return out.select("subject_id", "phase", "dim", r("mean").alias("mean"), r("std").alias("std"))
+
+
+@query(with_views(_CYCLE + """, q AS (SELECT subject_id, cycle, phase, sqrt(avg(((v - mean) / std) ** 2)) AS rms FROM s JOIN b USING (subject_id, phase, dim) GROUP BY ALL)
+SELECT subject_id, cycle, round(avg(rms), 4) AS score FROM q GROUP BY ALL""", "feat"))
+def d4_score_cycles(spark, d):
+    x = C.resample(_cycles(spark, d), ["subject_id", "cycle"], 10)
+    out = C.score_cycles(x, C.baseline(x, ["subject_id"]), ["subject_id", "cycle"], ["subject_id"])
+    return out.withColumn("score", r("score"))
+
+
+@query(with_views(_CYCLE + " SELECT (subject_id % 2 = 0) AS normal, phase, dim, round(avg(v), 4) AS mean FROM s GROUP BY ALL", "feat"))
+def d26_mean_cycle(spark, d):
+    x = C.resample(_cycles(spark, d), ["subject_id", "cycle"], 10).withColumn("normal", F.col("subject_id") % 2 == 0)
+    return C.mean_cycle(x, ["normal"]).withColumn("mean", r("mean"))
+
+
+# More summaries and selections
+
+
+@query(with_views("SELECT kind, count(*) AS n, round(avg(x), 4) AS mean, count(*) FILTER (WHERE velocity >= 0.3) AS anomalies FROM signal GROUP BY 1", "signal"))
+def d10_cluster_summary(spark, d):
+    s = V.signal(spark, d)
+    return s.groupBy("kind").agg(F.count("*").alias("n"), r(F.avg("x")).alias("mean"), F.count(F.when(F.col("velocity") >= 0.3, 1)).alias("anomalies"))
+
+
+@query("""SELECT c_nationkey AS team, round(avg(c_acctbal), 6) AS mean, count(*) FILTER (WHERE c_acctbal > 7000) AS over FROM customer GROUP BY 1""")
+def d20_team_averages(spark, d):
+    c = V.table(spark, d, "customer")
+    return c.groupBy(F.col("c_nationkey").alias("team")).agg(r(F.avg("c_acctbal"), 6).alias("mean"), F.count(F.when(F.col("c_acctbal") > 7000, 1)).alias("over"))
+
+
+@query("""WITH k AS (SELECT o_custkey, o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS n FROM orders)
+SELECT o_orderpriority AS gait, round(avg(o_totalprice), 5) AS mean, count(*) AS n FROM k WHERE n <= 5 GROUP BY 1""")
+def d6_gait_summary(spark, d):
+    """At most five sequences of each subject and kind, then the mean of each kind."""
+    w = A.top_n(V.workout_rows(spark, d), ["user_id", "label"], ["workout_id"], 5)
+    return w.groupBy(F.col("label").alias("gait")).agg(r(F.avg("fatigue_score"), 5).alias("mean"), F.count("*").alias("n"))
+
+
+@query(with_views("SELECT subject_id, frame, round(x, 4) AS x FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY t DESC, frame DESC) AS n FROM signal) WHERE n <= 50 AND subject_id % 7 = 3", "signal"))
+def g6_person_history(spark, d):
+    own = A.top_n(V.signal(spark, d).filter("subject_id % 7 = 3"), KEY, [F.desc("t"), F.desc("frame")], 50)
+    return own.select(*KEY, *ORDER, r("x").alias("x"))
+
+
+@query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS n FROM orders) SELECT o_custkey AS user_id, o_orderkey AS workout_id FROM k WHERE n <= 3""")
+def g8_sample_per_group(spark, d):
+    return A.top_n(V.workout_rows(spark, d), ["user_id", "label"], ["workout_id"], 3).select("user_id", "workout_id")
+
+
+@query("""SELECT o_custkey AS user_id, o_orderkey AS workout_id, round(CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE o_totalprice END, 2) AS fatigue_score FROM orders""")
+def a8_upsert(spark, d):
+    w = V.workout_rows(spark, d).select("user_id", "workout_id", "fatigue_score")
+    changed = w.filter("workout_id % 10 = 0").withColumn("fatigue_score", F.lit(0.0))
+    return S.upsert(w, changed, ["workout_id"]).withColumn("fatigue_score", r("fatigue_score", 2))
+
+
+@query(with_views("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(g, 4) AS peak_g, round(1 / (1 + exp(-(-10.2::DOUBLE + 0.0433::DOUBLE * g + 0.000873::DOUBLE * 50 * g - 0.00000092::DOUBLE * g * 50 * g))), 6) AS probability
+FROM (SELECT *, speed / 0.006::DOUBLE * (pi() / 2) / 9.81::DOUBLE AS g FROM impact_rows)""", "impact_rows"))
+def b23_ground_impact(spark, d):
+    i = V.impact_rows(spark, d).withColumn("i", P.ground_impact(F.col("speed")))
+    return i.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r("i.peak_g").alias("peak_g"), r("i.probability", 6).alias("probability"))
+
+
+@query(with_views("""SELECT vec_id, round(CASE WHEN greatest(abs(a), abs(b)) < 1e-8 THEN 0 ELSE abs(a - b) / greatest(abs(a), abs(b)) * 100 END, 3) AS asymmetry
+FROM (SELECT vec_id, joints[9].y AS a, joints[10].y AS b FROM pose14)""", "pose14"))
+def b14_asymmetry_index(spark, d):
+    j = lambda i: F.get("joints", i)["y"]
+    return V.pose14(spark, d).select("vec_id", r(G.asymmetry_index(j(8), j(9)), 3).alias("asymmetry"))
+
+
+@query(with_views("""SELECT a.subject_id, a.frame, count(b.frame) AS covering FROM signal a LEFT JOIN (SELECT subject_id, t AS st, t + 86400 AS en, frame FROM signal WHERE kind = 'purchase') b
+ON a.subject_id = b.subject_id AND a.t >= b.st AND a.t < b.en WHERE a.kind = 'click' GROUP BY ALL""", "signal"))
+def c19_risks_at(spark, d):
+    """How many risk segments of its subject cover each time point."""
+    s = V.signal(spark, d)
+    seg = s.filter("kind = 'purchase'").select("subject_id", F.col("t").alias("start"), (F.col("t") + 86400).alias("end"))
+    at = s.filter("kind = 'click'").select(*KEY, *ORDER, "t")
+    n = J.in_segments(at, seg, KEY, "t").groupBy(*KEY, *ORDER).agg(F.count("*").alias("covering"))
+    return at.select(*KEY, *ORDER).join(n, [*KEY, *ORDER], "left").fillna(0, ["covering"])
