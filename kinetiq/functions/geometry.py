@@ -93,3 +93,25 @@ def bbox_iou(a: str, b: str) -> Column:
     area = lambda p: (c(p, "x2") - c(p, "x1")) * (c(p, "y2") - c(p, "y1"))
     union = area(a) + area(b) - w * h
     return F.when(union > 0, w * h / union).otherwise(0.0)
+
+
+def fppa(hip: Column, knee: Column, ankle: Column) -> Column:
+    """Degrees by which the knee leaves the line from hip to ankle: negative (valgus) where the cross product is positive."""
+    ax, ay, kx, ky = ankle["x"] - hip["x"], ankle["y"] - hip["y"], knee["x"] - hip["x"], knee["y"] - hip["y"]
+    length = F.sqrt(ax * ax + ay * ay)
+    cross = ax * ky - ay * kx
+    away = F.abs(cross) / length
+    angle = F.degrees(F.atan2(away, F.greatest(length * 0.5, F.lit(1e-8))))
+    return F.when((length < 1e-8) | (away < 1e-8), 0.0).otherwise(F.when(cross > 0, -angle).otherwise(angle))
+
+
+def movement_phase(at: Column, start: Column, end: Column) -> Column:
+    """Where a frame is in its segment: transition near the ends, ascending in the first half, descending in the second."""
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (at - start) / F.greatest(end - start - 1, F.lit(1))))
+    return F.when((p < 0.1) | (p > 0.9), "transition").when(p < 0.5, "ascending").otherwise("descending")
+
+
+def frame_phase(frame: Column, total: Column, segments: Column, anomaly: Column) -> Column:
+    """calibrating for the first max(30, fifth) frames or without segments, then anomaly or normal."""
+    early = frame < F.greatest(F.lit(30), F.floor(total * 0.2))
+    return F.when(early | (segments == 0), "calibrating").when(F.coalesce(anomaly, F.lit(False)), "anomaly").otherwise("normal")

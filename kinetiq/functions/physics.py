@@ -87,3 +87,38 @@ def ground_impact(speed: Column) -> Column:
     g = peak_g(speed, F.lit(DURATION_GROUND_S))
     p = concussion_probability(g, ROTATIONAL_PER_G * g)
     return F.struct(g.alias("peak_g"), p.alias("probability"), risk_level(p).alias("level"))
+
+
+def _ramp(value: Column, start: float, width: float, points: float) -> Column:
+    return F.least(F.greatest(value - start, F.lit(0.0)) / width, F.lit(1.0)) * points
+
+
+def concussion_composite(accel_g: Column, turn_deg: Column, frames: Column, rotation: Column, closing: Column) -> Column:
+    """0 to 100 from five ramps with a dead zone each, through a sigmoid."""
+    raw = _ramp(accel_g, 3.0, 12.0, 30.0) + _ramp(turn_deg, 30.0, 120.0, 25.0) + _ramp(frames, 1.0, 4.0, 15.0)
+    raw = raw + _ramp(rotation, 12.0, 23.0, 20.0) + _ramp(closing, 0.8, 2.2, 10.0)
+    return 100 / (1 + F.exp(-0.08 * (raw - 50)))
+
+
+#: Zone and part of the speed that reaches the head, by COCO keypoints of the struck person.
+ZONES = (((0, 1, 2, 3, 4), "head_to_head", 0.7), ((5, 6), "head_to_shoulder", 0.4), ((7, 8), "head_to_torso", 0.25), ((11, 12), "head_to_torso", 0.2), ((9, 10), "head_to_limb", 0.15))
+
+
+def contact_zone(keypoint: Column) -> Column:
+    zone, coupling = F.lit("head_to_limb"), F.lit(0.08)
+    for at, name, part in ZONES:
+        zone, coupling = F.when(keypoint.isin(*at), name).otherwise(zone), F.when(keypoint.isin(*at), part).otherwise(coupling)
+    return F.struct(zone.alias("zone"), coupling.alias("coupling"))
+
+
+def derive_metrics(v: Column) -> Column:
+    """Metrics from a 50-number vector: tens of it stand for head impact, exertion, recovery, movement and performance."""
+    ten = lambda k: F.slice(v, 10 * k + 1, 10)
+    mean = lambda k: F.aggregate(ten(k), F.lit(0.0), lambda s, x: s + x) / F.size(ten(k))
+    whole = lambda c: F.floor(c).cast("long")
+    hit = F.array_max(ten(0))
+    return F.struct(
+        whole((mean(0) * 0.6 + hit * 0.4) * 100).alias("concussion"), whole(mean(1) * 100).alias("fatigue"), whole((1 - mean(2)) * 100).alias("recovery"),
+        whole(mean(3) * 100).alias("movement"), whole(mean(4) * 100).alias("performance"), whole(60 + mean(1) * 140).alias("heart_rate"),
+        F.round(hit * 40, 1).alias("collision_velocity"), whole((1 - mean(1) * 0.5) * 100).alias("hydration"),
+    )

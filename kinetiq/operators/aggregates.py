@@ -126,3 +126,29 @@ def absorb(df: DataFrame, subject: str, frame: str, target, source) -> DataFrame
     moved = df.filter(F.col(subject) == source).crossJoin(F.broadcast(n))  # one row
     moved = moved.withColumn(frame, F.col(frame) + F.col("_n")).withColumn(subject, F.lit(target).cast(df.schema[subject].dataType)).drop("_n")
     return df.filter(F.col(subject) != source).unionByName(moved)
+
+
+#: A severity's factor, and what each injury scales and watches.
+SEVERITY = {"severe": 0.65, "moderate": 0.8, "mild": 0.9}
+SCALES = {
+    "acl": ("fppa",), "shoulder": ("angular_velocity",), "lower_back": ("trunk_lean", "hip_drop"), "hip": ("hip_drop",),
+    "hamstring": ("asymmetry",), "knee_general": ("fppa",),
+}
+
+
+def injury_modifiers(injuries: DataFrame, keys: list[str]) -> DataFrame:
+    """Threshold scales of each person: the product of the factors of the injuries (type, severity) that touch a metric."""
+    factor = F.lit(SEVERITY["mild"])
+    for name, value in SEVERITY.items():
+        factor = F.when(F.col("severity") == name, value).otherwise(factor)
+    out = []
+    for metric in ("fppa", "hip_drop", "trunk_lean", "asymmetry", "angular_velocity"):
+        types = [t for t, m in SCALES.items() if metric in m]
+        out.append(F.product(F.when(F.col("type").isin(*types), factor).otherwise(1.0)).alias(f"{metric}_scale"))
+    return injuries.groupBy(*keys).agg(*out)
+
+
+def sequence_summary(scores: DataFrame, keys: list[str], score: str, sequences: DataFrame | None = None) -> DataFrame:
+    """Mean, median, largest and number of cycle scores; sequences without cycles are kept with 0 cycles."""
+    out = scores.groupBy(*keys).agg(F.avg(score).alias("mean"), F.percentile(score, F.lit(0.5)).alias("median"), F.max(score).alias("most"), F.count(score).alias("cycles"))
+    return out if sequences is None else sequences.select(*keys).distinct().join(out, keys, "left").fillna(0, ["cycles"])

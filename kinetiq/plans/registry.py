@@ -599,3 +599,64 @@ def c19_risks_at(spark, d):
     at = s.filter("kind = 'click'").select(*KEY, *ORDER, "t")
     n = J.in_segments(at, seg, KEY, "t").groupBy(*KEY, *ORDER).agg(F.count("*").alias("covering"))
     return at.select(*KEY, *ORDER).join(n, [*KEY, *ORDER], "left").fillna(0, ["covering"])
+
+
+@query(with_views("""SELECT vec_id, round(CASE WHEN c > 0 THEN -1 ELSE 1 END * degrees(atan2(abs(c) / l, l * 0.5)), 3) AS fppa FROM (
+SELECT vec_id, ax * ky - ay * kx AS c, sqrt(ax * ax + ay * ay) AS l FROM (SELECT vec_id, joints[11].x - joints[7].x AS ax, joints[11].y - joints[7].y AS ay,
+  joints[9].x - joints[7].x AS kx, joints[9].y - joints[7].y AS ky FROM pose14))""", "pose14"))
+def b12_fppa(spark, d):
+    j = lambda i: F.get("joints", i)
+    return V.pose14(spark, d).select("vec_id", r(G.fppa(j(6), j(8), j(10)), 3).alias("fppa"))
+
+
+@query("""SELECT l_linenumber AS keypoint, CASE WHEN l_linenumber <= 4 THEN 'head_to_head' WHEN l_linenumber IN (5, 6) THEN 'head_to_shoulder' ELSE 'head_to_torso' END AS zone,
+CASE WHEN l_linenumber <= 4 THEN 0.7 WHEN l_linenumber IN (5, 6) THEN 0.4 ELSE 0.25 END::DOUBLE AS coupling, count(*) AS n FROM lineitem GROUP BY ALL""")
+def b20_contact_zone(spark, d):
+    t = V.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("keypoint"), P.contact_zone(F.col("l_linenumber")).alias("z"))
+    return t.groupBy("keypoint", F.col("z.zone").alias("zone"), F.col("z.coupling").alias("coupling")).agg(F.count("*").alias("n"))
+
+
+@query(with_views("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(100 / (1 + exp(-0.08::DOUBLE * (least(greatest(mass_a / 8 - 3, 0) / 12, 1) * 30 + least(greatest(mass_b - 30, 0) / 120, 1) * 25
+  + least(greatest(l_linenumber - 1, 0) / 4.0::DOUBLE, 1) * 15 + least(greatest(speed * 4 - 12, 0) / 23, 1) * 20 + least(greatest(speed - 0.8::DOUBLE, 0) / 2.2::DOUBLE, 1) * 10 - 50))), 4) AS p FROM impact_rows""", "impact_rows"))
+def b24_concussion_composite(spark, d):
+    i = V.impact_rows(spark, d)
+    p = P.concussion_composite(F.col("mass_a") / 8, F.col("mass_b"), F.col("l_linenumber").cast("double"), F.col("speed") * 4, F.col("speed"))
+    return i.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r(p).alias("p"))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT vec_id, list_avg(v[1:10]) AS a, list_max(v[1:10]) AS h, list_avg(v[11:20]) AS b, list_avg(v[21:30]) AS c FROM e)
+SELECT vec_id, floor((a * 0.6::DOUBLE + h * 0.4::DOUBLE) * 100)::BIGINT AS concussion, floor(b * 100)::BIGINT AS fatigue, floor((1 - c) * 100)::BIGINT AS recovery, floor(60 + b * 140)::BIGINT AS heart_rate FROM m""")
+def b28_derive_metrics(spark, d):
+    e = V.table(spark, d, "embeddings").select("vec_id", P.derive_metrics(F.col("embedding").cast("array<double>")).alias("m"))
+    return e.select("vec_id", "m.concussion", "m.fatigue", "m.recovery", "m.heart_rate")
+
+
+@query(with_views("""SELECT subject_id, frame, CASE WHEN p < 0.1 OR p > 0.9 THEN 'transition' WHEN p < 0.5 THEN 'ascending' ELSE 'descending' END AS phase
+FROM (SELECT subject_id, frame, least(1, greatest(0, (frame % 20) / 19.0::DOUBLE)) AS p FROM signal)""", "signal"))
+def b31_movement_phase(spark, d):
+    s = V.signal(spark, d)
+    return s.select(*KEY, *ORDER, G.movement_phase((F.col("frame") % 20).cast("double"), F.lit(0.0), F.lit(20.0)).alias("phase"))
+
+
+@query(with_views("""SELECT subject_id, frame, CASE WHEN frame < greatest(30, floor(count(*) OVER (PARTITION BY subject_id) * 0.2)) THEN 'calibrating' WHEN coalesce(velocity >= 0.3, false) THEN 'anomaly' ELSE 'normal' END AS phase FROM signal""", "signal"))
+def b32_frame_phase_label(spark, d):
+    s = V.signal(spark, d)
+    n = s.groupBy("subject_id").agg(F.count("*").alias("n"))
+    return s.join(n, "subject_id").select(*KEY, *ORDER, G.frame_phase(F.col("frame"), F.col("n"), F.lit(1), F.col("velocity") >= 0.3).alias("phase"))
+
+
+@query(with_views("""SELECT kind, count(*) FILTER (WHERE x IS NOT NULL) AS cycles, round(avg(x), 4) AS mean, round(quantile_cont(x, 0.5), 4) AS median, round(max(x), 4) AS most FROM signal GROUP BY 1""", "signal"))
+def d5_sequence_summary(spark, d):
+    out = A.sequence_summary(V.signal(spark, d), ["kind"], "x")
+    return out.select("kind", "cycles", r("mean").alias("mean"), r("median").alias("median"), r("most").alias("most"))
+
+
+@query("""SELECT o_custkey % 500 AS user_id, round(product(CASE WHEN o_orderkey % 7 IN (0, 5) THEN f ELSE 1 END), 6) AS fppa, round(product(CASE WHEN o_orderkey % 7 IN (2, 3) THEN f ELSE 1 END), 6) AS hip_drop
+FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 0.65::DOUBLE WHEN '2-HIGH' THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END AS f FROM orders WHERE o_orderkey % 11 = 0) GROUP BY 1""")
+def d23_injury_modifiers(spark, d):
+    kinds = F.array(*(F.lit(k) for k in ("acl", "shoulder", "lower_back", "hip", "hamstring", "knee_general", "unknown")))
+    severity = F.when(F.col("o_orderpriority") == "1-URGENT", "severe").when(F.col("o_orderpriority") == "2-HIGH", "moderate").otherwise("mild")
+    o = V.table(spark, d, "orders").filter("o_orderkey % 11 = 0")
+    i = o.select((F.col("o_custkey") % 500).alias("user_id"), F.get(kinds, (F.col("o_orderkey") % 7).cast("int")).alias("type"), severity.alias("severity"))
+    m = A.injury_modifiers(i, ["user_id"])
+    return m.select("user_id", r("fppa_scale", 6).alias("fppa"), r("hip_drop_scale", 6).alias("hip_drop"))
