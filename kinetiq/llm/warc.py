@@ -58,13 +58,17 @@ def record(page_id: int | None, url: str | None, payload: bytes, response: bool,
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + _END + block + _END
 
 
-def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and block of the record that ``raw`` starts with."""
-    head, _, rest = raw.partition(_END)
+def _fields(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "surrogatepass").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
+    return dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
+
+
+def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of the record that ``raw`` starts with."""
+    head, _, rest = raw.partition(_END)
+    fields = _fields(head)
     size = int(fields["Content-Length"])
     if rest[size : size + 4] != _END:
         raise ValueError("a WARC record is cut short")
@@ -173,47 +177,68 @@ def write_bundles(pages: DataFrame, least: int = 0, frame_bytes: int = FRAME, bu
     later = same.distinct().join(first.select("sha", "n", "first_id"), ["sha", "n"]).select(
         F.col("page_id").alias("_p"), F.col("sha").alias("_s"), "first_id"
     )
-    known = named.join(later, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("sha") == F.col("_s")), "left")
+    # merged, not broadcast, at every size: the looked-up side grows with the pages
+    known = named.join(later.hint("merge"), F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("sha") == F.col("_s")), "left")
     ordered = known.select("page_id", "url", "html", "first_id").sortWithinPartitions("page_id")
     folder = new_path(pages.sparkSession, "warc")
     return folder, cut(ordered.mapInArrow(_writer(folder, frame_bytes, bundle_bytes), INDEX), "warc-index")
 
 
-ROWS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
 _ROWS = pa.schema(
-    [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("intact", pa.bool_())]
+    [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+    + [("bundle", pa.string()), ("frame", pa.int32()), ("at", pa.int64()), ("size", pa.int64()), ("intact", pa.bool_())]
 )
+FOUND = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+PLACED = FOUND + ", bundle string, frame int, at long, size long, intact boolean"
+
+
+def records(content: bytes):
+    """(frame, place, size, headers, block) of every record of a bundle, a frame in memory at a time."""
+    table = seek_table(content)
+    for k in range(len(table)):
+        raw, at = frame(content, table, k), 0
+        while at < len(raw):
+            head = raw.index(_END, at) + 4
+            fields = _fields(raw[at : head - 4])
+            end = head + int(fields["Content-Length"])
+            if raw[end : end + 4] != _END:
+                raise ValueError("a WARC record is cut short")
+            yield k, at, end + 4 - at, fields, raw[head:end]
+            at = end + 4
 
 
 def _reader(batches):
-    """Every record by its index entry; frames are decompressed one at a time."""
     for batch in batches:
         out = []
-        for content, places in zip(batch.column("content"), batch.column("places")):
-            content = content.as_py()
-            table, open_frame, raw = seek_table(content), -1, b""
-            for place in sorted(places.as_py(), key=lambda p: (p["frame"], p["at"])):
-                if place["frame"] != open_frame:
-                    open_frame, raw = place["frame"], frame(content, table, place["frame"])
-                fields, block = parse(raw[place["at"] : place["at"] + place["size"]])
+        for name, content in zip(batch.column("bundle").to_pylist(), batch.column("content")):
+            for k, at, size, fields, block in records(content.as_py()):
                 kind, sha = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                intact = page_of(fields["WARC-Record-ID"]) == place["page_id"] and (kind == "revisit" or digest(block) == sha)
                 refers = page_of(fields["WARC-Refers-To"]) if kind == "revisit" else None
-                size = len(block) if kind == "response" else int(fields["X-Payload-Length"])
-                out.append((page_of(fields["WARC-Record-ID"]), size, sha, kind, refers, intact))
+                n = len(block) if kind == "response" else int(fields["X-Payload-Length"])
+                intact = kind == "revisit" or digest(block) == sha
+                out.append((page_of(fields["WARC-Record-ID"]), n, sha, kind, refers, name, k, at, size, intact))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ROWS)], schema=_ROWS)
 
 
 def read_bundles(spark, folder: str, index: DataFrame) -> DataFrame:
-    """What the archives say of each record, read through the index and checked against it."""
+    """What the archives say of each record. A record that isn't where the index has it, or is damaged, is an error."""
     if index.isEmpty():
-        return spark.createDataFrame([], ROWS).drop("intact")
-    places = index.groupBy("bundle").agg(F.collect_list(F.struct("page_id", "frame", "at", "size")).alias("places"))
+        return spark.createDataFrame([], FOUND)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content")
-    rows = named.join(places, "bundle").select("content", "places").mapInArrow(_reader, ROWS)
-    checked = F.when(F.col("intact"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record is damaged")))
-    return rows.withColumn("payload_digest", checked.cast("string")).drop("intact")
+    rows = named.mapInArrow(_reader, PLACED)
+    place = index.select(*(F.col(c).alias(f"i_{c}") for c in index.columns))
+    at = [F.col(c) == F.col(f"i_{c}") for c in ("bundle", "frame", "at")]
+    met = rows.join(place, at, "full")
+    right = F.col("intact") & (F.col("size") == F.col("i_size")) & F.col("page_id").eqNullSafe(F.col("i_page_id"))
+    error = F.raise_error(F.lit("a record is damaged or not where the index has it")).cast("string")
+    checked = met.withColumn("payload_digest", F.when(F.coalesce(right, F.lit(False)), F.col("payload_digest")).otherwise(error))
+    return checked.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def read_page(content: bytes, frame_number: int, at: int, size: int) -> tuple[dict[str, str], bytes]:
+    """One record by its index entry: only its frame is decompressed."""
+    return parse(frame(content, seek_table(content), frame_number)[at : at + size])
 
 
 def round_trip(pages: DataFrame, least: int = 0, frame_bytes: int = FRAME, bundle_bytes: int = BUNDLE) -> DataFrame:

@@ -119,6 +119,7 @@ def test_bundles_seek_by_frame():
     assert len(table) == len({p[0] for p in places}) > 1
     for raw, (k, at, size) in zip(raws, places):
         assert warc.frame(content, table, k)[at : at + size] == raw
+        assert warc.read_page(content, k, at, size) == warc.parse(raw)
     with pytest.raises(ValueError):
         warc.seek_table(content[:-1])
 
