@@ -3,13 +3,14 @@
 A passage is judged by windows of ``WINDOW`` words; a window whose words also start anywhere else is repeated, and every
 word under a repeated window goes. Windows are not shuffled one by one. The graph's edges are token k-mers, kept only
 where a window's smallest k-mer (by hash, the first of equals) is: equal windows keep equal edges, and about one word in
-thirteen has one. An edge comes with its context, all words of the windows that chose it.
+fourteen has one. An edge comes with its context, all words of the windows that chose it.
 
 Edges are counted and joined with their counts. One that occurs once has no repeated window. One that occurs more often
-is nonbranching if its context is the same everywhere: then all its windows are repeated, wherever it occurs, and
-neighbouring such edges of a source compact into one path, a row of source coordinates. At the others, where paths branch
-(the borders of repeated passages), the windows are read from the text again and counted by edge and content, so that
-the result holds for each window and not only for its edge.
+is nonbranching where its context occurs more often too: then all its windows are repeated, and neighbouring such edges of
+a source compact into one path, a row of source coordinates. Where paths branch (the borders of repeated passages and
+changed words in near copies) the windows of contexts that occur once are read from the text again, with those of one
+occurrence of each other context of the edge, and counted by edge and content. So the result holds for each window and
+not only for its edge, and a passage that a third of all documents share is read at its borders only.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, drop
 
-WINDOW, EDGE = 35, 10
+WINDOW, EDGE = 35, 8
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PLACE = 24  # bits for a word's place in the order of k-mers of a window
 
@@ -155,9 +156,17 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     edges = cut(texts.select("key", "text").mapInArrow(_edge_rows, "key long, edge long, context long, first int, last int"), "edges")
     degree = edges.groupBy("edge").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"))
     degree = degree.filter("n > 1").select("edge", (F.col("lo") < F.col("hi")).alias("branches"))
-    repeated = cut(edges.join(degree, "edge").select("key", "edge", "first", "last", "branches"), "repeated")
-    paths = compact(repeated.filter("not branches").select("key", "first", "last"))
-    borders = repeated.filter("branches").groupBy("key").agg(F.collect_set(F.struct("edge", "first", "last")).alias("branches"))
+    repeated = cut(edges.join(degree, "edge").select("key", "edge", "context", "first", "last", "branches"), "repeated")
+    drop(edges)
+    branching = repeated.filter("branches").drop("branches")
+    contexts = branching.groupBy("edge", "context").agg(F.count("*").alias("m"), F.min(F.struct("key", "first", "last")).alias("one"))
+    contexts = cut(contexts, "contexts")
+    settled = branching.join(contexts.filter("m > 1").select("edge", "context"), ["edge", "context"], "left_semi")
+    sure = repeated.filter("not branches").select("key", "first", "last").union(settled.select("key", "first", "last"))
+    paths = compact(sure)
+    open_edges = contexts.filter("m = 1").select("edge").distinct()
+    borders = contexts.join(open_edges, "edge", "left_semi").select("edge", "one.*")
+    borders = borders.groupBy("key").agg(F.collect_set(F.struct("edge", "first", "last")).alias("branches"))
     at_borders = texts.join(borders, "key").select("key", "doc_id", "text", "branches")
     windows = cut(at_borders.mapInArrow(_window_rows, "key long, edge long, content long, first int"), "windows")
     twice = windows.groupBy("edge", "content").count().filter("count > 1").select("edge", "content")
