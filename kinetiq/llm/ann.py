@@ -7,7 +7,8 @@ neighbours that an exact scan finds for a set of calibration queries are met at
 
 Equal vectors are one entry of the index with as many of their smallest ids as a result can hold. Leaves are searched in
 blocks: a large leaf and the queries that visit it are both dealt into parts of bounded size, each pair of parts is one
-matrix product, and the best of all parts meet per query.
+matrix product, and the best of all parts meet per query. A query's first leaf comes first: what its other leaves find is
+kept only where it is at least as near as the last of the nearest in the first.
 """
 
 from __future__ import annotations
@@ -184,7 +185,21 @@ def neighbours(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=["query_id", "v", "bins"])
 
     going = cut(queries.mapInArrow(visit, "query_id long, v array<double>, bins array<int>"), "going")
-    going = going.select("query_id", F.col("v").alias("q"), F.explode("bins").alias("leaf"))
+    going = going.select("query_id", F.col("v").alias("q"), F.posexplode("bins").alias("place", "leaf"))
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    first = going.filter("place = 0").withColumn("edge", F.lit(float("-inf")))
+    found = cut(_searched(index, first, k), "first-leaves")
+    top = found.withColumn("n", F.row_number().over(by_score)).filter(F.col("n") <= k)
+    edges = top.groupBy("query_id").agg(F.min("score").alias("edge"), F.max("n").alias("n")).filter(F.col("n") == k)
+    rest = going.filter("place > 0").join(edges.select("query_id", "edge"), "query_id", "left")
+    more = _searched(index, rest.withColumn("edge", F.coalesce("edge", F.lit(float("-inf")))), k)
+    unique = found.union(more).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = unique.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _searched(index: DataFrame, going: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best ``k`` of each part of each leaf that a query goes to, none below its edge."""
     sizes = index.groupBy("leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("rows_in"))
     sizes = sizes.join(going.groupBy("leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("queries_in")), "leaf")
     sizes = F.broadcast(cut(sizes, "leaf-sizes"))  # a row a leaf
@@ -192,7 +207,7 @@ def neighbours(
         "leaf", F.pmod(F.xxhash64("entry"), "rows_in").alias("a"), F.explode(F.expr("sequence(0L, queries_in - 1L)")).alias("b"), "v", "ids"
     )
     at_queries = going.join(sizes, "leaf").select(
-        "leaf", F.explode(F.expr("sequence(0L, rows_in - 1L)")).alias("a"), F.pmod(F.xxhash64("query_id"), "queries_in").alias("b"), "query_id", "q"
+        "leaf", F.explode(F.expr("sequence(0L, rows_in - 1L)")).alias("a"), F.pmod(F.xxhash64("query_id"), "queries_in").alias("b"), "query_id", "q", "edge"
     )
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -200,16 +215,12 @@ def neighbours(
         if len(left) and len(right):
             vectors, ids = np.stack(right["v"].to_numpy()), [x.tolist() for x in right["ids"]]
             own = left["query_id"].tolist()
-            for q, found in zip(own, best(np.stack(left["q"].to_numpy()), vectors, ids, own, k)):
-                out += [(q, v, s) for s, v in found]
+            for q, edge, found in zip(own, left["edge"], best(np.stack(left["q"].to_numpy()), vectors, ids, own, k)):
+                out += [(q, v, s) for s, v in found if s >= edge]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     by = ["leaf", "a", "b"]
-    met = at_queries.groupBy(*by).cogroup(at_rows.groupBy(*by)).applyInPandas(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    unique = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = unique.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return at_queries.groupBy(*by).cogroup(at_rows.groupBy(*by)).applyInPandas(search, "query_id long, vec_id long, score double")
 
 
 def _calibrated(index: DataFrame, queries: DataFrame, tree: Tree, largest: float, dim: int, k: int, recall: float) -> int:
