@@ -4,9 +4,12 @@ Two fingerprints that differ in at most four bits differ in at most one bit of o
 each fingerprint is therefore indexed once per bit with that bit deleted (64 keys in all), keys are joined for equality
 and every candidate pair is verified over all 64 bits, so no link is missed.
 
-Copies share a fingerprint and are joined as one node. Groups of near copies would still put thousands of fingerprints
-under one key. Those are first connected by keys whose equality already proves a link (60 equal bits), and a key whose
-fingerprints all lie in one component so far is dropped before the join: it can add nothing.
+Copies share a fingerprint and are joined as one node. A key with two or three fingerprints is verified where it is
+counted. A key with more (chance meetings of a large table, or near copies) is refined: the other segments differ in at
+most four bits, so one of five parts of them is equal, and that part joins the key. Near copies can still put thousands
+of fingerprints under one refined key. They are first connected cheaply: by keys whose equality already proves a link (60
+equal bits), then by verified links to three fingerprints of the key. A key whose fingerprints all lie in one component
+by then can add nothing and is dropped; the rest are joined in full, each pair under one of its keys.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -60,38 +63,93 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return ids.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _variants(nodes: DataFrame) -> DataFrame:
-    """A row per node and deleted bit: the bit and the rest of its segment in one long."""
+def _variants(fps: DataFrame) -> DataFrame:
+    """A row per fingerprint and deleted bit: the bit and the rest of its segment in one long."""
     key = F.lit(None)
     for low, size in SEGMENTS:
         inside = F.col("bit").between(low, low + size - 1)
         rest = F.expr(f"(shiftrightunsigned(fp, {low}) & {(1 << size) - 1}L) & ~shiftleft(1L, bit - {low})")
         key = F.when(inside, rest).otherwise(key)
-    return nodes.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(63)))).select(
-        "fp", "c", (key + F.shiftleft(F.col("bit").cast("long"), 32)).alias("key")
-    )
+    rows = fps.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    return rows.select("fp", (key + F.shiftleft(F.col("bit").cast("long"), 32)).alias("key"))
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """``nodes(fp, node)``, one row per fingerprint -> ``(node, component)`` for nodes with any link."""
-    nibbles = nodes.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(15)))).select(
-        "node", "at", F.expr("fp & ~shiftleft(15L, 4 * at)").alias("rest")
-    )
-    sure = nibbles.groupBy("at", "rest").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    first = components(nibbles.join(sure, ["at", "rest"]).select("a", F.col("node").alias("b")))
-    labelled = cut(
-        nodes.join(first, "node", "left").select("fp", F.coalesce("component", "node").alias("c")), "labelled"
-    )
-    keys = _variants(labelled)
-    mixed = keys.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    left = cut(keys.join(mixed, "key"), "variants")
-    right = left.select("key", F.col("fp").alias("fp2"), F.col("c").alias("c2"))
-    pairs = left.join(
-        right, (left["key"] == right["key"]) & F.expr(f"c < c2 and bit_count(fp ^ fp2) <= {MAX_BITS}")
+def _close(a: str, b: str):
+    return F.expr(f"bit_count({a} ^ {b}) <= {MAX_BITS}")
+
+
+def _refined(rows: DataFrame) -> DataFrame:
+    """Each row five times, with each fifth of the bits outside its key's segment."""
+    rest = F.lit(None)
+    for low, size in SEGMENTS:
+        above = f"shiftrightunsigned(fp, {low + size})" if low + size < 64 else "0L"
+        inside = F.shiftright("key", 32).between(low, low + size - 1)
+        rest = F.when(inside, F.expr(f"(fp & {(1 << low) - 1}L) | shiftleft({above}, {low})")).otherwise(rest)
+    fifth = F.expr("shiftrightunsigned(rest, cast(9 * part as int)) & 511")
+    parts = rows.withColumn("rest", rest).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    return parts.select("key", "part", fifth.alias("fifth"), "rest", "fp", "c")
+
+
+def _once():
+    """Of the refined keys that a pair shares, the first: the lowest near segment, deleted bit and equal fifth."""
+    apart = [f"((fp ^ fp2) & {((1 << size) - 1) << low if low + size < 64 else -(1 << low)}L)" for low, size in SEGMENTS]
+    bit = F.shiftright("key", 32)
+    segment = F.lit(False)
+    for k, (low, size) in enumerate(SEGMENTS):
+        earlier = " and ".join(["true", *(f"bit_count({x}) > 1" for x in apart[:k])])
+        lowest = F.expr(f"{apart[k]} <> 0") | (bit == low)
+        segment = segment | (bit.between(low, low + size - 1) & F.expr(earlier) & lowest)
+    fifths = F.lit(True)
+    for k in range(4):
+        fifths = fifths & ((F.col("part") <= k) | F.expr(f"((rest ^ rest2) & {511 << 9 * k}L) <> 0"))
+    return segment & fifths
+
+
+def _relabelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    found = joined.select(F.col("node").alias("c"), "component")
+    named = rows.join(found, "c", "left").withColumn("c", F.coalesce("component", "c"))
+    return named.select(*rows.columns)
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """``fps(fp)``, all different -> ``(fp, c)`` with the same c where links connect."""
+    nibbles = fps.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(15)))).select(
+        "fp", "at", F.expr("fp & ~shiftleft(15L, 4 * at)").alias("rest")
     )
-    second = components(pairs.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct())
-    merged = labelled.join(second, F.col("c") == F.col("node"), "left")
-    return merged.select("fp", F.coalesce("component", "c").alias("component_id"))
+    sure = nibbles.groupBy("at", "rest").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    first = components(nibbles.join(sure, ["at", "rest"]).select("a", F.col("fp").alias("b")))
+    labelled = cut(_relabelled(fps.select("fp", F.col("fp").alias("c")), first), "labelled")
+
+    # one shuffle: counts and members of a key meet in the partition they were dealt to
+    keyed = _variants(fps).repartition("key")
+    counts = [F.count("*").alias("n"), F.min("fp").alias("f"), F.max("fp").alias("g"), F.bit_xor("fp").alias("x")]
+    met = keyed.groupBy("key").agg(*counts).withColumn("h", F.expr("x ^ f ^ g"))  # the third of three
+    some = F.expr("n > 3") | (F.expr("n = 2") & _close("f", "g"))
+    some = some | (F.expr("n = 3") & (_close("f", "g") | _close("f", "h") | _close("g", "h")))
+    met = cut(keyed.join(met.filter(some), "key"), "met")
+    ends = [F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in ("fg", "fh", "gh")]
+    pairs = met.filter("n = 2").select("f", "g")
+    pairs = pairs.union(met.filter("n = 3").select(F.explode(F.array(*ends)).alias("e")).select("e.*").filter(_close("a", "b"))).distinct()
+    crowded = met.filter("n > 3").select("fp", "key")
+
+    by = ["key", "part", "fifth"]
+    own = Window.partitionBy(*by)
+    spread = {"lo": F.min("c").over(own), "hi": F.max("c").over(own)}
+    heads = {f"head{k}": F.min(F.struct(F.xxhash64("fp", F.lit(k)), "fp")).over(own).getField("fp") for k in range(3)}
+    near = _refined(crowded.join(labelled, "fp")).withColumns(spread | heads).filter("lo < hi")
+    star = near.select("fp", F.explode(F.array(*heads)).alias("head")).filter(F.expr("fp <> head") & _close("fp", "head"))
+    pairs = pairs.union(star.distinct()).toDF("a", "b")
+    ends = pairs.join(labelled.toDF("a", "c"), "a").join(labelled.toDF("b", "d"), "b")
+    second = components(ends.select(F.col("c").alias("a"), F.col("d").alias("b")))
+    labelled = cut(_relabelled(labelled, second), "labelled")
+
+    mixed = _refined(crowded.join(labelled, "fp")).withColumns(spread).filter("lo < hi")
+    left = cut(mixed.select(*by, "rest", "fp", "c"), "mixed")
+    right = left.toDF(*(f"r_{k}" for k in by), "rest2", "fp2", "c2")
+    same = [F.col(k) == F.col(f"r_{k}") for k in by]
+    full = left.join(right, [*same, F.col("c") < F.col("c2"), _close("fp", "fp2"), _once()])
+    third = components(full.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct())
+    return _relabelled(labelled, third)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -104,7 +162,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prints = cut(fingerprints(docs), "fingerprints")
     nodes = cut(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    return prints.join(links(nodes), "fp", "left").select(
+    joined = cut(links(nodes.select("fp")).join(nodes, "fp"), "joined")
+    ids = joined.groupBy("c").agg(F.min("node").alias("component_id"))
+    named = joined.join(ids, "c").select("fp", "component_id")
+    return prints.join(named, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
