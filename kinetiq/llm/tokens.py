@@ -1,8 +1,9 @@
 """Token ids of whole texts by the tokenizers library, with its work remembered per piece of text.
 
-A byte-level BPE model never merges across the borders that its pre-tokeniser draws, and a single space between two
-other characters is always such a border. Texts are therefore cut there, and a piece (a word with its punctuation) is
-given to the library once for as long as it is remembered.
+A byte-level BPE model never merges across the borders that its pre-tokeniser draws, and a space between two characters
+that are not white space is always such a border; a space beside other white space (a no-break space, say) is part of a
+longer run. Texts are therefore cut only at the former, and a piece (a word with its punctuation) is given to the library
+once for as long as it is remembered.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ import regex
 
 #: The splitting rule of byte-level BPE, a fixed value of the format.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: White space other than the space, by that rule; and the spaces that have none beside them.
+WHITE = "\t\n\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+BORDER = regex.compile(r"(?<!\s) (?!\s)")
 #: Pieces and words that a process remembers; beyond that it starts anew, so that memory stays bounded.
 PIECES, WORDS, LONGEST = 700_000, 300_000, 48
 
@@ -77,9 +81,10 @@ class Encoder:
             return b""
         if any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if "  " in text:
-            return self._chunk(text)
-        head, *rest = text.split(" ")
+        if "  " in text or any(w in text and (" " + w in text or w + " " in text) for w in WHITE):
+            head, *rest = BORDER.split(text)
+        else:
+            head, *rest = text.split(" ")
         return self.first[head] + b"".join(map(self.after_space.__getitem__, rest))
 
 

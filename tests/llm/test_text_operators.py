@@ -181,6 +181,15 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(e.encode(text), "<u4").tolist() == e.library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_white_space_beside_single_spaces():
+    e, rng = Encoder(), np.random.default_rng(5)
+    texts = ["x \u00a0 \u00a0 y", "a\u00a0 b", "a \t b", "a\n b \nc", " \u00a0", "\u00a0 x ", "a \u3000 b  c d."]
+    parts = ["a", "It's", "w.", "\u00e9", "7", " ", " ", " ", "  ", "\t", "\n", "\r", "\x1c", "\x85", "\u00a0", "\u2003", "\u2028", "\u200b", "\u3000", "\ufeff"]
+    texts += ["".join(parts[k] for k in rng.integers(0, len(parts), int(n))) for n in rng.integers(1, 25, 3000)]
+    for text in texts:
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == e.library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_packing_is_whole_and_tight(spark):
     texts = [(i, " ".join(words(int(n), i))) for i, n in enumerate(np.random.default_rng(1).integers(1, 300, 60))]
     texts += [(100, None), (101, ""), (102, " ".join(words(9000, 77))), (1, texts[1][1]), (None, "no id")]
