@@ -77,19 +77,30 @@ _GENERATORS = {
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ ._/-]{0,3}[0-9]{3,6}){2,4}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9])(?:\+|00)?\(?[0-9]{1,4}\)?(?:[ ./-]{0,2}\(?[0-9]{2,4}\)?){2,4}(?![0-9])"),
 }
-_MARKED = re.compile(r"@|\([Aa][Tt]\)|\[[Aa][Tt]\]|\{[Aa][Tt]\}|\sdot\s|\[dot\]|\(dot\)")
-_LONG = re.compile(r"[0-9](?:[^0-9A-Za-z]{0,3}[0-9]){6,}")
+#: What each generator cannot do without: the mark of an address, and digits with few other characters between them.
+_MARK = re.compile(r"@|\(at\)|\[at\]|\{at\}|\sat(?=\s)", re.I)
+_NEAR = re.compile(r"[0-9](?:[^0-9A-Za-z]{0,5}[0-9]){3,}")
+_LOOSE = _LOCAL | set("\u0130\u0131\u017f\u212a")  # letters that re.I takes for i, s and k
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Spans in looser forms, of any kind and overlapping."""
-    out = []
-    if _MARKED.search(text):
-        out += [("email", *m.span()) for m in _GENERATORS["email"].finditer(text)]
-    for run in _LONG.finditer(text):  # digits that aren't far from each other
-        lo, hi = max(0, run.start() - 3), min(len(text), run.end() + 1)
-        for kind in ("ip", "card", "phone"):
-            out += [(kind, *m.span()) for m in _GENERATORS[kind].finditer(text, lo, hi)]
+    """Spans in looser forms, of any kind and overlapping: all that the generators find in the whole text."""
+    out, done = [], 0
+    for mark in _MARK.finditer(text):  # the local part is the whole run before the mark
+        end = mark.start()
+        if end and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start > max(done, end - 64) and text[start - 1] in _LOOSE:
+            start -= 1
+        if start < end and (m := _GENERATORS["email"].match(text, start)):
+            out.append(("email", *m.span()))
+            done = m.end()
+    for run in _NEAR.finditer(text):  # digits that aren't far from each other
+        lo, hi, digits = max(0, run.start() - 3), min(len(text), run.end() + 1), len(_DIGIT.findall(run[0]))
+        for kind, possible in (("ip", "." in run[0]), ("card", digits >= 10), ("phone", digits >= 5)):
+            if possible:
+                out += [(kind, *m.span()) for m in _GENERATORS[kind].finditer(text, lo, hi)]
     return out
 
 

@@ -262,6 +262,17 @@ def test_base_spans(text):
     assert pii.base_spans(text) == slow_base(text)
 
 
+def test_candidates_are_all_that_the_generators_find():
+    rng = np.random.default_rng(9)
+    texts = ["10[.]0[.]0[.]1 or 8(.)8(.)8(.)8", "1 [.] 2 [.] 3 [.] 4", "john at example.com", "a {AT} b {dot} c", "x at at y.z", "1 23 45", *PERSONAL]
+    parts = ["a", "john", "x.y", "at", "AT", " at ", " ", " ", "\u00a0", "@", "(at)", "[At]", "{at}", ".", " dot ", "{dot}", "[dot]", "com", "\u017f", "b" * 70]
+    digits = ["1", "22", "333", "4444", "0", "00", "+", "(", ")", ".", "[.]", "(.)", " ", " ", "-", "/", "_", "a", "%", "555 1234"]
+    texts += ["".join(p[k] for k in rng.integers(0, len(p), int(n))) for p in (parts, digits, parts + digits) for n in rng.integers(2, 40, 3000)]
+    for text in texts:
+        want = [(kind, *m.span()) for kind, g in pii._GENERATORS.items() for m in g.finditer(text)]
+        assert sorted(pii.candidates(text)) == sorted(want), repr(text)
+
+
 def test_boosted_trees_add_loose_forms(spark):
     rng = np.random.default_rng(2)
     number = lambda: f"+1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}"
