@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,11 +69,26 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", on: list[str] | None = None, most: int = 10_000) -> DataFrame:
     """The ``k`` best corpus rows of each query: (query_id, rank, uuid, score); equal scores by uuid.
 
-    ``queries(query_id, q, ...)`` is a stated set of at most ``most`` rows (checked) and is broadcast; ``on`` are metadata
-    columns that have to be equal. The rank is limited in every task before rows are shuffled.
+    ``queries(query_id, q, ...)`` is broadcast in blocks of at most ``most`` rows; ``on`` are metadata columns that have to
+    be equal. Where there is more than one block, they are dealt by a hash of the query and each one's result is written
+    before the next is searched. The rank is limited in every task before rows are shuffled.
     """
-    if queries.count() > most:
-        raise ValueError(f"more than {most} queries: search them in parts")
+    many = queries.count()
+    blocks = 1 if many <= most else -(-5 * many // (4 * most))
+    while blocks > 1:
+        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        if blocks >= many or queries.groupBy(block.alias("b")).count().agg(F.max("count")).first()[0] <= most:
+            break
+        blocks *= 2
+    if blocks > 1:
+        from kinetiq.llm.store import cut
+
+        parts = [cut(_searched(queries.filter(block == b), corpus, k, metric, on), "search") for b in range(blocks)]
+        return reduce(DataFrame.unionByName, parts)
+    return _searched(queries, corpus, k, metric, on)
+
+
+def _searched(queries: DataFrame, corpus: DataFrame, k: int, metric: str, on: list[str] | None) -> DataFrame:
     value = cosine(F.col("q"), F.col("vector")) if metric == "cosine" else -l2(F.col("q"), F.col("vector"))
     both = corpus.join(F.broadcast(queries), on) if on else corpus.crossJoin(F.broadcast(queries))
     scored = both.filter(F.col("query_id") != F.col("uuid")).withColumn("score", value)
