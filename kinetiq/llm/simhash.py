@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import copies
 from .components import components
 from .store import cut
 
@@ -173,9 +174,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
 
-    Rows that repeat that doc_id are reduced to one; rows without a doc_id are kept, as nothing names their group.
+    Near copies are texts whose five-word shingles have a similarity of at least 0.8, and those that ``near_duplicates``
+    links. Where texts of a group share that doc_id, the one with the smallest hash stays; equal rows are reduced to one.
+    Rows without a doc_id are kept, as nothing names their group.
     """
-    groups = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    kept = named.join(groups, named["doc_id"] == groups["_kept"], "left_semi")
-    return kept.unionByName(docs.filter("doc_id is null"))
+    text = F.col("text").cast("string")
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    make = lambda t: (copies.text_key(copies.words_of(t)), int(np.uint64(fingerprint(t)).view(np.int64)))
+    prints = cut(copies._mapped(rows, make, "tk long, fp long"), "prints")
+    nodes = cut(prints.select("tk", "fp").distinct(), "nodes")
+    close = nodes.join(links(nodes.select("fp").distinct()), "fp")
+    close = close.join(close.groupBy("c").agg(F.min("tk").alias("a")), "c").select("a", F.col("tk").alias("b"))
+    firsts = prints.groupBy("tk").agg(F.min("th").alias("th"))
+    texts = cut(rows.join(firsts, "th").groupBy("tk").agg(F.first("text").alias("text")), "texts")
+    similar = copies.links(texts)
+    groups = components(close.union(similar)).toDF("tk", "c")
+    named = prints.join(groups, "tk", "left").withColumn("c", F.coalesce("c", "tk"))
+    kept = cut(named.groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.*").toDF("_doc", "_th"), "kept")
+    own = docs.filter("doc_id is not null").withColumn("_h", F.xxhash64(text))
+    own = own.join(kept, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_h") == F.col("_th")), "left_semi")
+    return own.dropDuplicates(["doc_id", "_h"]).drop("_h").unionByName(docs.filter("doc_id is null"))

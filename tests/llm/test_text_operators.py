@@ -99,6 +99,44 @@ def test_near_duplicates_against_all_pairs(spark):
     assert kept == set(close_groups(prints).values()) | {None}
 
 
+def slow_kept(texts):
+    """Ids that stay where texts of a shingle similarity of 0.8 or of at most four differing bits are one group."""
+    sets = {}
+    for i, t in texts:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    label, prints = {i: i for i in sets}, {i: simhash.fingerprint(t) for i, t in texts}
+    for a, b in combinations(sorted(sets), 2):
+        similar = 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+        if (similar or (prints[a] ^ prints[b]).bit_count() <= 4) and label[a] != label[b]:
+            new, old = sorted((label[a], label[b]))
+            label = {i: new if c == old else c for i, c in label.items()}
+    return set(label.values())
+
+
+def test_kept_documents_against_all_shingle_sets(spark):
+    texts, line = [(0, None), (1, ""), (2, " "), (3, "one two"), (4, "One  two")], words(12, 99)
+    for g in range(8):
+        base = words(30 + 20 * g, 300 + g)
+        for k in range(14):  # chains of changes, cuts and a line that all of them share
+            w = list(base)
+            for j in range(k % 5):
+                w[(7 * k + 11 * j) % len(w)] = f"y{g}x{k}x{j}"
+            texts.append((10 + 20 * g + k, " ".join(w[: len(w) - k % 4] + line * (k % 2))))
+    want = slow_kept(texts)
+    old = {r.component_id for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    assert want < old  # more than four bits apart, and similar
+    assert {r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect()} == want
+    assert simhash.keep_one(docs(spark, [])).count() == 0
+
+
+def test_a_repeated_id_does_not_hide_another_text(spark):
+    a, b, c = (" ".join(words(60, s)) for s in (501, 502, 503))
+    rows = [(1, a), (1, b), (2, b), (3, c), (3, c)]
+    kept = sorted((r.doc_id, r.text) for r in simhash.keep_one(docs(spark, rows)).collect())
+    assert kept == sorted([(1, a), (1, b), (3, c)])
+
+
 def test_links_in_a_dense_ball_of_fingerprints(spark):
     rng = np.random.default_rng(8)
     centre = int(rng.integers(0, 1 << 62))
