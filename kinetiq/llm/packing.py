@@ -32,23 +32,30 @@ _PIECES = pa.schema(
 )
 
 
-def cuts(n: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
-    """(start, end) of the pieces of a document of ``n`` ids: all of ``size`` but the first, which takes the rest."""
-    first = n % size or size
-    return [(0, first), *((at, at + size) for at in range(first, n, size))]
+def cuts(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarray, ...]:
+    """(document, piece, start, length) of every piece: all of ``size`` but a document's first, which takes the rest."""
+    many = -(-lengths // size)
+    doc = np.repeat(np.arange(len(lengths)), many)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+    first = (lengths - 1) % size + 1
+    start = np.where(piece > 0, first[doc] + (piece - 1) * size, 0)
+    return doc, piece, start, np.where(piece > 0, size, first[doc])
 
 
 def _pieces(tokenizer: str | None, size: int):
     def run(batches):
-        encode, end = encoder(tokenizer).encode, np.array([END_ID], "<u4").tobytes()
+        encode = encoder(tokenizer).batch
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
-                for k, (i, j) in enumerate(cuts(len(ids) // 4, size)):
-                    for col, value in zip(cols, (doc, k, i, j - i, zlib.crc32(ids[4 * i : 4 * j]))):
-                        col.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PIECES)], schema=_PIECES)
+            at = 0
+            for ids, lengths in encode(batch.column(1), END_ID):
+                doc, piece, start, length = cuts(lengths, size)
+                view = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                begin = 4 * ((np.cumsum(lengths) - lengths)[doc] + start)
+                crc = [zlib.crc32(view[i:j]) for i, j in zip(begin.tolist(), (begin + 4 * length).tolist())]
+                names = batch.column(0).slice(at, len(lengths)).take(pa.array(doc))
+                cols = [names, *(pa.array(c).cast(f.type) for c, f in zip((piece, start, length, crc), list(_PIECES)[1:]))]
+                yield pa.RecordBatch.from_arrays(cols, schema=_PIECES)
+                at += len(lengths)
 
     return run
 

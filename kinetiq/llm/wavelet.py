@@ -2,7 +2,7 @@
 
 A shard holds whole documents in ascending doc_id order. Its ids are stored as bit-planes, the highest bit first; each
 plane is followed by the ids stably parted by that bit. With the ones counted per block of 512 bits, every query is a
-rank or select per plane. Shards are written by the tasks of a range-partitioned table and found again by Spark's binary
+rank or select per plane; planes are compressed in parts, so that a lookup unpacks one part of each. Shards are written by the tasks of a range-partitioned table and found again by Spark's binary
 file source.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from .store import cut, new_path
 from .tokens import encoder
 
 MAGIC = b"KQWM0001"
-BLOCK = 512
+BLOCK, PLANE_PART = 512, 1 << 14  # bits that share a count of ones; bytes of a plane that are compressed together
 SHARD_TOKENS = 1 << 20
 END_ID = 0
 
@@ -68,7 +68,8 @@ def encode_shard(doc_ids: list, lengths: list[int], ids: np.ndarray, **meta) ->
         whole = np.zeros(-(-len(bit) // BLOCK) * (BLOCK // 8), np.uint8)
         whole[: len(packed)] = packed
         ones = np.bitwise_count(whole.view("<u8")).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.int64)
-        add(packed)
+        for at in range(0, len(packed), PLANE_PART):
+            add(packed[at : at + PLANE_PART])
         add(np.concatenate(([0], np.cumsum(ones))).astype("<u4"))
     head = json.dumps(
         meta | {"n": len(ids), "docs": len(doc_ids), "levels": levels, "zeros": zeros, "blocks": [len(b) for b in blocks]}
@@ -87,11 +88,13 @@ class Shard:
         ends = np.cumsum([12 + size, *self.head["blocks"]]).tolist()
         self.raw = [memoryview(content)[i:j] for i, j in pairwise(ends)]
         self.n, self.levels, self.zeros = self.head["n"], self.head["levels"], self.head["zeros"]
+        self.parts = -(-self.n // (8 * PLANE_PART))
         self.unpacked: dict[int, np.ndarray] = {}
+        self.decompress = zstandard.ZstdDecompressor().decompress
 
     def _block(self, k: int, dtype) -> np.ndarray:
         if k not in self.unpacked:
-            self.unpacked[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.raw[k]), dtype)
+            self.unpacked[k] = np.frombuffer(self.decompress(self.raw[k]), dtype)
         return self.unpacked[k]
 
     def doc_ids(self) -> list:
@@ -100,17 +103,25 @@ class Shard:
     def lengths(self) -> list[int]:
         return self._block(2, "<i8").tolist()
 
+    def _ones(self, level: int) -> np.ndarray:
+        return self._block(3 + (level + 1) * (self.parts + 1) - 1, "<u4")
+
     def _bits(self, level: int, at: int, end: int) -> np.ndarray:
-        packed = self._block(3 + 2 * level, np.uint8)[at // 8 : -(-end // 8)]
+        """Bits that lie in one block, and so in one part of the plane."""
+        if at >= end:
+            return np.zeros(0, np.uint8)
+        part, at = divmod(at, 8 * PLANE_PART)
+        end -= 8 * PLANE_PART * part
+        packed = self._block(3 + level * (self.parts + 1) + part, np.uint8)[at // 8 : -(-end // 8)]
         return np.unpackbits(packed, bitorder="little")[at % 8 : at % 8 + end - at]
 
     def rank1(self, level: int, at: int) -> int:
         block = at // BLOCK
-        return int(self._block(4 + 2 * level, "<u4")[block]) + int(self._bits(level, block * BLOCK, at).sum())
+        return int(self._ones(level)[block]) + int(self._bits(level, block * BLOCK, at).sum())
 
     def _select(self, level: int, bit: int, k: int) -> int:
         """Where the k-th (from 0) such bit of a plane is."""
-        ones = self._block(4 + 2 * level, "<u4").astype(np.int64)
+        ones = self._ones(level).astype(np.int64)
         counts = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK, self.n) - ones
         block = int(np.searchsorted(counts, k, side="right")) - 1
         inside = self._bits(level, block * BLOCK, min(self.n, (block + 1) * BLOCK))
@@ -147,10 +158,13 @@ class Shard:
         return at
 
     def ids(self) -> np.ndarray:
-        planes = [
-            np.unpackbits(self._block(3 + 2 * k, np.uint8), count=self.n, bitorder="little").view(bool)
-            for k in range(self.levels)
-        ]
+        if not self.n:
+            return np.zeros(0, np.uint16)
+        planes = []
+        for level in range(self.levels):
+            at = 3 + level * (self.parts + 1)
+            packed = b"".join(map(self.decompress, self.raw[at : at + self.parts]))
+            planes.append(np.unpackbits(np.frombuffer(packed, np.uint8), count=self.n, bitorder="little").view(bool))
         return join_planes(planes, self.zeros, self.n, np.uint16 if self.levels <= 16 else np.uint32)
 
 
@@ -166,8 +180,7 @@ def _writer(folder: str, tokenizer: str | None, shard_tokens: int):
     def write(batches):
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
-        end = np.array([END_ID], "<u4").tobytes()
+        encode, part = encoder(tokenizer).batch, TaskContext.get().partitionId()
         held: list = [[], [], [], 0]
         number = 0
 
@@ -175,21 +188,26 @@ def _writer(folder: str, tokenizer: str | None, shard_tokens: int):
             nonlocal held, number
             doc_ids, lengths, chunks, n = held
             name = f"shard-{part:06d}-{number:06d}.wm"
-            ids = np.frombuffer(b"".join(chunks), "<u4")
-            _put(fs, f"{base}/{name}", encode_shard(doc_ids, lengths, ids, partition=part, shard=number))
+            content = encode_shard(doc_ids, lengths, np.concatenate(chunks), partition=part, shard=number)
+            _put(fs, f"{base}/{name}", content)
             row = pa.RecordBatch.from_pydict({"partition": [part], "shard": [number], "n": [n]}, schema=MANIFEST)
             held, number = [[], [], [], 0], number + 1
             return row
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
-                held[0].append(doc)
-                held[1].append(len(ids) // 4)
-                held[2].append(ids)
-                held[3] += len(ids) // 4
-                if held[3] >= shard_tokens:
-                    yield close()
+            docs = iter(batch.column(0).to_pylist())
+            for ids, lengths in encode(batch.column(1), END_ID):
+                ends, at = np.cumsum(lengths), 0
+                while at < len(lengths):  # up to the document that fills the shard
+                    start = ends[at] - lengths[at]
+                    to = min(len(lengths), int(np.searchsorted(ends, start + shard_tokens - held[3])) + 1)
+                    held[0] += islice(docs, to - at)
+                    held[1] += lengths[at:to].tolist()
+                    held[2].append(ids[start : ends[to - 1]])
+                    held[3] += int(ends[to - 1] - start)
+                    at = to
+                    if held[3] >= shard_tokens:
+                        yield close()
         if held[0]:
             yield close()
 

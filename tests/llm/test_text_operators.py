@@ -7,10 +7,11 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from kinetiq.llm import decontam, packing, pii, simhash, substring, toxicity
+from kinetiq.llm import decontam, packing, pii, simhash, substring, tokens, toxicity
 from kinetiq.llm.components import components
 from kinetiq.llm.ranks import number_within
 from kinetiq.llm.tokens import Encoder
@@ -213,31 +214,54 @@ def test_repeated_passages_against_all_windows(spark):
 ODD = ["a  b", "a \n b\n\nc  ", " x y", "end ", "it's we'll 123abc ½²", "<|endoftext|> x", "日本 語 😀 ok", "\t\ta\x1cb", "  ", "\n", "a\x85b c", 'q".\nThe', "é x", "a" * 300, ""]
 
 
+def library_ids(texts):
+    """The library's own ids of whole texts, each with the end id."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return [[*library.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+
+
+def batched(texts, encoder=None):
+    out = []
+    for ids, lengths in (encoder or Encoder()).batch(pa.array(texts, pa.string())):
+        out += [part.tolist() for part in np.split(ids, np.cumsum(lengths)[:-1])]
+    return out
+
+
 def test_encoder_equals_the_library():
-    e = Encoder()
-    for text in ODD + [" ".join(words(50, 1)) + ".\nNext, line"]:
-        assert np.frombuffer(e.encode(text), "<u4").tolist() == e.library.encode(text, add_special_tokens=False).ids, repr(text)
+    texts = ODD + [None, "", " ".join(words(50, 1)) + ".\nNext, line"]
+    assert batched(texts) == library_ids(texts)
 
 
 def test_white_space_beside_single_spaces():
-    e, rng = Encoder(), np.random.default_rng(5)
-    texts = ["x \u00a0 \u00a0 y", "a\u00a0 b", "a \t b", "a\n b \nc", " \u00a0", "\u00a0 x ", "a \u3000 b  c d."]
+    rng = np.random.default_rng(5)
+    texts = ["x \u00a0 \u00a0 y", "a\u00a0 b", "a \t b", "a\n b \nc", " \u00a0", "\u00a0 x ", "a \u3000 b  c d.", "a<|endoftext|> b"]
     parts = ["a", "It's", "w.", "\u00e9", "7", " ", " ", " ", "  ", "\t", "\n", "\r", "\x1c", "\x85", "\u00a0", "\u2003", "\u2028", "\u200b", "\u3000", "\ufeff"]
-    texts += ["".join(parts[k] for k in rng.integers(0, len(parts), int(n))) for n in rng.integers(1, 25, 3000)]
-    for text in texts:
-        assert np.frombuffer(e.encode(text), "<u4").tolist() == e.library.encode(text, add_special_tokens=False).ids, repr(text)
+    parts += ["\u65e5", "\u0301", "\u2167", "\U0001f642", "<|endoftext|>", "'ll", "\u0250", "...", "%%%", "one,\nTwo"]
+    texts += ["".join(parts[k] for k in rng.integers(0, len(parts), int(n))) for n in rng.integers(1, 25, 6000)]
+    assert batched(texts) == library_ids(texts)
+
+
+def test_encoder_forgets_without_a_change(monkeypatch):
+    monkeypatch.setattr(tokens, "PIECES", 50)
+    monkeypatch.setattr(tokens, "WORDS", 20)
+    monkeypatch.setattr(tokens, "SLICE", 300)
+    texts = [" ".join(words(int(n), int(n))) + "." for n in np.random.default_rng(2).integers(0, 60, 200)]
+    encoder = Encoder()
+    assert batched(texts, encoder) == batched(texts, encoder) == library_ids(texts)
 
 
 def test_packing_is_whole_and_tight(spark):
     texts = [(i, " ".join(words(int(n), i))) for i, n in enumerate(np.random.default_rng(1).integers(1, 300, 60))]
-    texts += [(100, None), (101, ""), (102, " ".join(words(9000, 77))), (1, texts[1][1]), (None, "no id")]
+    texts += [(100, None), (101, ""), (102, " ".join(words(9000, 77))), (1, texts[1][1]), (None, "no id"), (103, "a \u00a0 \u00a0 b")]
     got = packing.pack(docs(spark, texts), size=512).collect()
-    e = Encoder()
     want = Counter()
-    for i, t in texts:
-        ids = e.encode(t) + b"\0\0\0\0"
-        for k, (a, b) in enumerate(packing.cuts(len(ids) // 4, 512)):
-            want[(i, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]))] += 1
+    for (i, _), ids in zip(texts, library_ids(t for _, t in texts)):
+        at = len(ids) % 512 or 512
+        for k, (a, b) in enumerate([(0, at), *((x, x + 512) for x in range(at, len(ids), 512))]):
+            want[(i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))] += 1
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
     rooms = {}
     for r in got:
@@ -349,6 +373,9 @@ def test_classifier_on_held_out_rows(spark):
     assert np.mean([r.predicted == y[r.doc_id] for r in held]) > 0.95
     by = {r.doc_id: r for r in rows}
     assert by[2000].score == by[2001].score < 0.3 <= by[2002].score
+    clash = d.withColumnsRenamed({"fp": "_text", "key": "_score", "edge": "row"})
+    assert toxicity.drop_toxic(clash, marks).columns == clash.columns
+    assert {r.doc_id for r in toxicity.drop_toxic(clash, marks).collect()} == {r.doc_id for r in rows if not r.toxic}
     left = toxicity.drop_toxic(d, marks)
     assert left.columns == d.columns and {r.doc_id for r in left.collect()} == {r.doc_id for r in rows if not r.toxic}
     none = toxicity.toxicity(d, marks.filter("toxic = 0"))
