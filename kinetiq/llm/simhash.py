@@ -4,12 +4,14 @@ Two fingerprints that differ in at most four bits differ in at most one bit of o
 each fingerprint is therefore indexed once per bit with that bit deleted (64 keys in all), keys are joined for equality
 and every candidate pair is verified over all 64 bits, so no link is missed.
 
-Copies share a fingerprint and are joined as one node. A key with two or three fingerprints is verified where it is
-counted. A key with more (chance meetings of a large table, or near copies) is refined: the other segments differ in at
-most four bits, so one of five parts of them is equal, and that part joins the key. Near copies can still put thousands
-of fingerprints under one refined key. They are first connected cheaply: by keys whose equality already proves a link (60
-equal bits), then by verified links to three fingerprints of the key. A key whose fingerprints all lie in one component
-by then can add nothing and is dropped; the rest are joined in full, each pair under one of its keys.
+Copies share a fingerprint and are joined as one node, and nodes carry the component they are known to lie in: first
+by keys whose equality already proves a link (60 equal bits). A key whose fingerprints all lie in one component can add
+nothing and is dropped where it is counted; one with two or three fingerprints is verified there. A key with more (chance
+meetings of a large table, or near copies) is refined: the other segments differ in at most four bits, so one of five
+parts of them is equal, and that part joins the key. Near copies can still put thousands of fingerprints under one
+refined key. They are connected by verified links to three fingerprints of the key first; keys that then hold several
+components are joined in full, each pair under one of its keys. Counts are combined map-side, so a key of many
+fingerprints meets in no single task but in a join with its one row of counts.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import copies
@@ -65,14 +67,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _variants(fps: DataFrame) -> DataFrame:
-    """A row per fingerprint and deleted bit: the bit and the rest of its segment in one long."""
+    """A row per fingerprint (with its component) and deleted bit: the bit and the rest of its segment in one long."""
     key = F.lit(None)
     for low, size in SEGMENTS:
         inside = F.col("bit").between(low, low + size - 1)
         rest = F.expr(f"(shiftrightunsigned(fp, {low}) & {(1 << size) - 1}L) & ~shiftleft(1L, bit - {low})")
         key = F.when(inside, rest).otherwise(key)
     rows = fps.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    return rows.select("fp", (key + F.shiftleft(F.col("bit").cast("long"), 32)).alias("key"))
+    return rows.select("fp", "c", (key + F.shiftleft(F.col("bit").cast("long"), 32)).alias("key"))
 
 
 def _close(a: str, b: str):
@@ -112,6 +114,12 @@ def _relabelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
     return named.select(*rows.columns)
 
 
+def _several(rows: DataFrame, by: list[str], *more) -> DataFrame:
+    """The rows of those combinations of ``by`` that hold several components, with what ``more`` counts of them."""
+    counts = rows.groupBy(*by).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *more).filter("lo < hi")
+    return rows.join(counts, by)
+
+
 def links(fps: DataFrame) -> DataFrame:
     """``fps(fp)``, all different -> ``(fp, c)`` with the same c where links connect."""
     nibbles = fps.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(15)))).select(
@@ -122,30 +130,31 @@ def links(fps: DataFrame) -> DataFrame:
     labelled = cut(_relabelled(fps.select("fp", F.col("fp").alias("c")), first), "labelled")
 
     # one shuffle: counts and members of a key meet in the partition they were dealt to
-    keyed = _variants(fps).repartition("key")
-    counts = [F.count("*").alias("n"), F.min("fp").alias("f"), F.max("fp").alias("g"), F.bit_xor("fp").alias("x")]
-    met = keyed.groupBy("key").agg(*counts).withColumn("h", F.expr("x ^ f ^ g"))  # the third of three
+    keyed = _variants(labelled).repartition("key")
+    counts = [F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")]
+    counts += [F.min("fp").alias("f"), F.min_by("c", "fp").alias("fc"), F.max("fp").alias("g"), F.max_by("c", "fp").alias("gc")]
+    counts += [F.bit_xor("fp").alias("x"), F.bit_xor("c").alias("xc")]
+    met = keyed.groupBy("key").agg(*counts).filter("lo < hi")
+    met = met.withColumns({"h": F.expr("x ^ f ^ g"), "hc": F.expr("xc ^ fc ^ gc")})  # the third of three
     some = F.expr("n > 3") | (F.expr("n = 2") & _close("f", "g"))
     some = some | (F.expr("n = 3") & (_close("f", "g") | _close("f", "h") | _close("g", "h")))
-    met = cut(keyed.join(met.filter(some), "key"), "met")
-    ends = [F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in ("fg", "fh", "gh")]
-    pairs = met.filter("n = 2").select("f", "g")
-    pairs = pairs.union(met.filter("n = 3").select(F.explode(F.array(*ends)).alias("e")).select("e.*").filter(_close("a", "b"))).distinct()
-    crowded = met.filter("n > 3").select("fp", "key")
+    names = ["n", "f", "fc", "g", "gc", "h", "hc"]
+    met = cut(keyed.join(met.filter(some).select("key", *names), "key"), "met")
+    one, two, three = (F.struct(F.col(x).alias("p"), F.col(f"{x}c").alias("a")) for x in "fgh")
+    ends = [F.struct(x.alias("x"), y.alias("y")) for x, y in ((one, two), (one, three), (two, three))]
+    pairs = met.filter("n = 2").select(F.col("fc").alias("a"), F.col("gc").alias("b"))
+    triples = met.filter("n = 3").select(F.explode(F.array(*ends)).alias("e")).filter(_close("e.x.p", "e.y.p"))
+    pairs = pairs.union(triples.select(F.col("e.x.a").alias("a"), F.col("e.y.a").alias("b"))).distinct()
+    crowded = met.filter("n > 3").select("fp", "c", "key")
 
     by = ["key", "part", "fifth"]
-    own = Window.partitionBy(*by)
-    spread = {"lo": F.min("c").over(own), "hi": F.max("c").over(own)}
-    heads = {f"head{k}": F.min(F.struct(F.xxhash64("fp", F.lit(k)), "fp")).over(own).getField("fp") for k in range(3)}
-    near = _refined(crowded.join(labelled, "fp")).withColumns(spread | heads).filter("lo < hi")
-    star = near.select("fp", F.explode(F.array(*heads)).alias("head")).filter(F.expr("fp <> head") & _close("fp", "head"))
-    pairs = pairs.union(star.distinct()).toDF("a", "b")
-    ends = pairs.join(labelled.toDF("a", "c"), "a").join(labelled.toDF("b", "d"), "b")
-    second = components(ends.select(F.col("c").alias("a"), F.col("d").alias("b")))
+    heads = [F.min(F.struct(F.xxhash64("fp", F.lit(k)).alias("h"), "fp", "c")).alias(f"head{k}") for k in range(3)]
+    near = _several(_refined(crowded), by, *heads)
+    star = near.select("fp", "c", F.explode(F.array("head0", "head1", "head2")).alias("head")).filter(_close("fp", "head.fp"))
+    second = components(pairs.union(star.select("c", "head.c").distinct().toDF("a", "b")))
     labelled = cut(_relabelled(labelled, second), "labelled")
 
-    mixed = _refined(crowded.join(labelled, "fp")).withColumns(spread).filter("lo < hi")
-    left = cut(mixed.select(*by, "rest", "fp", "c"), "mixed")
+    left = cut(_several(_refined(_relabelled(crowded, second)), by).select(*by, "rest", "fp", "c"), "mixed")
     right = left.toDF(*(f"r_{k}" for k in by), "rest2", "fp2", "c2")
     same = [F.col(k) == F.col(f"r_{k}") for k in by]
     full = left.join(right, [*same, F.col("c") < F.col("c2"), _close("fp", "fp2"), _once()])
@@ -190,7 +199,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     similar = copies.links(texts)
     groups = components(close.union(similar)).toDF("tk", "c")
     named = prints.join(groups, "tk", "left").withColumn("c", F.coalesce("c", "tk"))
-    kept = cut(named.groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.*").toDF("_doc", "_th"), "kept")
-    own = docs.filter("doc_id is not null").withColumn("_h", F.xxhash64(text))
-    own = own.join(kept, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_h") == F.col("_th")), "left_semi")
-    return own.dropDuplicates(["doc_id", "_h"]).drop("_h").unionByName(docs.filter("doc_id is null"))
+    kept = cut(named.groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.*"), "kept")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    own = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"))
+    one = own.filter("doc_id is not null").join(kept, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+    return one.select("row.*").unionByName(docs.filter("doc_id is null"))
