@@ -75,17 +75,13 @@ def _hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     return met.withColumn("agree", _agreement()).filter("agree >= need").select("key", "doc_id", "item_id", "agree")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Rows with a key of doc_id and text, so that rows which share a doc_id (or have none) are told apart."""
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """(key, doc_id, item_id, agree), one row per document and item whose passage it holds."""
     seeds = cut(benchmark_seeds(benchmark), "seeds")
     blocks = max(1, -(-seeds.count() // block))
-    rows = keyed(docs).select(
-        F.col("_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text").cast("string")).alias("w")
+    # the key of doc_id and text tells rows apart which share a doc_id (or have none)
+    rows = docs.select(
+        F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text").cast("string")).alias("w")
     )
     parts = [_hits(rows, seeds.filter(F.pmod("seed", F.lit(blocks)) == b)) for b in range(blocks)]
     hits = reduce(DataFrame.union, parts)
@@ -104,9 +100,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> D
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark passage."""
-    found = leaks(docs, benchmark, block).select(F.col("key").alias("_key")).distinct()
-    return keyed(docs).join(found, "_key", "left_anti").select(*docs.columns)
+    """``docs`` without the rows that hold a benchmark passage.
+
+    Null and empty texts hold none, so they stay; equal rows share their fate; rows that share a doc_id but not a text are
+    judged alone; an empty table stays empty. Columns of any name are carried along unread.
+    """
+    found = leaks(docs, benchmark, block).select("key").distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    return rows.join(found, "key", "left_anti").select("row.*")
 
 
 #: The rule itself, on every alignment with an agreeing pair of words: no seeds.

@@ -1,7 +1,7 @@
 """Written intermediate tables in the folder that driver and executors share.
 
 The folder is the session's ``spark.checkpoint.dir``. Where that is unset (tests, a laptop) a temporary folder is made
-once for the session and set as its checkpoint folder; a cluster has to name its own.
+once for the session and set as its checkpoint folder; a cluster has to name its own, and it is an error if it doesn't.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder as a URI without a trailing slash."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="kinetiq-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)

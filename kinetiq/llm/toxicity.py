@@ -2,8 +2,8 @@
 
 A word's vector is the sum of hashed vectors of the word and its beginnings (two hashes each, so that a rare word seldom
 shares both with another). Filters over one, two and three words are max-pooled over the whole text and feed a logistic
-output. Training and calibration use a bounded sample of labelled rows, taken by a hash of doc_id; scoring is one pass
-over all rows without a shuffle. A score is a calibrated probability; the decision's threshold is calibrated for each
+output. Training and calibration use a bounded sample of labelled rows, taken by a hash of doc_id; executors turn its texts
+into word hashes, so that the driver never holds a text. Scoring is one pass over all rows without a shuffle. A score is a calibrated probability; the decision's threshold is calibrated for each
 language. Labels, lang, source and doc_id never enter a score.
 """
 
@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import cut
+from .store import cut, drop
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
 #: Bytes of a word's two beginnings.
 SHORT, LONG = 5, 7
-#: The sample's bounds: rows for each label, and the longest text used for training (scoring takes every text whole).
+#: The sample's bounds: rows for each label, and the characters of a text that may be in it (scoring takes every text whole).
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2500, 4000, 200_000
 REMEMBERED = 250_000
+#: Texts of a training step, steps that training takes at least, and passes over the sample at least and at most.
+TOGETHER, STEPS, PASSES = 32, 1200, (6, 30)
 CUT = 0.3
 HASHES = 3
 
@@ -40,25 +42,34 @@ def split(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_BLANK).split() if text else []
 
 
+def hashes_of(word: bytes) -> tuple[int, ...]:
+    """A hash of the word and of its beginnings."""
+    digest = xxhash.xxh3_64_intdigest
+    return digest(word, 1), digest(word[:SHORT]), digest(word[:LONG])
+
+
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    """The hashed rows of words, two to a hash."""
+    return np.concatenate((hashes % BUCKETS, (hashes >> np.uint64(32)) % BUCKETS), axis=1).astype(np.int32)
+
+
 class Vocabulary(dict):
-    """Word -> its number; 0 is padding. Each has a hash of the word and of its beginnings."""
+    """Word -> its number; 0 is padding, whose row BUCKETS is zero."""
 
     def __init__(self):
         self.hashes = array("Q", [0] * HASHES)
 
     def __missing__(self, word):
-        digest = xxhash.xxh3_64_intdigest
         self[word] = at = len(self.hashes) // HASHES
-        self.hashes.extend((digest(word, 1), digest(word[:SHORT]), digest(word[:LONG])))
+        self.hashes.extend(hashes_of(word))
         return at
 
     def __len__(self):
         return len(self.hashes) // HASHES
 
     def rows(self, start: int = 0) -> np.ndarray:
-        """The hashed rows of the words from a number on: two to a hash. Row BUCKETS is zero, for padding."""
-        h = np.frombuffer(self.hashes[start * HASHES :], np.uint64).reshape(-1, HASHES)
-        out = np.concatenate((h % BUCKETS, (h >> np.uint64(32)) % BUCKETS), axis=1).astype(np.int64)
+        """The rows of the words from a number on."""
+        out = buckets(np.frombuffer(self.hashes[start * HASHES :], np.uint64).reshape(-1, HASHES))
         if start == 0:
             out[0] = BUCKETS
         return out
@@ -127,32 +138,20 @@ def _logistic(logit: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
-def train(texts: list[str], labels: np.ndarray, natural: float, langs: list, epochs: int = 4, seed: int = 7) -> Net:
-    """Fit on four fifths, calibrate on the rest. ``natural``: the share of label 1 among all labelled rows."""
-    rng, net, vocab = np.random.default_rng(seed), Net(), Vocabulary()
-    docs = [numbered(split(t), vocab) for t in texts]
-    rows = vocab.rows()
+def train(docs: list[np.ndarray], rows: np.ndarray, labels: np.ndarray, natural: float, langs: list, epochs: int | None = None, seed: int = 7) -> Net:
+    """Fit on four fifths, calibrate on the rest. ``docs`` number each text's words with padding, ``rows`` are the words'.
+
+    ``natural`` is the share of label 1 among all labelled rows.
+    """
+    rng, net = np.random.default_rng(seed), Net()
     y = labels.astype(np.float32)
     order = rng.permutation(len(docs))
     test, fit = order[: len(docs) // 5], order[len(docs) // 5 :]
-    # the first coordinate starts as how surely a bucket speaks for label 1, and the first filter reads it
-    seen = np.zeros((2, BUCKETS + 1))
-    for i in fit:
-        seen[int(y[i]), np.unique(rows[np.unique(docs[i])])] += 1
-    seen[:, BUCKETS] = 0
-    clean, toxic = seen + 0.5
-    total = np.bincount(y[fit].astype(int), minlength=2) + 1.0
-    odds = np.log(toxic / total[1]) - np.log(clean / total[0])
-    sure = np.abs(odds) - 2.0 * np.sqrt(1 / toxic + 1 / clean)
-    net.table[:, 0] = np.where((odds > 0) & (sure > 0), np.minimum(sure, 3), 0)
-    net.filters[0][0, :, 0] = 0
-    net.filters[0][0, 0, 0] = 1
-    net.out[0] = 1.0
     weight = np.where(y > 0, 0.5 / max(y[fit].mean(), 1e-6), 0.5 / max(1 - y[fit].mean(), 1e-6)).astype(np.float32)
     state: dict = {}
-    step = 0
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(fit), max(1, len(fit) // 32)):
+    step, steps = 0, max(1, len(fit) // TOGETHER)
+    for _ in range(epochs or min(max(-(-STEPS // steps), PASSES[0]), PASSES[1])):
+        for part in np.array_split(rng.permutation(fit), steps):
             step += 1
             ids = np.concatenate([docs[i] for i in part])
             starts = np.cumsum([0, *(len(docs[i]) for i in part[:-1])])
@@ -177,10 +176,13 @@ def train(texts: list[str], labels: np.ndarray, natural: float, langs: list, epo
             moved = np.flatnonzero(np.abs(g_vecs).sum(axis=1))
             np.subtract.at(net.table, rows[words[moved]], np.clip(g_vecs[moved], -0.05, 0.05)[:, None, :])
             net.table[BUCKETS] = 0
-    ids = np.concatenate([docs[i] for i in order])
-    starts = np.cumsum([0, *(len(docs[i]) for i in order[:-1])])
-    tops, _ = net.pooled(ids, starts, net.responses(vectors(net.table, rows)))
-    logit = net.logit(tops)[: len(test)].astype(float)
+    responses = net.responses(vectors(net.table, rows))
+    logit = np.zeros(len(test))
+    for part in np.array_split(np.arange(len(test)), max(1, len(test) // 100)):
+        some = [docs[i] for i in test[part]]
+        if some:
+            tops, _ = net.pooled(np.concatenate(some), np.cumsum([0, *(len(d) for d in some[:-1])]), responses)
+            logit[part] = net.logit(tops)
     _calibrate(net, logit, y[test], natural, [langs[i] for i in test])
     return net
 
@@ -233,14 +235,45 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
     picked = [known.filter(F.col("y") == y).orderBy(by_hash, "doc_id").limit(n) for y, n in ((1, toxic), (0, clean))]
     picked = picked[0].union(picked[1]).select(F.col("doc_id").alias("_id"), "y")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    text = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text"), lang.alias("lang"))
     rows = text.join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # at most ``toxic + clean`` ids
-    rows = rows.filter(f"text is not null and length(text) <= {SAMPLE_CHARS}").select("doc_id", "text", "lang", "y")
-    sample = rows.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    if sample["y"].nunique() < 2 or len(sample) < 10:
+    rows = rows.filter(f"text is not null and length(text) <= {SAMPLE_CHARS}")
+    first = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang", "y")).alias("r"))
+    hashed = first.select("doc_id", "r.text", "r.lang", "r.y").mapInArrow(_hashed, _HASHED)
+    sample = cut(hashed, "sample")
+    words = sample.select(F.explode(F.arrays_zip("words", "short", "long")).alias("w")).select("w.*").distinct().toArrow()
+    found = sample.select("doc_id", "lang", "y", "ids").orderBy("doc_id").toArrow()
+    drop(known), drop(sample)
+    y = found["y"].to_numpy()
+    if len(y) < 10 or len(set(y.tolist())) < 2:
         return None
+    hashes = np.stack([words[c].to_numpy().view(np.uint64) for c in ("words", "short", "long")], axis=1)
+    hashes = hashes[np.argsort(hashes[:, 0])]
+    table = np.concatenate((np.full((1, 2 * HASHES), BUCKETS, np.int32), buckets(hashes)))
+    numbered = [
+        np.pad(np.searchsorted(hashes[:, 0], np.frombuffer(ids.as_py(), np.uint64)).astype(np.int32) + 1, 2) for ids in found["ids"]
+    ]
     natural = counts.get(1, 0) / sum(counts.values())
-    return train(sample["text"].tolist(), sample["y"].to_numpy(), natural, sample["lang"].tolist())
+    return train(numbered, table, y, natural, found["lang"].to_pylist())
+
+
+_HASHED = "doc_id long, lang string, y int, ids binary, words array<long>, short array<long>, long array<long>"
+
+
+def _hashed(batches):
+    """Each text as its words' hashes in order, and its different words' hashes with those of their beginnings."""
+    for batch in batches:
+        ids, parts = [], [[], [], []]
+        for text in batch.column(1):
+            words = split(text.as_py())
+            different = {w: hashes_of(w) for w in words}
+            ids.append(np.array([different[w][0] for w in words], "<u8").tobytes())
+            for part, hashes in zip(parts, zip(*different.values()) if different else ((), (), ())):
+                part.append(np.array(hashes, np.uint64).view(np.int64))
+        lists = [pa.array(p, pa.list_(pa.int64())) for p in parts]
+        names = ["doc_id", "lang", "y", "ids", "words", "short", "long"]
+        first = [batch.column(0).cast(pa.int64()), batch.column(2), batch.column(3)]
+        yield pa.RecordBatch.from_arrays([*first, pa.array(ids, pa.binary()), *lists], names=names)
 
 
 class Scorer:
@@ -294,29 +327,28 @@ def _scorer(shared):
             _SCORERS.clear()
             scorer = _SCORERS[shared.value.key] = Scorer(shared.value)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            cols = [batch.column(n) for n in batch.schema.names if n != "_text"]
-            names = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(scorer(texts), pa.float64())], names=[*names, "_score"])
+            score = pa.array(scorer(batch.column(1).to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), score], names=["row", "score"])
 
     return run
 
 
 def with_scores(docs: DataFrame, net: Net | None) -> DataFrame:
-    """``docs`` with a column ``_score``: probability of label 1 for the whole text (null and empty texts too)."""
+    """``(row, score)``: each row of ``docs`` and the probability of label 1 for its whole text (null and empty ones too)."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
     if net is None:
-        return docs.withColumn("_score", F.lit(0.0))
+        return rows.select("row", F.lit(0.0).alias("score"))
     net.key = f"{zlib.crc32(net.table.tobytes())}-{zlib.crc32(net.out.tobytes())}-{net.slope}-{net.shift}"
     shared = docs.sparkSession.sparkContext.broadcast(net)  # its size is fixed
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(_scorer(shared), schema)
+    schema = T.StructType([T.StructField("row", docs.schema, False), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_scorer(shared), schema)
 
 
 def _threshold(net: Net | None, docs: DataFrame):
     if net is None or not net.thresholds or "lang" not in docs.columns:
         return F.lit(net.threshold if net else CUT)
     by_lang = F.create_map(*(x for k, v in sorted(net.thresholds.items()) for x in (F.lit(k), F.lit(v))))
-    return F.coalesce(by_lang[F.coalesce(F.col("lang").cast("string"), F.lit(""))], F.lit(net.threshold))
+    return F.coalesce(by_lang[F.coalesce(F.col("row.lang").cast("string"), F.lit(""))], F.lit(net.threshold))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -329,16 +361,20 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     columns = [c for c in ("doc_id", "text", "lang") if c in docs.columns]
     scored = with_scores(docs.select(*columns), net)
     return scored.select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= CUT).cast("int").alias("predicted"),
+        "row.doc_id",
+        held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= CUT).cast("int").alias("predicted"),
         _threshold(net, docs).alias("threshold"),
-        (F.col("_score") >= _threshold(net, docs)).alias("toxic"),
+        (F.col("score") >= _threshold(net, docs)).alias("toxic"),
     )
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that reach their language's threshold."""
+    """``docs`` without the rows that reach their language's threshold.
+
+    Every text is judged whole; null and empty texts count as texts without words; equal rows share their fate; without
+    labelled rows of both kinds nothing goes; an empty table stays empty. Columns of any name are carried along unread.
+    """
     net = fit(docs, labels)
-    return with_scores(docs, net).filter(F.col("_score") < _threshold(net, docs)).select(*docs.columns)
+    return with_scores(docs, net).filter(F.col("score") < _threshold(net, docs)).select("row.*")
