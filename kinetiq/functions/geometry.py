@@ -25,10 +25,11 @@ def joint_angle(a: Column, b: Column, c: Column) -> Column:
     return F.when((nu < 1e-8) | (nv < 1e-8), 180.0).otherwise(angle)
 
 
-def hip_drop(left: Column, right: Column) -> Column:
-    """Degrees of the hip line against the horizontal."""
+def hip_drop(left: Column, right: Column, y_up: bool = False) -> Column:
+    """Degrees of the hip line against the horizontal, positive where the left hip is higher (of smaller y unless y_up)."""
     width = dist(left, right)
-    ratio = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (left["y"] - right["y"]) / width))
+    rise = left["y"] - right["y"] if y_up else right["y"] - left["y"]
+    ratio = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rise / width))
     return F.when(width < 1e-8, 0.0).otherwise(F.degrees(F.asin(ratio)))
 
 
@@ -78,7 +79,7 @@ def limb_lengths(joints: Column, pairs: list[tuple[int, int]], hips: tuple[int,
 
 def landmark_bbox(joints: Column, least: float = 0.3, pad: float = 0.05) -> Column:
     """Box around the seen joints, padded and held within 0 to 1; null where none is seen."""
-    seen = F.filter(joints, lambda j: j["v"] >= least)
+    seen = F.filter(joints, lambda j: j["v"] > least)
     xs, ys = F.transform(seen, lambda j: j["x"]), F.transform(seen, lambda j: j["y"])
     low = lambda c: F.greatest(F.lit(0.0), F.array_min(c) - pad)
     high = lambda c: F.least(F.lit(1.0), F.array_max(c) + pad)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -82,19 +82,26 @@ def majority(df: DataFrame, key: str, label: str) -> DataFrame:
     return best.join(tied, key).select(key, "label", (F.col("top") / F.col("total")).alias("share"))
 
 
-def risk_trend(workouts: DataFrame, risks: DataFrame, user: Column, last: int) -> DataFrame:
-    """The user's latest workouts, oldest first, with all risks and a map of how often each occurs."""
-    own = workouts.filter(user).orderBy(F.desc("created_at"), F.desc("workout_id")).limit(last)
-    n = own.join(risks, "workout_id", "left").groupBy("workout_id", "created_at", "risk_name").agg(F.count("risk_name").alias("n"))
-    named = F.filter(F.collect_list(F.struct("risk_name", "n")), lambda e: e["risk_name"].isNotNull())
-    out = n.groupBy("workout_id", "created_at").agg(F.sum("n").alias("total"), F.map_from_entries(F.array_sort(named)).alias("counts"))
-    return out.orderBy("created_at", "workout_id")
+def risk_trend(workouts: DataFrame, risks: DataFrame, last: int) -> DataFrame:
+    """Each user's latest workouts with all risks and a map of how often each occurs; one without a name is ``unknown``."""
+    own = top_n(workouts, ["user_id"], [F.desc("created_at"), F.desc("workout_id")], last).select("user_id", "workout_id", "created_at")
+    n = risks.groupBy("workout_id", F.coalesce("risk_name", F.lit("unknown")).alias("risk_name")).agg(F.count("*").alias("n"))
+    entry = F.when(F.col("risk_name").isNotNull(), F.struct("risk_name", "n"))
+    counts = F.map_from_entries(F.array_sort(F.collect_list(entry)))
+    met = own.join(n, "workout_id", "left").groupBy("user_id", "workout_id", "created_at")
+    return met.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), counts.alias("counts"))
 
 
-def worst(events: DataFrame, keys: list[str], level: str, p: str) -> DataFrame:
-    """Per key: events, the largest probability and the worst level."""
-    order = F.expr(f"array_position(array('LOW', 'MODERATE', 'HIGH', 'CRITICAL'), {level})")
-    return events.groupBy(*keys).agg(F.count("*").alias("events"), F.max(p).alias("max_p"), F.max_by(level, order).alias("worst"))
+def crash_summary(events: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Per subject: events that it is one of the two of (``a``, ``b``), the largest probability ``p`` and the worst level.
+
+    A subject without an event has probability 0 and level NONE.
+    """
+    order = F.expr("array_position(array('LOW', 'MODERATE', 'HIGH', 'CRITICAL'), level)")
+    sides = F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
+    own = events.withColumn("subject", F.explode(sides))
+    found = own.groupBy("subject").agg(F.count("*").alias("events"), F.max("p").alias("max_p"), F.max_by("level", order).alias("worst"))
+    return subjects.join(found, "subject", "left").fillna({"events": 0, "max_p": 0.0, "worst": "NONE"})
 
 
 def latest_state(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinetiq.functions.geometry import bbox_iou
-from kinetiq.operators.ordered import l2
 
 
 def pairs_in_frame(df: DataFrame, keys: list[str], subject: str) -> DataFrame:
@@ -23,21 +25,27 @@ def overlaps(df: DataFrame, keys: list[str], subject: str, least: float = 0.05)
 
 
 def closing_speed(df: DataFrame, seq: list[str], frame: str, subject: str, threshold: float = 1.5, least: float = 0.1, most: int = 5, fps: float = 30.0) -> DataFrame:
-    """How fast the centres of two boxes near each other from one frame to the next: the ``most`` fastest of a frame.
+    """How fast the centres of two boxes near each other since the sequence's frame before: the ``most`` fastest of a frame.
 
-    Both have to be in both frames. A time step outside (0, 1) counts as 1 / fps; ``t`` is the frame's time.
+    Both have to be in both frames, so each row takes its subject's last centre along before pairs are made. A time step
+    outside (0, 1) counts as 1 / fps; ``t`` is the frame's time. ``warning`` says that the frame's fastest pair reaches
+    ``threshold``.
     """
-    centre = df.withColumn("cx", (F.col("x1") + F.col("x2")) / 2).withColumn("cy", (F.col("y1") + F.col("y2")) / 2)
-    p = pairs_in_frame(centre.select(*seq, frame, subject, "t", "cx", "cy"), [*seq, frame], subject)
-    p = p.withColumn("d", F.sqrt(F.pow(F.col("a_cx") - F.col("b_cx"), 2) + F.pow(F.col("a_cy") - F.col("b_cy"), 2)))
-    pair = Window.partitionBy(*seq, f"a_{subject}", f"b_{subject}").orderBy(frame)
-    next_to = F.lag(frame).over(pair) == F.col(frame) - 1
-    dt = F.col("a_t") - F.lag("a_t").over(pair)
-    dt = F.when((dt > 0) & (dt < 1), dt).otherwise(1 / fps)
-    speed = p.withColumn("speed", F.when(next_to, (F.lag("d").over(pair) - F.col("d")) / dt)).filter(F.col("speed") > least)
-    top = Window.partitionBy(*seq, frame).orderBy(F.desc("speed"), f"a_{subject}", f"b_{subject}")
-    ranked = speed.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= most)
-    return ranked.select(*seq, frame, f"a_{subject}", f"b_{subject}", "speed", "rank", (F.col("speed") > threshold).alias("warning"))
+    frames = df.groupBy(*seq, frame).agg(F.min("t").alias("_t"))
+    before = Window.partitionBy(*seq).orderBy(frame)
+    frames = frames.select(*seq, frame, F.lag(frame).over(before).alias("_frame"), (F.col("_t") - F.lag("_t").over(before)).alias("_dt"))
+    own = Window.partitionBy(*seq, subject).orderBy(frame)
+    c = df.select(*seq, frame, subject, ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"))
+    c = c.withColumns({"px": F.lag("cx").over(own), "py": F.lag("cy").over(own), "pf": F.lag(frame).over(own)})
+    c = c.join(frames, [*seq, frame]).filter("pf = _frame").drop("pf", "_frame")
+    p = pairs_in_frame(c, [*seq, frame], subject)
+    apart = lambda x, y: F.sqrt(F.pow(F.col(f"a_{x}") - F.col(f"b_{x}"), 2) + F.pow(F.col(f"a_{y}") - F.col(f"b_{y}"), 2))
+    dt = F.when((F.col("a__dt") > 0) & (F.col("a__dt") < 1), F.col("a__dt")).otherwise(1 / fps)
+    p = p.withColumn("speed", (apart("px", "py") - apart("cx", "cy")) / dt).filter(F.col("speed") > least)
+    in_frame = Window.partitionBy(*seq, frame)
+    top = in_frame.orderBy(F.desc("speed"), f"a_{subject}", f"b_{subject}")
+    ranked = p.withColumn("warning", F.max("speed").over(in_frame) >= threshold).withColumn("rank", F.row_number().over(top))
+    return ranked.filter(F.col("rank") <= most).select(*seq, frame, f"a_{subject}", f"b_{subject}", "speed", "rank", "warning")
 
 
 def in_segments(frames: DataFrame, segments: DataFrame, keys: list[str], at: str, start: str = "start", end: str = "end") -> DataFrame:
@@ -60,40 +68,73 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, columns:
     return met.select(*left.columns, *(F.col("_v")[f"r_{c}"].alias(f"r_{c}") for c in columns))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+#: Numbers of a block of queries that are broadcast together, and so held by a task: rows times dimensions.
+BLOCK_NUMBERS = 4_000_000
 
 
-def vector_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", on: list[str] | None = None, most: int = 10_000) -> DataFrame:
-    """The ``k`` best corpus rows of each query: (query_id, rank, uuid, score); equal scores by uuid.
+def _scored(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "cosine":
+        return vectors @ queries.T  # both of unit length, or zero
+    return -np.sqrt(np.maximum(0, (vectors**2).sum(axis=1)[:, None] - 2 * vectors @ queries.T + (queries**2).sum(axis=1)))
 
-    ``queries(query_id, q, ...)`` is broadcast in blocks of at most ``most`` rows; ``on`` are metadata columns that have to
-    be equal. Where there is more than one block, they are dealt by a hash of the query and each one's result is written
-    before the next is searched. The rank is limited in every task before rows are shuffled.
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def vector_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", on: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """The ``k`` best corpus rows of each query: (query_id, rank, uuid, score, the corpus's other columns).
+
+    Scores are equal to 1e-9 rank by uuid; a row isn't its own neighbour; ``on`` are metadata columns that have to be equal.
+    Queries are dealt into blocks of bounded size by a hash; a block is broadcast and met by the corpus in one matrix
+    product a batch, of which each query's best leave the task. Rows are numbered by blocks, so any number of queries works.
     """
+    spark, on = queries.sparkSession, on or []
+    dim = queries.select(F.max(F.size("q"))).first()[0]
+    if not dim or dim < 0:
+        dim = 1
     many = queries.count()
-    blocks = 1 if many <= most else -(-5 * many // (4 * most))
-    while blocks > 1:
-        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        if blocks >= many or queries.groupBy(block.alias("b")).count().agg(F.max("count")).first()[0] <= most:
-            break
-        blocks *= 2
-    if blocks > 1:
-        from kinetiq.llm.store import cut
-
-        parts = [cut(_searched(queries.filter(block == b), corpus, k, metric, on), "search") for b in range(blocks)]
-        return reduce(DataFrame.unionByName, parts)
-    return _searched(queries, corpus, k, metric, on)
-
-
-def _searched(queries: DataFrame, corpus: DataFrame, k: int, metric: str, on: list[str] | None) -> DataFrame:
-    value = cosine(F.col("q"), F.col("vector")) if metric == "cosine" else -l2(F.col("q"), F.col("vector"))
-    both = corpus.join(F.broadcast(queries), on) if on else corpus.crossJoin(F.broadcast(queries))
-    scored = both.filter(F.col("query_id") != F.col("uuid")).withColumn("score", value)
+    blocks = max(1, -(-many // (most or max(1, BLOCK_NUMBERS // dim))))
+    extra = [c for c in corpus.columns if c not in ("uuid", "vector")]
+    kind = corpus.schema["uuid"].dataType
+    schema = T.StructType(
+        [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("uuid", kind), T.StructField("score", T.DoubleType())]
+        + [corpus.schema[c] for c in extra]
+    )
+    parts = []
+    for b in range(blocks):
+        rows = queries.select("query_id", "q", *on).filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
+        if not len(rows):
+            continue
+        matrix = np.array(rows["q"].tolist(), float)
+        held = (rows["query_id"].to_numpy(), _unit(matrix) if metric == "cosine" else matrix, [rows[c].to_numpy() for c in on])
+        shared = spark.sparkContext.broadcast(held)  # BLOCK_NUMBERS numbers
+
+        def search(batches, shared=shared):
+            ids, matrix, same = shared.value
+            for batch in batches:
+                batch = batch[batch["vector"].notna()]
+                if not len(batch):
+                    continue
+                vectors = np.array(batch["vector"].tolist(), float)
+                score = _scored(_unit(vectors) if metric == "cosine" else vectors, matrix, metric).round(9)
+                uuid = batch["uuid"].to_numpy()
+                fits = uuid[:, None] != ids[None, :]
+                for c, values in zip(on, same):
+                    fits &= batch[c].to_numpy()[:, None] == values[None, :]
+                score = np.where(fits, score, -np.inf)
+                take = min(k, len(batch))
+                edge = np.partition(score, len(batch) - take, axis=0)[len(batch) - take]
+                row, query = np.nonzero((score >= edge) & (score > -np.inf))
+                out = pd.DataFrame({"query_id": ids[query], "uuid": uuid[row], "score": score[row, query]})
+                yield pd.concat([out, batch[extra].iloc[row].reset_index(drop=True)], axis=1)
+
+        parts.append(corpus.select("uuid", "vector", *extra).mapInPandas(search, schema))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "uuid")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("q", "vector")
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def best_match(queries: DataFrame, corpus: DataFrame, threshold: float, column: str, missing: str | None = None) -> DataFrame:
@@ -110,3 +151,10 @@ def match_profile(labels: DataFrame, profiles: DataFrame, column: str, default:
     met = clean.join(F.broadcast(profiles), F.contains(F.col("_l"), F.col("keyword")), "left")
     best = met.groupBy(column).agg(F.min_by("profile", "rank").alias("profile"))
     return best.withColumn("profile", F.coalesce("profile", F.lit(default)))
+
+
+def game_detail(games: DataFrame, frames: DataFrame, keys: list[str], order: list[str], most: int = 5000) -> DataFrame:
+    """Every game with its first ``most`` frames in order, numbered from 1; a game without frames has one row of nulls."""
+    own = Window.partitionBy(*keys).orderBy(*order)
+    first = frames.withColumn("n", F.row_number().over(own)).filter(F.col("n") <= most)
+    return games.join(first, keys, "left")

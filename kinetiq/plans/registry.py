@@ -58,15 +58,27 @@ def e3_decaying_peak(spark, d):
 @query(with_views(""", d AS (SELECT subject_id, frame, list_transform(list_zip(f, lag(f) OVER w), lambda z: z[1] - z[2]) AS v0, lag(f) OVER w AS p, f FROM feat
   WINDOW w AS (PARTITION BY subject_id ORDER BY frame)),
 v AS (SELECT subject_id, frame, CASE WHEN p IS NOT NULL THEN v0 END AS v FROM d),
-a AS (SELECT *, CASE WHEN v IS NOT NULL AND lag(v) OVER w IS NOT NULL THEN list_transform(list_zip(v, lag(v) OVER w), lambda z: z[1] - z[2]) END AS a
+a AS (SELECT *, lag(v) OVER w AS u, CASE WHEN v IS NOT NULL AND lag(v) OVER w IS NOT NULL THEN list_transform(list_zip(v, lag(v) OVER w), lambda z: z[1] - z[2]) END AS a
   FROM v WINDOW w AS (PARTITION BY subject_id ORDER BY frame)),
 j AS (SELECT *, CASE WHEN a IS NOT NULL AND lag(a) OVER w IS NOT NULL THEN list_transform(list_zip(a, lag(a) OVER w), lambda z: z[1] - z[2]) END AS j
-  FROM a WINDOW w AS (PARTITION BY subject_id ORDER BY frame))
-SELECT subject_id, frame, round(sqrt(greatest(0, list_dot_product(a, a) - list_dot_product(v, a) ** 2 / list_dot_product(v, v))) / list_dot_product(v, v), 4) AS curvature,
-  round(sqrt(list_dot_product(j, j)), 4) AS jerk FROM j WHERE j IS NOT NULL""", "feat"))
+  FROM a WINDOW w AS (PARTITION BY subject_id ORDER BY frame)),
+k AS (SELECT subject_id, frame, [coalesce(u[i], 0) FOR i IN range(1, 29)] AS u, [coalesce(a[i], 0) FOR i IN range(1, 29)] AS a, [coalesce(j[i], 0) FOR i IN range(1, 29)] AS j FROM j)
+SELECT subject_id, frame, round(CASE WHEN sqrt(list_dot_product(u, u)) < 1e-8 THEN 0
+  ELSE sqrt(greatest(0, list_dot_product(a, a) - list_dot_product(u, a) ** 2 / list_dot_product(u, u))) / list_dot_product(u, u) END, 4) AS curvature,
+  round(sqrt(list_dot_product(j, j)), 4) AS jerk FROM k""", "feat"))
 def e5_curvature_jerk(spark, d):
-    out = E.curvature_jerk(V.feat(spark, d), KEY, ORDER).filter("jerk is not null")
-    return out.select(*KEY, *ORDER, r("curvature").alias("curvature"), r("jerk").alias("jerk"))
+    return E.curvature_jerk(V.feat(spark, d), KEY, ORDER).select(*KEY, *ORDER, r("curvature").alias("curvature"), r("jerk").alias("jerk"))
+
+
+@query(with_views(""", h AS (SELECT subject_id, frame, list(velocity) FILTER (velocity IS NOT NULL) OVER (PARTITION BY subject_id ORDER BY frame ROWS 39 PRECEDING) AS h FROM signal),
+m AS (SELECT subject_id, frame, list_avg(h[1:len(h) // 2]) AS a, list_avg(h[len(h) // 2 + 1:]) AS b FROM h WHERE len(h) >= 20),
+w AS (SELECT subject_id, frame, CASE WHEN a > 1e-6 THEN greatest(0, least(1, (a - b) / a)) ELSE 0 END AS raw FROM m),
+e AS (SELECT x.subject_id, x.frame, sum(0.05::DOUBLE * pow(0.95::DOUBLE, x.frame - y.frame) * y.raw) AS f FROM w x JOIN w y ON x.subject_id = y.subject_id AND y.frame <= x.frame GROUP BY ALL)
+SELECT s.subject_id, s.frame, round(coalesce(f, 0), 4) AS fatigue FROM signal s LEFT JOIN e USING (subject_id, frame)""", "signal"))
+def e6_fatigue_index(spark, d):
+    """With a window of 40 rows and 20 at least, as the tables' subjects are short."""
+    out = E.fatigue_index(V.signal(spark, d), KEY, ORDER, "velocity", rows=40, least=20)
+    return out.select(*KEY, *ORDER, r("fatigue").alias("fatigue"))
 
 
 @query(with_views(""", e AS (SELECT subject_id, frame, x * pow(0.995::DOUBLE, 100 - frame) AS s FROM signal)
@@ -94,12 +106,12 @@ def e12_consolidate_events(spark, d):
 
 
 @query(with_views(""", g AS (SELECT subject_id, frame, frame - row_number() OVER (PARTITION BY subject_id ORDER BY frame) AS g FROM signal WHERE velocity >= 0.3)
-SELECT subject_id, min(frame) AS start, max(frame) + 1 AS "end" FROM g GROUP BY subject_id, g""", "signal"))
+SELECT subject_id, min(frame) AS start, max(frame) AS "end" FROM g GROUP BY subject_id, g""", "signal"))
 def e13_contiguous_regions(spark, d):
     return E.contiguous_regions(V.signal(spark, d), KEY, "frame", F.col("velocity") >= 0.3)
 
 
-_RUNS = """, n AS (SELECT *, coalesce(lag(kind) OVER w <> kind, true)::INT AS b FROM signal WINDOW w AS (PARTITION BY subject_id ORDER BY frame)),
+_RUNS = """, n AS (SELECT *, (row_number() OVER w = 1 OR lag(kind) OVER w IS DISTINCT FROM kind)::INT AS b FROM signal WINDOW w AS (PARTITION BY subject_id ORDER BY frame)),
 i AS (SELECT *, sum(b) OVER (PARTITION BY subject_id ORDER BY frame) AS i FROM n)"""
 
 
@@ -116,9 +128,10 @@ def e16_timeline_segments(spark, d):
     return out.select("subject_id", "kind", r("start", 3).alias("start"), r("end", 3).alias("end"), "n")
 
 
-@query(with_views(""", c AS (SELECT subject_id, kind, lag(kind) OVER (PARTITION BY subject_id ORDER BY frame) <> kind AS c FROM signal),
-a AS (SELECT subject_id, count(DISTINCT kind) AS l, coalesce(sum(c::INT), 0) AS c, count(*) AS n FROM c GROUP BY 1)
-SELECT subject_id, CASE WHEN l = 1 THEN 'uniform' WHEN c = l - 1 THEN 'sequential' WHEN c > 0.5 * (n - 1) THEN 'alternating' ELSE 'mixed' END AS pattern FROM a""", "signal"))
+@query(with_views(""", c AS (SELECT subject_id, kind, frame, lag(kind) OVER (PARTITION BY subject_id ORDER BY frame) AS before FROM signal),
+v AS (SELECT *, row_number() OVER (PARTITION BY subject_id, kind ORDER BY frame) > 1 AS seen FROM c WHERE before IS NULL OR before <> kind),
+a AS (SELECT subject_id, count(DISTINCT kind) AS labels, count(*) AS runs, count(*) FILTER (WHERE seen) AS revisits FROM v GROUP BY 1)
+SELECT subject_id, CASE WHEN labels = 1 THEN 'uniform' WHEN runs = labels THEN 'sequential' WHEN revisits >= 2 OR (revisits = 1 AND labels = 2) THEN 'alternating' ELSE 'mixed' END AS pattern FROM a""", "signal"))
 def e19_temporal_pattern(spark, d):
     return E.temporal_pattern(V.signal(spark, d), KEY, ORDER, "kind")
 
@@ -167,8 +180,11 @@ def e35_track_changes(spark, d):
     return E.track_changes(V.signal(spark, d).withColumn("track", F.col("k") % 4), KEY, ORDER, "track")
 
 
-@query(with_views("""SELECT subject_id, frame, round(CASE WHEN t - lag(t) OVER w > 0.001 THEN abs(x - lag(x) OVER w) / (t - lag(t) OVER w) END * 1000, 4) AS acceleration
-FROM signal WINDOW w AS (PARTITION BY subject_id ORDER BY frame)""", "signal"))
+@query(with_views(""", s AS (SELECT subject_id, frame, CASE WHEN t - lag(t) OVER w > 0.001 THEN abs(x - lag(x) OVER w) / (t - lag(t) OVER w) END AS a
+  FROM signal WINDOW w AS (PARTITION BY subject_id ORDER BY frame)),
+n AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY frame) AS i FROM s WHERE a IS NOT NULL)
+SELECT p.subject_id, p.frame, round(1000 * sum(CASE WHEN q.i = 1 THEN 1 ELSE 0.3::DOUBLE END * pow(0.7::DOUBLE, p.i - q.i) * q.a), 4) AS acceleration
+FROM n p JOIN n q ON p.subject_id = q.subject_id AND q.i <= p.i GROUP BY ALL""", "signal"))
 def e36_acceleration_series(spark, d):
     out = E.acceleration_series(V.signal(spark, d), KEY, ORDER, "t", "x")
     return out.select(*KEY, *ORDER, r(F.col("acceleration") * 1000).alias("acceleration"))
@@ -184,10 +200,13 @@ def c1_pairs_in_frame(spark, d):
 
 
 @query(with_views(""", c AS (SELECT seq_id, frame, subject_id, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM boxes),
-p AS (SELECT a.seq_id, a.frame, a.subject_id AS a, b.subject_id AS b, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) AS d FROM c a JOIN c b ON a.seq_id = b.seq_id AND a.frame = b.frame AND a.subject_id < b.subject_id),
-s AS (SELECT p.seq_id, p.frame, p.a, p.b, (q.d - p.d) * 30 AS speed FROM p JOIN p q ON q.seq_id = p.seq_id AND q.a = p.a AND q.b = p.b AND q.frame = p.frame - 1),
-k AS (SELECT *, row_number() OVER (PARTITION BY seq_id, frame ORDER BY speed DESC, a, b) AS rank FROM s WHERE speed > 0.1)
-SELECT seq_id, frame, a, b, round(speed, 4) AS speed, rank, speed > 1.5 AS warning FROM k WHERE rank <= 5""", "boxes"))
+f AS (SELECT seq_id, frame, lag(frame) OVER (PARTITION BY seq_id ORDER BY frame) AS before FROM (SELECT DISTINCT seq_id, frame FROM boxes)),
+m AS (SELECT c.*, p.cx AS px, p.cy AS py FROM c JOIN f USING (seq_id, frame) JOIN c p ON p.seq_id = c.seq_id AND p.subject_id = c.subject_id AND p.frame = f.before),
+s AS (SELECT a.seq_id, a.frame, a.subject_id AS a, b.subject_id AS b,
+  (sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2) - sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2)) * 30 AS speed
+  FROM m a JOIN m b ON a.seq_id = b.seq_id AND a.frame = b.frame AND a.subject_id < b.subject_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY seq_id, frame ORDER BY speed DESC, a, b) AS rank, max(speed) OVER (PARTITION BY seq_id, frame) >= 1.5 AS warning FROM s WHERE speed > 0.1)
+SELECT seq_id, frame, a, b, round(speed, 4) AS speed, rank, warning FROM k WHERE rank <= 5""", "boxes"))
 def c2_closing_speed(spark, d):
     b = V.boxes(spark, d).withColumn("t", F.col("frame").cast("double"))
     out = J.closing_speed(b, ["seq_id"], "frame", "subject_id")
@@ -211,7 +230,7 @@ s AS (SELECT subject_id, min(frame) AS st, max(frame) + 1 AS en FROM g GROUP BY
 SELECT f.subject_id, f.frame, s.st AS start FROM signal f JOIN s ON s.subject_id = f.subject_id AND f.frame >= s.st AND f.frame < s.en""", "signal"))
 def c5_frames_to_segments(spark, d):
     s = V.signal(spark, d)
-    seg = E.contiguous_regions(s, KEY, "frame", F.col("velocity") >= 0.3)
+    seg = E.contiguous_regions(s, KEY, "frame", F.col("velocity") >= 0.3).withColumn("end", F.col("end") + 1)
     return J.in_segments(s.select(*KEY, *ORDER), seg, KEY, "frame").select(*KEY, *ORDER, F.col("s_start").alias("start"))
 
 
@@ -269,14 +288,13 @@ def c13_match_profile(spark, d):
     return J.match_profile(V.workout_rows(spark, d), profiles, "label")
 
 
-@query("""SELECT o_orderkey, o_custkey, count(l_orderkey) AS n, round(coalesce(sum(l_quantity), 0), 2) AS total FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey
-WHERE o_custkey % 97 = 5 GROUP BY ALL""")
+@query("""WITH g AS (SELECT o_orderkey, o_custkey FROM orders), f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem)
+SELECT o_orderkey, o_custkey, l_linenumber, l_partkey, l_suppkey, n FROM g LEFT JOIN f ON l_orderkey = o_orderkey AND n <= 5000""")
 def c17_game_detail(spark, d):
-    """A player's rows joined with all of their frames: here the orders of some customers with their lines."""
-    o = V.table(spark, d, "orders").filter("o_custkey % 97 = 5").select("o_orderkey", "o_custkey")
-    lines = V.table(spark, d, "lineitem").select("l_orderkey", "l_quantity")
-    j = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return j.groupBy("o_orderkey", "o_custkey").agg(F.count("l_orderkey").alias("n"), r(F.coalesce(F.sum("l_quantity"), F.lit(0)), 2).alias("total"))
+    """Every game (an order) with its first 5000 frames (lines) in order."""
+    games = V.table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    frames = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey")
+    return J.game_detail(games, frames, ["o_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"])
 
 
 # Aggregations
@@ -338,16 +356,16 @@ def d13_risk_status(spark, d):
     return out.withColumn("fatigue", r("fatigue"))
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_orderdate FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10),
-n AS (SELECT o_orderkey, l_returnflag, count(*) AS n FROM o JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
-SELECT o.o_orderkey AS workout_id, coalesce(sum(n), 0)::BIGINT AS total, coalesce(string_agg(l_returnflag || ':' || n, ',' ORDER BY l_returnflag), '') AS counts FROM o LEFT JOIN n USING (o_orderkey) GROUP BY 1""")
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders),
+l AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'N' THEN 'unknown' ELSE l_returnflag END AS risk FROM lineitem),
+n AS (SELECT o_orderkey, risk, count(*) AS n FROM o JOIN l ON l_orderkey = o_orderkey WHERE k <= 10 GROUP BY ALL)
+SELECT o_custkey AS user_id, o.o_orderkey AS workout_id, coalesce(sum(n), 0)::BIGINT AS total, coalesce(string_agg(risk || ':' || n, ',' ORDER BY risk), '') AS counts
+FROM o LEFT JOIN n USING (o_orderkey) WHERE k <= 10 GROUP BY 1, 2""")
 def d14_risk_trend(spark, d):
-    w = V.workout_rows(spark, d)
-    first = w.agg(F.min("user_id").alias("u"))
-    own = w.join(F.broadcast(first), F.col("user_id") == F.col("u")).drop("u")
-    out = A.risk_trend(own, V.risk_rows(spark, d), F.lit(True), 10)
+    risks = V.risk_rows(spark, d).withColumn("risk_name", F.when(F.col("risk_name") != "N", F.col("risk_name")))
+    out = A.risk_trend(V.workout_rows(spark, d), risks, 10)
     text = F.concat_ws(",", F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))))
-    return out.select("workout_id", "total", text.alias("counts"))
+    return out.select("user_id", "workout_id", "total", text.alias("counts"))
 
 
 _HIT = """, p AS (SELECT *, greatest(0.1, 0.55::DOUBLE - 0.025::DOUBLE * speed) AS e,
@@ -375,11 +393,16 @@ def b21_impact_physics(spark, d):
     )
 
 
-@query(with_views(_HIT + """ SELECT l_orderkey, count(*) AS events, round(max(prob), 4) AS max_p,
-  ['LOW', 'MODERATE', 'HIGH', 'CRITICAL'][max(list_position(['LOW', 'MODERATE', 'HIGH', 'CRITICAL'], level))] AS worst FROM i GROUP BY 1""", "impact_rows"))
+@query(with_views(_HIT + """, e AS (SELECT l_suppkey AS a, l_partkey AS b, level, prob FROM i WHERE l_linenumber <= 3),
+s AS (SELECT l_suppkey AS subject FROM i UNION SELECT l_partkey FROM i),
+x AS (SELECT a AS subject, level, prob FROM e UNION ALL SELECT b, level, prob FROM e WHERE b <> a)
+SELECT subject, count(level) AS events, round(coalesce(max(prob), 0), 4) AS max_p,
+  coalesce(['LOW', 'MODERATE', 'HIGH', 'CRITICAL'][max(list_position(['LOW', 'MODERATE', 'HIGH', 'CRITICAL'], level))], 'NONE') AS worst FROM s LEFT JOIN x USING (subject) GROUP BY 1""", "impact_rows"))
 def d15_crash_summary(spark, d):
-    e = _impacts(spark, d).select("l_orderkey", F.col("i.level").alias("level"), F.col("i.probability").alias("p"))
-    return A.worst(e, ["l_orderkey"], "level", "p").withColumn("max_p", r("max_p"))
+    """Events of both subjects of a pair (a line's supplier and part); subjects without one have worst NONE."""
+    i = _impacts(spark, d).select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), "l_linenumber", F.col("i.level").alias("level"), F.col("i.probability").alias("p"))
+    subjects = i.select(F.col("a").alias("subject")).union(i.select("b")).distinct()
+    return A.crash_summary(i.filter("l_linenumber <= 3"), subjects).withColumn("max_p", r("max_p"))
 
 
 @query(with_views("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(least(150, greatest(30, 22 * (l_quantity::DOUBLE * 40 * 0.001::DOUBLE) ** 2)), 3) AS mass FROM lineitem""", "impact_rows"))
@@ -417,7 +440,7 @@ def b11_joint_angle(spark, d):
     return V.pose14(spark, d).select("vec_id", r(G.joint_angle(j(6), j(8), j(10)), 3).alias("angle"))
 
 
-@query(with_views("""SELECT vec_id, round(degrees(asin(greatest(-1, least(1, (l.y - h.y) / sqrt((l.x - h.x) ** 2 + (l.y - h.y) ** 2))))), 3) AS hip_drop,
+@query(with_views("""SELECT vec_id, round(degrees(asin(greatest(-1, least(1, (h.y - l.y) / sqrt((l.x - h.x) ** 2 + (l.y - h.y) ** 2))))), 3) AS hip_drop,
 round(degrees(atan2((s.x + t.x) / 2 - (l.x + h.x) / 2, (l.y + h.y) / 2 - (s.y + t.y) / 2)), 3) AS trunk_lean
 FROM (SELECT vec_id, joints[7] AS l, joints[8] AS h, joints[1] AS s, joints[2] AS t FROM pose14)""", "pose14"))
 def b13_hip_drop_trunk_lean(spark, d):
@@ -431,7 +454,7 @@ def b4_visibility_gate(spark, d):
     return V.pose14(spark, d).select("vec_id", G.visible(F.col("joints"), [0, 1, 6, 7]).alias("seen"))
 
 
-@query(with_views(""", s AS (SELECT vec_id, [j FOR j IN joints IF j.v >= 0.3] AS s FROM pose14)
+@query(with_views(""", s AS (SELECT vec_id, [j FOR j IN joints IF j.v > 0.3] AS s FROM pose14)
 SELECT vec_id, round(greatest(0, list_min([j.x FOR j IN s]) - 0.05), 4) AS x1, round(greatest(0, list_min([j.y FOR j IN s]) - 0.05), 4) AS y1,
 round(least(1, list_max([j.x FOR j IN s]) + 0.05), 4) AS x2, round(least(1, list_max([j.y FOR j IN s]) + 0.05), 4) AS y2 FROM s WHERE len(s) > 0""", "pose14"))
 def b33_landmark_bbox(spark, d):
@@ -509,10 +532,10 @@ s AS (SELECT g.subject_id, g.cycle, phase, unnest(range(28)) AS dim, unnest(a.f)
 b AS (SELECT subject_id, phase, dim, avg(v) AS mean, greatest(stddev_pop(v), 1e-6) AS std FROM s GROUP BY ALL)"""
 
 
-@query(with_views(_CYCLE + " SELECT subject_id, cycle, phase, dim, round(v, 4) AS v FROM s WHERE dim < 3", "feat"))
+@query(with_views(_CYCLE + " SELECT subject_id, cycle, phase, dim, round(v, 4) AS v FROM s", "feat"))
 def f4_resample(spark, d):
     out = C.resample(_cycles(spark, d), ["subject_id", "cycle"], 10)
-    return out.select("subject_id", "cycle", "phase", F.posexplode("f").alias("dim", "v")).filter("dim < 3").withColumn("v", r("v"))
+    return out.select("subject_id", "cycle", "phase", F.posexplode("f").alias("dim", "v")).withColumn("v", r("v"))
 
 
 @query(with_views(_CYCLE + " SELECT subject_id, phase, dim, round(mean, 4) AS mean, round(std, 4) AS std FROM b", "feat"))
@@ -558,9 +581,9 @@ def d6_gait_summary(spark, d):
     return w.groupBy(F.col("label").alias("gait")).agg(r(F.avg("fatigue_score"), 5).alias("mean"), F.count("*").alias("n"))
 
 
-@query(with_views("SELECT subject_id, frame, round(x, 4) AS x FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY t DESC, frame DESC) AS n FROM signal) WHERE n <= 50 AND subject_id % 7 = 3", "signal"))
+@query(with_views("SELECT subject_id, frame, round(x, 4) AS x FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY t DESC, frame DESC) AS n FROM signal) WHERE n <= 50", "signal"))
 def g6_person_history(spark, d):
-    own = A.top_n(V.signal(spark, d).filter("subject_id % 7 = 3"), KEY, [F.desc("t"), F.desc("frame")], 50)
+    own = A.top_n(V.signal(spark, d), KEY, [F.desc("t"), F.desc("frame")], 50)
     return own.select(*KEY, *ORDER, r("x").alias("x"))
 
 
@@ -652,11 +675,11 @@ def d5_sequence_summary(spark, d):
 
 
 @query("""SELECT o_custkey % 500 AS user_id, round(product(CASE WHEN o_orderkey % 7 IN (0, 5) THEN f ELSE 1 END), 6) AS fppa, round(product(CASE WHEN o_orderkey % 7 IN (2, 3) THEN f ELSE 1 END), 6) AS hip_drop
-FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 0.65::DOUBLE WHEN '2-HIGH' THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END AS f FROM orders WHERE o_orderkey % 11 = 0) GROUP BY 1""")
+FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 0.65::DOUBLE WHEN '2-HIGH' THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END AS f FROM orders) GROUP BY 1""")
 def d23_injury_modifiers(spark, d):
     kinds = F.array(*(F.lit(k) for k in ("acl", "shoulder", "lower_back", "hip", "hamstring", "knee_general", "unknown")))
     severity = F.when(F.col("o_orderpriority") == "1-URGENT", "severe").when(F.col("o_orderpriority") == "2-HIGH", "moderate").otherwise("mild")
-    o = V.table(spark, d, "orders").filter("o_orderkey % 11 = 0")
+    o = V.table(spark, d, "orders")
     i = o.select((F.col("o_custkey") % 500).alias("user_id"), F.get(kinds, (F.col("o_orderkey") % 7).cast("int")).alias("type"), severity.alias("severity"))
     m = A.injury_modifiers(i, ["user_id"])
     return m.select("user_id", r("fppa_scale", 6).alias("fppa"), r("hip_drop_scale", 6).alias("hip_drop"))

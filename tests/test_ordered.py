@@ -1,5 +1,6 @@
 """Edge rows of the ordered operators: one row, ties, nulls and equal values."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kinetiq.functions import geometry as G
@@ -89,3 +90,54 @@ def test_empty_inputs(spark):
     assert E.ema(empty, ["s"], ["i"], "x", 0.5).count() == 0
     assert A.workload(empty.withColumn("velocity", F.col("x")), ["s"]).count() == 0
     assert E.contiguous_regions(empty, ["s"], "i", F.col("x") > 0).count() == 0
+
+
+def test_a_null_key_is_one_key(spark):
+    df = frame(spark, [(None, 0, 2.0), (None, 1, 4.0), (None, 2, 8.0), (1, 0, 5.0)], "s int, i int, x double")
+    got = {(r.s, r.i): r.ema for r in E.ema(df, ["s"], ["i"], "x", 0.5).collect()}
+    assert got == {(None, 0): 2.0, (None, 1): 3.0, (None, 2): 5.5, (1, 0): 5.0}
+
+
+def test_recurrence_over_blocks():
+    x, y, out = np.random.default_rng(1).standard_normal(1000), 3.0, []
+    for v in x:
+        y = v + 0.9 * y
+        out.append(y)
+    assert np.allclose(E.recurrence(x, 0.9, 3.0), out)
+
+
+def test_fatigue_falls_back_to_zero(spark):
+    df = frame(spark, [(1, i, 0.0 if i < 4 else 1.0) for i in range(6)], "s int, i int, x double")
+    got = [r.fatigue for r in E.fatigue_index(df, ["s"], ["i"], "x", rows=6, least=4).orderBy("i").collect()]
+    assert got == [0.0] * 6
+    falling = df.withColumn("x", 6.0 - F.col("i"))  # of 6, 5 | 4, 3, of 6, 5 | 4, 3, 2 and of 6, 5, 4 | 3, 2, 1
+    got = [r.fatigue for r in E.fatigue_index(falling, ["s"], ["i"], "x", rows=6, least=4).orderBy("i").collect()]
+    want = [0.0, 0.0, 0.0]
+    for a, b in ((5.5, 3.5), (5.5, 3.0), (5.0, 2.0)):
+        want.append(0.05 * (a - b) / a + 0.95 * want[-1])
+    assert np.allclose(got, want)
+
+
+def test_pattern_rules(spark):
+    rows = [(k, i, c) for k, seq in enumerate(("AAA", "AABB", "AAABBBAAA", "ABCA", "ABCAB")) for i, c in enumerate(seq)]
+    got = {r.k: r.pattern for r in E.temporal_pattern(frame(spark, rows, "k int, i int, c string"), ["k"], ["i"], "c").collect()}
+    assert got == {0: "uniform", 1: "sequential", 2: "alternating", 3: "mixed", 4: "alternating"}
+
+
+def test_curvature_uses_the_velocity_before(spark):
+    rows = [(1, 0, [0.0, 0.0]), (1, 1, [1.0, 0.0]), (1, 2, [2.0, 1.0]), (1, 3, [2.0, 3.0])]
+    got = [(r.curvature, r.jerk) for r in E.curvature_jerk(frame(spark, rows, "s int, i int, f array<double>"), ["s"], ["i"]).orderBy("i").collect()]
+    # rows 2 and 3: velocities (1, 0), (1, 1), (0, 2); accelerations (0, 1), (-1, 1)
+    assert got[:2] == [(0.0, 0.0)] * 2 and got[2] == (1.0, 0.0)
+    assert abs(got[3][0] - 2**0.5 / 2) < 1e-9 and abs(got[3][1] - 1.0) < 1e-9
+
+
+def test_regions_end_with_their_last_row(spark):
+    df = frame(spark, [(1, i, m) for i, m in enumerate((True, True, False, True))], "s int, i int, m boolean")
+    assert sorted((r.start, r.end) for r in E.contiguous_regions(df, ["s"], "i", F.col("m")).collect()) == [(0, 1), (3, 3)]
+
+
+def test_hip_drop_is_positive_where_the_left_hip_is_higher(spark):
+    p = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    row = spark.range(1).select(G.hip_drop(p(0.0, 0.0), p(5.0, 1.0)).alias("a"), G.hip_drop(p(0.0, 0.0), p(5.0, 1.0), y_up=True).alias("b")).first()
+    assert abs(row.a - 11.3099) < 1e-3 and abs(row.b + 11.3099) < 1e-3
