@@ -9,9 +9,9 @@ by keys whose equality already proves a link (60 equal bits). A key whose finger
 nothing and is dropped where it is counted; one with two or three fingerprints is verified there. A key with more (chance
 meetings of a large table, or near copies) is refined: the other segments differ in at most four bits, so one of five
 parts of them is equal, and that part joins the key. Near copies can still put thousands of fingerprints under one
-refined key. They are connected by verified links to three fingerprints of the key first; keys that then hold several
-components are joined in full, each pair under one of its keys. Counts are combined map-side, so a key of many
-fingerprints meets in no single task but in a join with its one row of counts.
+refined key. They are connected by verified links to three fingerprints of the key first, a block of bounded size at a time; keys that
+then hold several components are joined in full, each pair under one of its keys. Counts are combined map-side, so a key
+of many fingerprints meets in no single task but in a join with its one row of counts.
 """
 
 from __future__ import annotations
@@ -19,16 +19,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import copies
 from .components import components
-from .store import cut
+from .store import cut, drop, releasing
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 MAX_BITS = 4
 SHINGLE = 4
+#: Fingerprints of a key that are looked at together when near copies are first connected.
+DENSE = 50_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -63,7 +65,7 @@ def _fingerprints(batches):
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, fp)``, fp the 64 bits as a signed long."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ids.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return ids.mapInArrow(releasing(_fingerprints), "doc_id long, fp long")
 
 
 def _variants(fps: DataFrame) -> DataFrame:
@@ -90,7 +92,7 @@ def _refined(rows: DataFrame) -> DataFrame:
         rest = F.when(inside, F.expr(f"(fp & {(1 << low) - 1}L) | shiftleft({above}, {low})")).otherwise(rest)
     fifth = F.expr("shiftrightunsigned(rest, cast(9 * part as int)) & 511")
     parts = rows.withColumn("rest", rest).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    return parts.select("key", "part", fifth.alias("fifth"), "rest", "fp", "c")
+    return parts.select("key", "part", fifth.alias("fifth"), "rest", *(c for c in rows.columns if c != "key"))
 
 
 def _once():
@@ -145,21 +147,28 @@ def links(fps: DataFrame) -> DataFrame:
     pairs = met.filter("n = 2").select(F.col("fc").alias("a"), F.col("gc").alias("b"))
     triples = met.filter("n = 3").select(F.explode(F.array(*ends)).alias("e")).filter(_close("e.x.p", "e.y.p"))
     pairs = pairs.union(triples.select(F.col("e.x.a").alias("a"), F.col("e.y.a").alias("b"))).distinct()
-    crowded = met.filter("n > 3").select("fp", "c", "key")
+    salt = F.pmod(F.xxhash64("fp"), 1 + F.floor(F.col("n") / DENSE))
+    crowded = met.filter("n > 3").select("fp", "c", "key", salt.alias("salt"))
 
     by = ["key", "part", "fifth"]
-    heads = [F.min(F.struct(F.xxhash64("fp", F.lit(k)).alias("h"), "fp", "c")).alias(f"head{k}") for k in range(3)]
-    near = _several(_refined(crowded), by, *heads)
-    star = near.select("fp", "c", F.explode(F.array("head0", "head1", "head2")).alias("head")).filter(_close("fp", "head.fp"))
+    block = Window.partitionBy(*by, "salt")
+    heads = {f"head{k}": F.min(F.struct(F.xxhash64("fp", F.lit(k)).alias("h"), "fp", "c")).over(block) for k in range(3)}
+    spread = {"lo": F.min("c").over(block), "hi": F.max("c").over(block)}
+    near = _refined(crowded).withColumns(spread | heads).filter("lo < hi")
+    star = near.select("fp", "c", F.explode(F.array(*heads)).alias("head")).filter(_close("fp", "head.fp"))
     second = components(pairs.union(star.select("c", "head.c").distinct().toDF("a", "b")))
-    labelled = cut(_relabelled(labelled, second), "labelled")
+    earlier, labelled = labelled, cut(_relabelled(labelled, second), "labelled")
 
-    left = cut(_several(_refined(_relabelled(crowded, second)), by).select(*by, "rest", "fp", "c"), "mixed")
+    again = _several(_relabelled(crowded, second).drop("salt"), ["key"])
+    left = cut(_several(_refined(again.drop("lo", "hi")), by).select(*by, "rest", "fp", "c"), "mixed")
     right = left.toDF(*(f"r_{k}" for k in by), "rest2", "fp2", "c2")
     same = [F.col(k) == F.col(f"r_{k}") for k in by]
     full = left.join(right, [*same, F.col("c") < F.col("c2"), _close("fp", "fp2"), _once()])
     third = components(full.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct())
-    return _relabelled(labelled, third)
+    found = cut(_relabelled(labelled, third), "links")
+    for table in (earlier, met, labelled, left):
+        drop(table)
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -190,16 +199,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     make = lambda t: (copies.text_key(copies.words_of(t)), int(np.uint64(fingerprint(t)).view(np.int64)))
-    prints = cut(copies._mapped(rows, make, "tk long, fp long"), "prints")
+    prints = cut(copies.mapped(rows, make, "tk long, fp long"), "prints")
     nodes = cut(prints.select("tk", "fp").distinct(), "nodes")
     close = nodes.join(links(nodes.select("fp").distinct()), "fp")
     close = close.join(close.groupBy("c").agg(F.min("tk").alias("a")), "c").select("a", F.col("tk").alias("b"))
     firsts = prints.groupBy("tk").agg(F.min("th").alias("th"))
-    texts = cut(rows.join(firsts, "th").groupBy("tk").agg(F.first("text").alias("text")), "texts")
-    similar = copies.links(texts)
-    groups = components(close.union(similar)).toDF("tk", "c")
+    texts = rows.select("th", "text").join(firsts, "th").groupBy("tk").agg(F.first("text").alias("text"))
+    groups = components(close.union(copies.links(texts))).toDF("tk", "c")
     named = prints.join(groups, "tk", "left").withColumn("c", F.coalesce("c", "tk"))
     kept = cut(named.groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.*"), "kept")
+    drop(prints), drop(nodes)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     own = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"))
     one = own.filter("doc_id is not null").join(kept, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
