@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import cut
+from .store import cut, drop, releasing
+from .substring import Hashes
 
 SHINGLE = 5
-SAMPLE, COMMON, LEAST = 20_000, 200_000, 5
+#: Texts of the sample that tells common shingles, how many of these are told, and in how many of its texts one has to be.
+SAMPLE, COMMON, LEAST = 4_000, 100_000, 5
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -26,16 +28,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
-    """The different shingles' XXH64 as sorted signed longs; fewer words than a shingle are one, no words none."""
-    joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
-        found = [hashed(joined)] if words else []
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: len(words) - SHINGLE + 1].tolist()
-        found = [hashed(joined[i:j]) for i, j in zip(starts, ends[SHINGLE - 1 :].tolist())]
-    return np.unique(np.array(found, np.uint64).view(np.int64))
+    """The different shingles' hashes as sorted signed longs; fewer words than a shingle are one, no words none."""
+    if not words:
+        return np.zeros(0, np.int64)
+    starts = np.arange(max(1, len(words) - SHINGLE + 1))
+    return np.unique(Hashes(words).runs(starts, np.minimum(starts + SHINGLE, len(words))).view(np.int64))
 
 
 def text_key(words: list[bytes]) -> int:
@@ -43,67 +40,81 @@ def text_key(words: list[bytes]) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), 7)).view(np.int64)) if words else 0
 
 
-def _mapped(rows: DataFrame, make, schema: str) -> DataFrame:
-    """``make(text)`` gives the row for each of ``rows(text)``; the other columns stay in front."""
+def mapped(rows: DataFrame, make, schema: str) -> DataFrame:
+    """``make(text)`` gives the row for each of ``rows(text)``; the other columns, longs, stay in front."""
     kept = [c for c in rows.columns if c != "text"]
-    kinds = [(f.name, pa.int64()) for f in rows.schema if f.name in kept]
+    fields = [f.split(" ") for f in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
-            new = [make(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            out = [batch.column(batch.schema.get_field_index(c)) for c, _ in kinds]
-            names, columns = [c for c, _ in kinds], list(zip(*new)) or [[] for _ in schema.split(",")]
-            for field, values in zip(schema.split(", "), columns):
-                name, kind = field.split(" ")
-                out.append(pa.array(values, pa.list_(pa.int64()) if kind.startswith("array") else pa.int64()))
-                names.append(name)
-            yield pa.RecordBatch.from_arrays(out, names=names)
+            at = batch.schema.get_field_index
+            new = [make(t.as_py()) for t in batch.column(at("text"))]
+            out = [batch.column(at(c)) for c in kept]
+            for k, (_, kind) in enumerate(fields):
+                if kind.startswith("array"):
+                    ends = np.cumsum([0, *(len(row[k]) for row in new)]).astype(np.int32)
+                    values = np.concatenate([row[k] for row in new]) if new else np.zeros(0, np.int64)
+                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
+                else:
+                    out.append(pa.array([row[k] for row in new], pa.int64()))
+            yield pa.RecordBatch.from_arrays(out, names=[*kept, *(name for name, _ in fields)])
 
-    return rows.mapInArrow(run, ", ".join([*(f"{c} long" for c in kept), schema]))
+    return rows.mapInArrow(releasing(run), ", ".join([*(f"{c} long" for c in kept), schema]))
+
+
+def _sets(text: str | None) -> tuple[np.ndarray]:
+    return (shingles(words_of(text)),)
 
 
 def _common(texts: DataFrame) -> np.ndarray:
     share = max(1, texts.count() // SAMPLE)
     some = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
-    sets = _mapped(some, lambda t: (shingles(words_of(t)),), "s array<long>")
-    counts = sets.select(F.explode("s").alias("h")).groupBy("h").count().filter(F.col("count") >= LEAST)
-    return np.sort(np.array([r.h for r in counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()], np.int64))
+    counts = mapped(some, _sets, "s array<long>").select(F.explode("s").alias("h")).groupBy("h").count()
+    common = counts.filter(F.col("count") >= LEAST).orderBy(F.desc("count"), "h").limit(COMMON)
+    return np.sort(np.array([r.h for r in common.collect()], np.int64))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of ``pairs(a, b)`` of text keys, those that are similar enough."""
     pairs = cut(pairs.distinct(), "pairs")
     need = pairs.select(F.col("a").alias("tk")).union(pairs.select("b")).distinct()
-    sets = cut(_mapped(texts.join(need, "tk", "left_semi"), lambda t: (shingles(words_of(t)),), "s array<long>"), "sets")
+    sets = cut(mapped(texts.join(need, "tk", "left_semi"), _sets, "s array<long>"), "sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return both.filter("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b")
+    found = cut(both.filter("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b"), "similar")
+    drop(pairs), drop(sets)
+    return found
 
 
 def links(texts: DataFrame) -> DataFrame:
     """``texts(tk, text)``, a row per key -> ``(a, b)`` that connect all texts that similar pairs connect."""
-    common = texts.sparkSession.sparkContext.broadcast(_common(texts))
+    texts = cut(texts, "texts")
+    common = texts.sparkSession.sparkContext.broadcast(_common(texts))  # COMMON numbers at most
 
     def prefix(text):
         s = shingles(words_of(text))
-        last = s[np.isin(s, common.value)]
-        order = np.concatenate([np.setdiff1d(s, last, assume_unique=True), last])
-        return len(s), order[: len(s) - -(-4 * len(s) // 5) + 1] if len(s) else []
-
-    rows = cut(_mapped(texts, prefix, "n long, p array<long>"), "prefixes")
-    posts = rows.select("tk", "n", F.posexplode("p").alias("at", "h"))
-    shared = posts.groupBy("h").agg(F.count("*").alias("many"), F.min(F.struct("tk", "n", "at")).alias("f")).filter("many > 1")
+        if not len(s):
+            return 0, s
+        last = np.isin(s, common.value, assume_unique=True)
+        return len(s), np.concatenate((s[~last], s[last]))[: len(s) - -(-4 * len(s) // 5) + 1]
+
+    posts = mapped(texts, prefix, "n long, p array<long>").select("tk", "n", F.posexplode("p").alias("at", "h")).repartition("h")
+    first = {"tk2": "tk", "n2": "n", "at2": "at"}
+    shared = posts.groupBy("h").agg(F.count("*").alias("many"), *(F.min_by(c, "tk").alias(x) for x, c in first.items())).filter("many > 1")
     met = cut(posts.join(shared, "h"), "met")
 
     def possible(n, at, n2, at2):  # the sizes, and the shingles that can still be equal
         most = f"least({at}, {at2}) + least({n} - {at}, {n2} - {at2})"
         return F.expr(f"5 * least({n}, {n2}) >= 4 * greatest({n}, {n2}) and 9 * ({most}) >= 4 * ({n} + {n2})")
 
-    star = met.filter(F.expr("tk <> f.tk") & possible("n", "at", "f.n", "f.at"))
-    sure = cut(_verified(star.select(F.col("f.tk").alias("a"), F.col("tk").alias("b")), texts), "sure")
+    star = met.filter(F.expr("tk <> tk2") & possible("n", "at", "n2", "at2"))
+    sure = _verified(star.select(F.col("tk2").alias("a"), F.col("tk").alias("b")), texts)
     found = components(sure).select(F.col("node").alias("tk"), F.col("component").alias("c"))
-    named = met.filter("many > 2").drop("f").join(found, "tk", "left").withColumn("c", F.coalesce("c", "tk"))
-    mixed = named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h")
-    left = cut(named.join(mixed, "h", "left_semi").select("h", "tk", "n", "at", "c"), "mixed")
+    named = met.filter("many > 2").select("h", "tk", "n", "at").join(found, "tk", "left").withColumn("c", F.coalesce("c", "tk"))
+    several = named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h")
+    left = cut(named.join(several, "h", "left_semi").select("h", "tk", "n", "at", "c"), "mixed")
     right = left.toDF("h", "tk2", "n2", "at2", "c2")
     full = left.join(right, "h").filter(F.expr("c < c2") & possible("n", "at", "n2", "at2"))
-    return sure.union(_verified(full.select(F.col("tk").alias("a"), F.col("tk2").alias("b")), texts))
+    more = _verified(full.select(F.col("tk").alias("a"), F.col("tk2").alias("b")), texts)
+    for table in (met, left, texts):
+        drop(table)
+    return sure.union(more)

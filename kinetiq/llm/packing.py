@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import number_within
-from .store import cut
+from .store import cut, releasing
 from .tokens import encoder
 
 SEQUENCE = 2048
@@ -63,7 +63,7 @@ def _pieces(tokenizer: str | None, size: int):
 def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32. Null texts are empty; every document has an end id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_pieces(tokenizer, size), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(releasing(_pieces(tokenizer, size)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def price(values: np.ndarray, lengths: np.ndarray, size: int) -> Counter:

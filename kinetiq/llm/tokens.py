@@ -27,7 +27,7 @@ BORDER = regex.compile(r"(?<!\s) (?!\s)")
 #: Characters whose classes no version of the rule's tables tells apart are below this one.
 SETTLED = "\u0250"
 #: Pieces and words that a process remembers (it starts anew beyond that), and bytes of text that it works on at once.
-PIECES, WORDS, SLICE = 700_000, 200_000, 8 << 20
+PIECES, WORDS, SLICE = 400_000, 100_000, 4 << 20
 
 _ENCODERS: dict = {}
 

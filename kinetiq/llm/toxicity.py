@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import cut, drop
+from .store import cut, drop, releasing
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
 #: Bytes of a word's two beginnings.
 SHORT, LONG = 5, 7
 #: The sample's bounds: rows for each label, and the characters of a text that may be in it (scoring takes every text whole).
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2500, 4000, 200_000
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Texts of a training step, steps that training takes at least, and passes over the sample at least and at most.
 TOGETHER, STEPS, PASSES = 32, 1200, (6, 30)
 CUT = 0.3
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
     rows = text.join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # at most ``toxic + clean`` ids
     rows = rows.filter(f"text is not null and length(text) <= {SAMPLE_CHARS}")
     first = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang", "y")).alias("r"))
-    hashed = first.select("doc_id", "r.text", "r.lang", "r.y").mapInArrow(_hashed, _HASHED)
+    hashed = first.select("doc_id", "r.text", "r.lang", "r.y").mapInArrow(releasing(_hashed), _HASHED)
     sample = cut(hashed, "sample")
     words = sample.select(F.explode(F.arrays_zip("words", "short", "long")).alias("w")).select("w.*").distinct().toArrow()
     found = sample.select("doc_id", "lang", "y", "ids").orderBy("doc_id").toArrow()
@@ -320,28 +320,28 @@ class Scorer:
 _SCORERS: dict = {}
 
 
-def _scorer(shared):
+def _scorer(shared, at: int):
     def run(batches):
         scorer = _SCORERS.get(shared.value.key)
         if scorer is None:
             _SCORERS.clear()
             scorer = _SCORERS[shared.value.key] = Scorer(shared.value)
         for batch in batches:
-            score = pa.array(scorer(batch.column(1).to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), score], names=["row", "score"])
+            texts = batch.column(0).field(at).cast(pa.string()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer(texts), pa.float64())], names=["row", "score"])
 
     return run
 
 
 def with_scores(docs: DataFrame, net: Net | None) -> DataFrame:
     """``(row, score)``: each row of ``docs`` and the probability of label 1 for its whole text (null and empty ones too)."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     if net is None:
         return rows.select("row", F.lit(0.0).alias("score"))
     net.key = f"{zlib.crc32(net.table.tobytes())}-{zlib.crc32(net.out.tobytes())}-{net.slope}-{net.shift}"
     shared = docs.sparkSession.sparkContext.broadcast(net)  # its size is fixed
     schema = T.StructType([T.StructField("row", docs.schema, False), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_scorer(shared), schema)
+    return rows.mapInArrow(releasing(_scorer(shared, docs.columns.index("text"))), schema)
 
 
 def _threshold(net: Net | None, docs: DataFrame):

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut, new_path
+from .store import cut, new_path, releasing
 from .tokens import encoder
 
 MAGIC = b"KQWM0001"
@@ -251,10 +251,9 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, shard_tokens: in
     """
     folder = new_path(docs.sparkSession, "wavelet")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(
-        F.asc_nulls_first("doc_id"), F.xxhash64("text")
-    )
-    written = ordered.mapInArrow(_writer(folder, tokenizer, shard_tokens), "partition int, shard int, n long")
+    by = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]  # an id that many rows repeat (or lack) is parted by its texts
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    written = ordered.mapInArrow(releasing(_writer(folder, tokenizer, shard_tokens)), "partition int, shard int, n long")
     return folder, cut(written, "wavelet-manifest")
 
 
@@ -270,7 +269,7 @@ def read_shards(spark, folder: str, manifest: DataFrame) -> DataFrame:
     )
     starts = per_shard.join(per_part, "partition").select("partition", "shard", (F.col("p") + F.col("s")).alias("base"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wm").load(folder).select("content")
-    found = files.mapInArrow(_read, "partition int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    found = files.mapInArrow(releasing(_read), "partition int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return found.join(starts, ["partition", "shard"]).select(
         "doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"
     )
