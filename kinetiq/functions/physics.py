@@ -122,3 +122,30 @@ def derive_metrics(v: Column) -> Column:
         whole(mean(3) * 100).alias("movement"), whole(mean(4) * 100).alias("performance"), whole(60 + mean(1) * 140).alias("heart_rate"),
         F.round(hit * 40, 1).alias("collision_velocity"), whole((1 - mean(1) * 0.5) * 100).alias("hydration"),
     )
+
+
+#: What each level advises, and the levels' least peak accelerations.
+ADVICE = {
+    "CRITICAL": "EVALUATE NOW — remove from play immediately for concussion assessment",
+    "HIGH": "EVALUATE — significant risk, consider immediate assessment",
+    "MODERATE": "MONITOR — watch for concussion symptoms over next 24 hours",
+    "LOW": "CLEARED — routine contact, no action needed",
+    "NONE": "No collisions detected",
+}
+NO_ADVICE = "No assessment available"
+G_LEVELS = ((40.0, "LOW"), (75.0, "MODERATE"))
+
+
+def recommendation(level: Column) -> Column:
+    out = F.lit(NO_ADVICE)
+    for name, text in ADVICE.items():
+        out = F.when(level == name, text).otherwise(out)
+    return out
+
+
+def risk_of_g(g: Column) -> Column:
+    """LOW, MODERATE or HIGH by peak acceleration."""
+    out = F.lit("HIGH")
+    for cut, name in reversed(G_LEVELS):
+        out = F.when(g < cut, name).otherwise(out)
+    return out

@@ -48,6 +48,37 @@ def pose14(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.sequence(F.lit(0), F.lit(13)), joint).alias("joints"))
 
 
+def _points(spark, sf_dir, n: int, **parts) -> DataFrame:
+    """(vec_id, label, p): ``n`` points whose parts are expressions over the vector ``e`` and the point's number ``j``."""
+    point = lambda j: F.struct(*(f(F.col("e"), j).alias(name) for name, f in parts.items()))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    return e.select("vec_id", "label", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point).alias("p"))
+
+
+def _at(a: int, b: int):
+    return lambda e, j: F.get(e, (a * j + b) % 64)
+
+
+def _sure(a: int, b: int):
+    return lambda e, j: F.least(F.lit(1.0), F.abs(F.get(e, (a * j + b) % 64)) * 8)
+
+
+def marks33(spark, sf_dir) -> DataFrame:
+    """33 landmarks (x, y, z, v) a vector."""
+    return _points(spark, sf_dir, 33, x=_at(2, 0), y=_at(2, 1), z=_at(3, 5), v=_sure(5, 7))
+
+
+def coco17(spark, sf_dir) -> DataFrame:
+    """17 keypoints (x, y, c) a vector, in pixels."""
+    pixels = lambda f: lambda e, j: 300 + 400 * f(e, j)
+    return _points(spark, sf_dir, 17, x=pixels(_at(2, 0)), y=pixels(_at(2, 1)), c=_sure(1, 34))
+
+
+def whole133(spark, sf_dir) -> DataFrame:
+    """133 keypoints (x, y, z, c) a vector."""
+    return _points(spark, sf_dir, 133, x=_at(1, 0), y=_at(1, 13), z=_at(1, 29), c=_sure(7, 3))
+
+
 def boxes(spark, sf_dir) -> DataFrame:
     """(seq_id, frame, subject_id, x1, y1, x2, y2): a box per subject and day."""
     e = table(spark, sf_dir, "events").select(
@@ -112,6 +143,12 @@ SQL = {
         embedding[1:28]::DOUBLE[] AS f FROM embeddings)""",
     "pose14": """pose14 AS (SELECT vec_id, label, [{'x': e[2*j+1], 'y': e[2*j+2], 'v': least(1.0, abs(e[29+j])*8)} FOR j IN range(14)] AS joints
         FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings))""",
+    "marks33": """marks33 AS (SELECT vec_id, label, [{'x': e[(2*j)%64+1], 'y': e[(2*j+1)%64+1], 'z': e[(3*j+5)%64+1], 'v': least(1.0, abs(e[(5*j+7)%64+1])*8)} FOR j IN range(33)] AS p
+        FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings))""",
+    "coco17": """coco17 AS (SELECT vec_id, label, [{'x': 300 + 400*e[(2*j)%64+1], 'y': 300 + 400*e[(2*j+1)%64+1], 'c': least(1.0, abs(e[(j+34)%64+1])*8)} FOR j IN range(17)] AS p
+        FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings))""",
+    "whole133": """whole133 AS (SELECT vec_id, label, [{'x': e[j%64+1], 'y': e[(j+13)%64+1], 'z': e[(j+29)%64+1], 'c': least(1.0, abs(e[(7*j+3)%64+1])*8)} FOR j IN range(133)] AS p
+        FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings))""",
     "boxes": """boxes AS (SELECT seq_id, frame, subject_id, cx - h AS x1, cy - h AS y1, cx + h AS x2, cy + h AS y2 FROM (
         SELECT user_id // 15 AS seq_id, floor(epoch(ts) / 86400)::BIGINT AS frame, user_id AS subject_id, avg(value) / 200 AS cx,
         avg((props->>'$.k')::INT) / 100 AS cy, 0.05::DOUBLE + 0.02::DOUBLE * count(*) AS h FROM events GROUP BY ALL))""",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import functions as F
 
 from kinetiq.functions import geometry as G
@@ -14,26 +12,10 @@ from kinetiq.operators import joins as J
 from kinetiq.operators import ordered as E
 from kinetiq.plans import adapters as V
 from kinetiq.plans.adapters import with_views
+from kinetiq.plans.base import KEY, ORACLES, ORDER, QUERIES, query, r
 from kinetiq.sources import frames as S
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
-KEY, ORDER = ["subject_id"], ["frame"]
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r(c, n: int = 4):
-    return F.round(c, n)
-
+__all__ = ["ORACLES", "QUERIES"]
 
 # Ordered rows
 
@@ -683,3 +665,6 @@ def d23_injury_modifiers(spark, d):
     i = o.select((F.col("o_custkey") % 500).alias("user_id"), F.get(kinds, (F.col("o_orderkey") % 7).cast("int")).alias("type"), severity.alias("severity"))
     m = A.injury_modifiers(i, ["user_id"])
     return m.select("user_id", r("fppa_scale", 6).alias("fppa"), r("hip_drop_scale", 6).alias("hip_drop"))
+
+
+from kinetiq.plans import skeleton_queries  # noqa: E402, F401  registers its queries
