@@ -1,9 +1,10 @@
-"""Texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8, without a miss.
+"""Texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-In any fixed order of all shingles, two such texts share one of the first n - ceil(0.8 n) + 1 of their n shingles. Only
-these are joined, the common shingles of a sample coming last in the order (the sample bears on speed alone). Every
-candidate pair is verified on whole sets. Texts under a shingle are first linked to one of them; a shingle whose texts
-then lie in one component adds nothing, the others are joined in full.
+A fingerprint of 64 bits cannot find these: at that similarity two differ by about ten bits, and segments short enough to
+survive so many say nothing. Candidates come from ``BANDS`` bands of ``ROWS`` minimal hashes instead, which miss a pair at
+exactly 0.8 with a probability under 1e-7 and a closer one with less, and every candidate pair is verified on whole sets.
+Texts under a band are first linked to one of them; a band whose texts then lie in one component adds nothing, the others
+are joined in full.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from .store import cut, drop, releasing
 from .substring import Hashes
 
 SHINGLE = 5
-#: Texts of the sample that tells common shingles, how many of these are told, and in how many of its texts one has to be.
-SAMPLE, COMMON, LEAST = 4_000, 100_000, 5
+BANDS, ROWS = 32, 4
+_RNG = np.random.default_rng(11)
+_TURN, _TIMES = (_RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
+_TIMES |= np.uint64(1)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -62,59 +65,55 @@ def mapped(rows: DataFrame, make, schema: str) -> DataFrame:
     return rows.mapInArrow(releasing(run), ", ".join([*(f"{c} long" for c in kept), schema]))
 
 
-def _sets(text: str | None) -> tuple[np.ndarray]:
-    return (shingles(words_of(text)),)
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A hash for each band: of its rows' smallest values over the set, each row another order of all shingles."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        part = hashes[at : at + 1024].view(np.uint64)
+        low = np.minimum(low, ((part[:, None] ^ _TURN) * _TIMES).min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in low.reshape(BANDS, ROWS).T:
+        key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
 
 
-def _common(texts: DataFrame) -> np.ndarray:
-    share = max(1, texts.count() // SAMPLE)
-    some = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
-    counts = mapped(some, _sets, "s array<long>").select(F.explode("s").alias("h")).groupBy("h").count()
-    common = counts.filter(F.col("count") >= LEAST).orderBy(F.desc("count"), "h").limit(COMMON)
-    return np.sort(np.array([r.h for r in common.collect()], np.int64))
+def _sets(text: str | None) -> tuple[np.ndarray]:
+    return (shingles(words_of(text)),)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of ``pairs(a, b)`` of text keys, those that are similar enough."""
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of ``pairs(a, b)`` of text keys, those that are similar enough. ``nodes`` names a row (doc_id, th) of each key."""
     pairs = cut(pairs.distinct(), "pairs")
-    need = pairs.select(F.col("a").alias("tk")).union(pairs.select("b")).distinct()
-    sets = cut(mapped(texts.join(need, "tk", "left_semi"), _sets, "s array<long>"), "sets")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    found = cut(both.filter("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b"), "similar")
-    drop(pairs), drop(sets)
+    both = pairs.select(F.col("a").alias("tk")).union(pairs.select("b")).distinct()
+    need = cut(nodes.select("tk", "doc_id", "th").join(both, "tk", "left_semi"), "need")
+    texts = rows.join(need, ["doc_id", "th"]).select("tk", "text")
+    sets = cut(mapped(texts, _sets, "s array<long>").dropDuplicates(["tk"]), "sets")
+    met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    found = cut(met.filter("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b"), "similar")
+    for table in (pairs, need, sets):
+        drop(table)
     return found
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """``texts(tk, text)``, a row per key -> ``(a, b)`` that connect all texts that similar pairs connect."""
-    texts = cut(texts, "texts")
-    common = texts.sparkSession.sparkContext.broadcast(_common(texts))  # COMMON numbers at most
-
-    def prefix(text):
-        s = shingles(words_of(text))
-        if not len(s):
-            return 0, s
-        last = np.isin(s, common.value, assume_unique=True)
-        return len(s), np.concatenate((s[~last], s[last]))[: len(s) - -(-4 * len(s) // 5) + 1]
+def links(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``nodes(tk, n, b, doc_id, th)``, a row per key -> ``(a, b)`` that connect all texts that similar pairs connect.
 
-    posts = mapped(texts, prefix, "n long, p array<long>").select("tk", "n", F.posexplode("p").alias("at", "h")).repartition("h")
-    first = {"tk2": "tk", "n2": "n", "at2": "at"}
-    shared = posts.groupBy("h").agg(F.count("*").alias("many"), *(F.min_by(c, "tk").alias(x) for x, c in first.items())).filter("many > 1")
+    n is the number of a text's shingles, b its bands, and (doc_id, th) names a row of ``rows(doc_id, th, text)``.
+    """
+    posts = nodes.select("tk", "n", F.explode("b").alias("h")).repartition("h")
+    shared = posts.groupBy("h").agg(F.count("*").alias("many"), F.min("tk").alias("tk2"), F.min_by("n", "tk").alias("n2")).filter("many > 1")
     met = cut(posts.join(shared, "h"), "met")
-
-    def possible(n, at, n2, at2):  # the sizes, and the shingles that can still be equal
-        most = f"least({at}, {at2}) + least({n} - {at}, {n2} - {at2})"
-        return F.expr(f"5 * least({n}, {n2}) >= 4 * greatest({n}, {n2}) and 9 * ({most}) >= 4 * ({n} + {n2})")
-
-    star = met.filter(F.expr("tk <> tk2") & possible("n", "at", "n2", "at2"))
-    sure = _verified(star.select(F.col("tk2").alias("a"), F.col("tk").alias("b")), texts)
+    possible = F.expr("5 * least(n, n2) >= 4 * greatest(n, n2)")
+    star = met.filter(F.expr("tk <> tk2") & possible)
+    sure = _verified(star.select(F.col("tk2").alias("a"), F.col("tk").alias("b")), nodes, rows)
     found = components(sure).select(F.col("node").alias("tk"), F.col("component").alias("c"))
-    named = met.filter("many > 2").select("h", "tk", "n", "at").join(found, "tk", "left").withColumn("c", F.coalesce("c", "tk"))
+    named = met.filter("many > 2").select("h", "tk", "n").join(found, "tk", "left").withColumn("c", F.coalesce("c", "tk"))
     several = named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h")
-    left = cut(named.join(several, "h", "left_semi").select("h", "tk", "n", "at", "c"), "mixed")
-    right = left.toDF("h", "tk2", "n2", "at2", "c2")
-    full = left.join(right, "h").filter(F.expr("c < c2") & possible("n", "at", "n2", "at2"))
-    more = _verified(full.select(F.col("tk").alias("a"), F.col("tk2").alias("b")), texts)
-    for table in (met, left, texts):
-        drop(table)
+    left = cut(named.join(several, "h", "left_semi").select("h", "tk", "n", "c"), "mixed")
+    full = left.join(left.toDF("h", "tk2", "n2", "c2"), "h").filter(F.expr("c < c2") & possible)
+    more = _verified(full.select(F.col("tk").alias("a"), F.col("tk2").alias("b")), nodes, rows)
+    drop(met), drop(left)
     return sure.union(more)

@@ -189,27 +189,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _print(text: str | None) -> tuple:
+    words = copies.words_of(text)
+    shingles = copies.shingles(words)
+    return copies.text_key(words), int(np.uint64(fingerprint(text)).view(np.int64)), len(shingles), copies.bands(shingles)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
 
-    Near copies are texts whose five-word shingles have a similarity of at least 0.8, and those that ``near_duplicates``
-    links. Where texts of a group share that doc_id, the one with the smallest hash stays; equal rows are reduced to one.
-    Rows without a doc_id are kept, as nothing names their group.
+    Near copies are texts whose five-word shingles have a similarity of at least 0.8 (found by ``copies``), and those that
+    ``near_duplicates`` links. Where texts of a group share that doc_id, the one with the smallest hash stays; equal rows
+    are reduced to one. Rows without a doc_id are kept, as nothing names their group. Null and empty texts are copies of
+    each other; very long texts are compared whole; an empty table stays empty; columns of any name are carried along.
     """
     text = F.col("text").cast("string")
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    make = lambda t: (copies.text_key(copies.words_of(t)), int(np.uint64(fingerprint(t)).view(np.int64)))
-    prints = cut(copies.mapped(rows, make, "tk long, fp long"), "prints")
-    nodes = cut(prints.select("tk", "fp").distinct(), "nodes")
-    close = nodes.join(links(nodes.select("fp").distinct()), "fp")
+    number = F.col("doc_id").cast("long")
+    rows = docs.filter("doc_id is not null").select(number.alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    prints = cut(copies.mapped(rows, _print, "tk long, fp long, n long, b array<long>"), "prints")
+    smallest = F.min(F.struct("doc_id", "th")).alias("r")
+    nodes = prints.groupBy("tk").agg(smallest, *(F.first(c).alias(c) for c in ("fp", "n", "b")))
+    nodes = cut(nodes.select("tk", "r.doc_id", "r.th", "fp", "n", "b"), "nodes")
+    close = nodes.select("tk", "fp").join(links(nodes.select("fp").distinct()), "fp")
     close = close.join(close.groupBy("c").agg(F.min("tk").alias("a")), "c").select("a", F.col("tk").alias("b"))
-    firsts = prints.groupBy("tk").agg(F.min("th").alias("th"))
-    texts = rows.select("th", "text").join(firsts, "th").groupBy("tk").agg(F.first("text").alias("text"))
-    groups = components(close.union(copies.links(texts))).toDF("tk", "c")
-    named = prints.join(groups, "tk", "left").withColumn("c", F.coalesce("c", "tk"))
-    kept = cut(named.groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.*"), "kept")
+    groups = components(close.union(copies.links(nodes, rows))).toDF("tk", "c")
+    named = prints.select("doc_id", "th", "tk").join(groups, "tk", "left").withColumn("c", F.coalesce("c", "tk"))
+    kept = cut(named.groupBy("c").agg(smallest).select("r.*"), "kept")
+    again = cut(prints.groupBy("doc_id", "th").count().filter("count > 1").select("doc_id", "th"), "again")
     drop(prints), drop(nodes)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    own = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"))
-    one = own.filter("doc_id is not null").join(kept, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
-    return one.select("row.*").unionByName(docs.filter("doc_id is null"))
+    own = docs.filter("doc_id is not null").select(row.alias("row"), number.alias("doc_id"), F.xxhash64(text).alias("th"))
+    own = own.join(kept, ["doc_id", "th"], "left_semi")
+    once = own.join(again, ["doc_id", "th"], "left_anti")
+    repeated = own.join(again, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])  # only these are shuffled
+    return once.union(repeated).select("row.*").unionByName(docs.filter("doc_id is null"))
