@@ -667,4 +667,4 @@ def d23_injury_modifiers(spark, d):
     return m.select("user_id", r("fppa_scale", 6).alias("fppa"), r("hip_drop_scale", 6).alias("hip_drop"))
 
 
-from kinetiq.plans import skeleton_queries  # noqa: E402, F401  registers its queries
+from kinetiq.plans import monitor_queries, skeleton_queries  # noqa: E402, F401  they register their queries
