@@ -288,13 +288,6 @@ def d1_zscore(spark, d):
     return A.zscore(V.signal(spark, d), KEY, "x").select(*KEY, *ORDER, r("z").alias("z"))
 
 
-@query("SELECT label, round(quantile_cont(x, 0.5), 4) AS p50, round(quantile_cont(x, 0.9), 4) AS p90, round(quantile_cont(x, 0.99), 4) AS p99 FROM (SELECT event_type AS label, value AS x FROM events) GROUP BY 1")
-def d3_distance_percentiles(spark, d):
-    e = V.table(spark, d, "events").select(F.col("event_type").alias("label"), F.col("value").alias("x"))
-    out = A.percentiles(e, ["label"], "x")
-    return out.select("label", *(r(c).alias(c) for c in ("p50", "p90", "p99")))
-
-
 @query(with_views("SELECT kind, k AS cluster, count(*) AS n FROM signal WHERE k >= 0 GROUP BY ALL", "signal"))
 def d7_confusion_matrix(spark, d):
     return A.confusion(V.signal(spark, d).withColumnRenamed("k", "cluster"), "kind", "cluster")
@@ -555,14 +548,6 @@ def d20_team_averages(spark, d):
     return c.groupBy(F.col("c_nationkey").alias("team")).agg(r(F.avg("c_acctbal"), 6).alias("mean"), F.count(F.when(F.col("c_acctbal") > 7000, 1)).alias("over"))
 
 
-@query("""WITH k AS (SELECT o_custkey, o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS n FROM orders)
-SELECT o_orderpriority AS gait, round(avg(o_totalprice), 5) AS mean, count(*) AS n FROM k WHERE n <= 5 GROUP BY 1""")
-def d6_gait_summary(spark, d):
-    """At most five sequences of each subject and kind, then the mean of each kind."""
-    w = A.top_n(V.workout_rows(spark, d), ["user_id", "label"], ["workout_id"], 5)
-    return w.groupBy(F.col("label").alias("gait")).agg(r(F.avg("fatigue_score"), 5).alias("mean"), F.count("*").alias("n"))
-
-
 @query(with_views("SELECT subject_id, frame, round(x, 4) AS x FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY t DESC, frame DESC) AS n FROM signal) WHERE n <= 50", "signal"))
 def g6_person_history(spark, d):
     own = A.top_n(V.signal(spark, d), KEY, [F.desc("t"), F.desc("frame")], 50)
@@ -667,4 +652,4 @@ def d23_injury_modifiers(spark, d):
     return m.select("user_id", r("fppa_scale", 6).alias("fppa"), r("hip_drop_scale", 6).alias("hip_drop"))
 
 
-from kinetiq.plans import monitor_queries, skeleton_queries  # noqa: E402, F401  they register their queries
+from kinetiq.plans import monitor_queries, sequence_queries, skeleton_queries  # noqa: E402, F401  they register their queries
