@@ -131,8 +131,7 @@ def links(fps: DataFrame) -> DataFrame:
     first = components(nibbles.join(sure, ["at", "rest"]).select("a", F.col("fp").alias("b")))
     labelled = cut(_relabelled(fps.select("fp", F.col("fp").alias("c")), first), "labelled")
 
-    # one shuffle: counts and members of a key meet in the partition they were dealt to
-    keyed = _variants(labelled).repartition("key")
+    keyed = _variants(labelled)
     counts = [F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")]
     counts += [F.min("fp").alias("f"), F.min_by("c", "fp").alias("fc"), F.max("fp").alias("g"), F.max_by("c", "fp").alias("gc")]
     counts += [F.bit_xor("fp").alias("x"), F.bit_xor("c").alias("xc")]
@@ -140,15 +139,15 @@ def links(fps: DataFrame) -> DataFrame:
     met = met.withColumns({"h": F.expr("x ^ f ^ g"), "hc": F.expr("xc ^ fc ^ gc")})  # the third of three
     some = F.expr("n > 3") | (F.expr("n = 2") & _close("f", "g"))
     some = some | (F.expr("n = 3") & (_close("f", "g") | _close("f", "h") | _close("g", "h")))
-    names = ["n", "f", "fc", "g", "gc", "h", "hc"]
-    met = cut(keyed.join(met.filter(some).select("key", *names), "key"), "met")
+    met = cut(met.filter(some).select("key", "n", "f", "fc", "g", "gc", "h", "hc"), "met")  # a row a key
     one, two, three = (F.struct(F.col(x).alias("p"), F.col(f"{x}c").alias("a")) for x in "fgh")
     ends = [F.struct(x.alias("x"), y.alias("y")) for x, y in ((one, two), (one, three), (two, three))]
     pairs = met.filter("n = 2").select(F.col("fc").alias("a"), F.col("gc").alias("b"))
     triples = met.filter("n = 3").select(F.explode(F.array(*ends)).alias("e")).filter(_close("e.x.p", "e.y.p"))
     pairs = pairs.union(triples.select(F.col("e.x.a").alias("a"), F.col("e.y.a").alias("b"))).distinct()
     salt = F.pmod(F.xxhash64("fp"), 1 + F.floor(F.col("n") / DENSE))
-    crowded = met.filter("n > 3").select("fp", "c", "key", salt.alias("salt"))
+    crowded = keyed.join(met.filter("n > 3").select("key", "n"), "key").select("fp", "c", "key", salt.alias("salt"))
+    crowded = cut(crowded, "crowded")
 
     by = ["key", "part", "fifth"]
     block = Window.partitionBy(*by, "salt")
@@ -159,14 +158,13 @@ def links(fps: DataFrame) -> DataFrame:
     second = components(pairs.union(star.select("c", "head.c").distinct().toDF("a", "b")))
     earlier, labelled = labelled, cut(_relabelled(labelled, second), "labelled")
 
-    again = _several(_relabelled(crowded, second).drop("salt"), ["key"])
-    left = cut(_several(_refined(again.drop("lo", "hi")), by).select(*by, "rest", "fp", "c"), "mixed")
+    left = cut(_several(_refined(_relabelled(crowded, second)), by).select(*by, "rest", "fp", "c"), "mixed")
     right = left.toDF(*(f"r_{k}" for k in by), "rest2", "fp2", "c2")
     same = [F.col(k) == F.col(f"r_{k}") for k in by]
     full = left.join(right, [*same, F.col("c") < F.col("c2"), _close("fp", "fp2"), _once()])
     third = components(full.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct())
     found = cut(_relabelled(labelled, third), "links")
-    for table in (earlier, met, labelled, left):
+    for table in (earlier, met, crowded, labelled, left):
         drop(table)
     return found
 
