@@ -160,7 +160,9 @@ def neighbours(
     entries = entries.withColumn("entry", F.element_at("ids", 1))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     total, largest = entries.agg(F.count("*"), F.max(norm)).first()
-    picked = entries.orderBy(F.xxhash64("entry"), "entry").limit(sample).select("v").toPandas()
+    share = int(min(1.0, 1.2 * sample / total) * (1 << 20)) + 1  # so that no task sorts many more than the sample
+    picked = entries.filter(F.pmod(F.xxhash64("entry"), F.lit(1 << 20)) < share)
+    picked = picked.orderBy(F.xxhash64("entry"), "entry").limit(sample).select("v").toPandas()
     points = _lifted(np.stack(picked["v"].to_numpy()).astype(float), largest)
     leaves = max(1, min(total // LEAF, len(points) // 8))
     tree = Tree(points, len(points) / leaves)

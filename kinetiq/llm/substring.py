@@ -27,7 +27,7 @@ from .store import cut, drop
 
 WINDOW, EDGE = 35, 8
 _BASE = 0x9E3779B97F4A7C15 | 1
-_PLACE = 24  # bits for a word's place in the order of k-mers of a window
+_PLACE, _PART = 24, 1 << 23  # bits for a word's place in the order of k-mers, and k-mers that are looked at together
 
 _POWERS: dict = {}
 
@@ -63,6 +63,19 @@ class Hashes:
         return h ^ (h >> np.uint64(29))
 
 
+def _smallest(grams: np.ndarray, span: int) -> np.ndarray:
+    """Where the smallest (the first of equals) of each ``span`` neighbours is."""
+    place = np.uint64((1 << _PLACE) - 1)
+    low = (grams & ~place) | np.arange(len(grams)).astype(np.uint64)
+    wide = 1
+    while 2 * wide <= span:
+        low = np.minimum(low[:-wide], low[wide:])
+        wide *= 2
+    if wide < span:
+        low = np.minimum(low[: len(low) - (span - wide)], low[span - wide :])
+    return (low & place).astype(np.int64)
+
+
 def edges_of(words: list[bytes], window: int = WINDOW, k: int = EDGE):
     """Arrays (edge, context, first window, last window) of a document's kept edges; None if it has no window."""
     n = len(words)
@@ -70,15 +83,9 @@ def edges_of(words: list[bytes], window: int = WINDOW, k: int = EDGE):
         return None
     h, at = Hashes(words), np.arange(n - k + 1)
     grams = h.runs(at, at + k)
-    place = np.uint64((1 << _PLACE) - 1)
-    low = (grams & ~place) | at.astype(np.uint64)
-    wide, span = 1, window - k + 1
-    while 2 * wide <= span:
-        low = np.minimum(low[:-wide], low[wide:])
-        wide *= 2
-    if wide < span:
-        low = np.minimum(low[: len(low) - (span - wide)], low[span - wide :])
-    chosen = (low & place).astype(np.int64)
+    span = window - k + 1
+    parts = range(0, len(grams) - span + 1, _PART)  # places are told within a part, so that they fit their bits
+    chosen = np.concatenate([_smallest(grams[i : i + _PART + span - 1], span) + i for i in parts])
     first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
     last = np.append(first[1:], len(chosen)) - 1
     where = chosen[first]

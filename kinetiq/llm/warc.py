@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,8 @@ from .wavelet import _put
 FRAME, BUNDLE = 1 << 18, 1 << 23
 #: Numbers of the seekable format, fixed values: the skippable frame's magic and the footer's.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
+#: Fixed value of the format: the profile of a revisit by equal payload digest.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
 
 
@@ -51,7 +52,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, response: bool,
         f"WARC-Target-URI: {clean}",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
         f"X-Payload-Length: {len(payload)}",
-        *([] if response else [f"WARC-Refers-To: {name(refers_to)}"]),
+        *([] if response else [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {name(refers_to)}"]),
         "Content-Type: text/html; charset=utf-8",
         f"Content-Length: {len(block)}",
     ]

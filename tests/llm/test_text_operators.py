@@ -164,7 +164,7 @@ def test_masks_cover_every_allowed_substitution():
 
 
 def test_decontamination_finds_substituted_passages_only(spark):
-    items = [(1, " ".join(words(30, 1))), (2, " ".join(words(15, 2))), (3, "too short"), (None, " ".join(words(30, 3))), (5, None)]
+    items = [(1, " ".join(words(30, 1))), (2, " ".join(words(15, 2))), (3, "too short"), (None, " ".join(words(30, 3))), (5, None), (6, "six words of a short item"), (7, "Of seven words, this is the other")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     a, b = words(30, 1), words(15, 2)
     a3 = [w if i % 5 else "zz" for i, w in enumerate(a)]
@@ -174,16 +174,16 @@ def test_decontamination_finds_substituted_passages_only(spark):
     texts = [
         (1, " ".join(words(40, 9) + a + words(40, 10))), (2, " ".join(words(5, 11) + a3)), (3, " ".join(a8)), (4, " ".join(b3)),
         (5, " ".join(b4)), (6, ", ".join(x.upper() for x in a)), (7, None), (8, ""), (9, " ".join(words(20_000, 12))), (1, "clean"),
-        (None, " ".join(a)),
+        (None, " ".join(a)), (10, "x six words of a short item"), (11, "six words of one short item"), (12, "of seven words this is the"), (13, "of seven words this is the other y"),
     ]
     d = docs(spark, texts)
     for block in (decontam.BLOCK, 7):
         got = {(r.doc_id, r.item_id) for r in decontam.contaminated(d, bench, block).collect()}
-        assert got == {(1, 1), (2, 1), (4, 2), (6, 1), (None, 1)}
+        assert got == {(1, 1), (2, 1), (4, 2), (6, 1), (None, 1), (10, 6), (13, 7)}
     left = decontam.drop_contaminated(d, bench)
     assert left.columns == d.columns
     assert sorted((r.doc_id, (r.text or "")[:5]) for r in left.collect()) == sorted(
-        (i, (t or "")[:5]) for i, t in texts if i in (3, 5, 7, 8, 9) or t == "clean"
+        (i, (t or "")[:5]) for i, t in texts if i in (3, 5, 7, 8, 9, 11, 12) or t == "clean"
     )
 
 
