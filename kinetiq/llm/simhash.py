@@ -131,40 +131,41 @@ def links(fps: DataFrame) -> DataFrame:
     first = components(nibbles.join(sure, ["at", "rest"]).select("a", F.col("fp").alias("b")))
     labelled = cut(_relabelled(fps.select("fp", F.col("fp").alias("c")), first), "labelled")
 
-    keyed = _variants(labelled)
+    # one shuffle: counts and members of a key meet in the partition they were dealt to, and both go to one table
+    keyed = _variants(labelled).repartition("key")
     counts = [F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")]
     counts += [F.min("fp").alias("f"), F.min_by("c", "fp").alias("fc"), F.max("fp").alias("g"), F.max_by("c", "fp").alias("gc")]
     counts += [F.bit_xor("fp").alias("x"), F.bit_xor("c").alias("xc")]
     met = keyed.groupBy("key").agg(*counts).filter("lo < hi")
     met = met.withColumns({"h": F.expr("x ^ f ^ g"), "hc": F.expr("xc ^ fc ^ gc")})  # the third of three
-    some = F.expr("n > 3") | (F.expr("n = 2") & _close("f", "g"))
-    some = some | (F.expr("n = 3") & (_close("f", "g") | _close("f", "h") | _close("g", "h")))
-    met = cut(met.filter(some).select("key", "n", "f", "fc", "g", "gc", "h", "hc"), "met")  # a row a key
-    one, two, three = (F.struct(F.col(x).alias("p"), F.col(f"{x}c").alias("a")) for x in "fgh")
-    ends = [F.struct(x.alias("x"), y.alias("y")) for x, y in ((one, two), (one, three), (two, three))]
-    pairs = met.filter("n = 2").select(F.col("fc").alias("a"), F.col("gc").alias("b"))
-    triples = met.filter("n = 3").select(F.explode(F.array(*ends)).alias("e")).filter(_close("e.x.p", "e.y.p"))
-    pairs = pairs.union(triples.select(F.col("e.x.a").alias("a"), F.col("e.y.a").alias("b"))).distinct()
+    link = lambda a, b: F.when(_close(a, b), F.struct(F.col(f"{a}c").alias("a"), F.col(f"{b}c").alias("b")))
+    of_three = F.when(F.col("n") == 3, F.array(link("f", "g"), link("f", "h"), link("g", "h"))).when(F.col("n") == 2, F.array(link("f", "g")))
+    small = met.select(F.filter(of_three, lambda e: e.isNotNull()).alias("found")).filter("size(found) > 0")
+    nothing = lambda *names: [F.lit(None).cast("long").alias(c) for c in names]
+    members = keyed.join(met.filter("n > 3").select("key", "n"), "key")
+    members = members.select("fp", "c", "key", "n", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("found"))
+    met = cut(small.select(*nothing("fp", "c", "key", "n"), "found").union(members), "met")
+    pairs = met.filter("found is not null").select(F.explode("found").alias("e")).select("e.a", "e.b").distinct()
     salt = F.pmod(F.xxhash64("fp"), 1 + F.floor(F.col("n") / DENSE))
-    crowded = keyed.join(met.filter("n > 3").select("key", "n"), "key").select("fp", "c", "key", salt.alias("salt"))
-    crowded = cut(crowded, "crowded")
+    crowded = met.filter("fp is not null").select("fp", "c", "key", salt.alias("salt"))
 
     by = ["key", "part", "fifth"]
     block = Window.partitionBy(*by, "salt")
     heads = {f"head{k}": F.min(F.struct(F.xxhash64("fp", F.lit(k)).alias("h"), "fp", "c")).over(block) for k in range(3)}
     spread = {"lo": F.min("c").over(block), "hi": F.max("c").over(block)}
-    near = _refined(crowded).withColumns(spread | heads).filter("lo < hi")
-    star = near.select("fp", "c", F.explode(F.array(*heads)).alias("head")).filter(_close("fp", "head.fp"))
+    near = _refined(crowded.repartition("fp")).withColumns(spread | heads).filter("lo < hi")  # members of a key are dealt out
+    linked = F.filter(F.array(*heads), lambda h: (h["c"] != F.col("c")) & (F.bit_count(h["fp"].bitwiseXOR(F.col("fp"))) <= MAX_BITS))
+    star = near.select("c", linked.alias("linked")).filter("size(linked) > 0").select("c", F.explode("linked").alias("head"))
     second = components(pairs.union(star.select("c", "head.c").distinct().toDF("a", "b")))
     earlier, labelled = labelled, cut(_relabelled(labelled, second), "labelled")
 
-    left = cut(_several(_refined(_relabelled(crowded, second)), by).select(*by, "rest", "fp", "c"), "mixed")
+    left = cut(_several(_refined(_relabelled(crowded, second).repartition("fp")), by).select(*by, "rest", "fp", "c"), "mixed")
     right = left.toDF(*(f"r_{k}" for k in by), "rest2", "fp2", "c2")
     same = [F.col(k) == F.col(f"r_{k}") for k in by]
     full = left.join(right, [*same, F.col("c") < F.col("c2"), _close("fp", "fp2"), _once()])
     third = components(full.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct())
     found = cut(_relabelled(labelled, third), "links")
-    for table in (earlier, met, crowded, labelled, left):
+    for table in (earlier, met, labelled, left):
         drop(table)
     return found
 
