@@ -31,6 +31,8 @@ REMEMBERED = 120_000
 #: Texts of a training step, steps that training takes at least, and passes over the sample at least and at most.
 TOGETHER, STEPS, PASSES = 32, 1200, (6, 30)
 CUT = 0.3
+#: Rows of label 1 that a threshold is calibrated on at least; with fewer it is CUT.
+ENOUGH = 20
 HASHES = 3
 
 
@@ -211,10 +213,10 @@ def _calibrate(net: Net, logit: np.ndarray, y: np.ndarray, natural: float, langs
         return float(min((c for c, f in zip(cuts, f1) if f >= top - 1e-9), key=lambda c: abs(c - CUT)))
 
     langs = np.array(langs, object)
-    net.threshold = best(np.ones(len(y), bool)) if y.sum() else CUT
+    net.threshold = best(np.ones(len(y), bool)) if y.sum() >= ENOUGH else CUT
     for lang in {x for x in langs if x is not None}:
         mask = langs == lang
-        if y[mask].sum() >= 20:
+        if y[mask].sum() >= ENOUGH:
             net.thresholds[lang] = best(mask)
 
 
