@@ -15,27 +15,33 @@ def _table(spark, sf_dir, name):
 
 
 def drop_toxic(spark, docs, sf_dir):
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts are judged as texts without words; equal texts share their fate; columns are carried unread.
+    """
     return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
+    """One document of each group of near copies stays: the one with the smallest doc_id.
+
+    Null and empty texts are copies of each other; equal rows are one; rows without a doc_id stay.
+    """
     return simhash.keep_one(docs)
 
 
 def decontaminate(spark, docs, sf_dir):
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go. Null and empty texts hold none; equal texts share their fate."""
     return decontam.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark, docs, sf_dir):
-    """Personal data in the texts is masked; every document stays."""
+    """Personal data in the texts is masked; every document stays, with null and empty texts as they are."""
     return pii.redact(docs)
 
 
 def pack(spark, docs, sf_dir):
-    """The texts as token pieces in sequences of at most 2048."""
+    """The texts as token pieces in sequences of at most 2048; a null or empty text is its end id."""
     return packing.pack(docs)
 
 
