@@ -80,3 +80,71 @@ def head_point(payload) -> object:
         y = F.coalesce(F.get_json_object(payload, f"{at}.y"), F.get_json_object(payload, f"{at}[1]")).try_cast("double")
         found.append(F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y"))))
     return F.coalesce(*found)
+
+
+def pick_sensor(frames: DataFrame, sequence: list[str], sensor: str, index: int = 0, subject: str | None = None, gait: str | None = None) -> DataFrame:
+    """The frames of a sequence's ``index``-th sensor file by name, of its first where it has fewer; filtered where asked."""
+    rows = frames if subject is None else frames.filter(F.col("subject") == subject)
+    rows = rows if gait is None else rows.filter(F.col("gait_type") == gait)
+    files = rows.select(*sequence, sensor).distinct().groupBy(*sequence).agg(F.array_sort(F.collect_list(sensor)).alias("_s"))
+    chosen = files.select(*sequence, F.coalesce(F.get("_s", F.lit(index)), F.get("_s", F.lit(0))).alias(sensor))
+    return rows.join(chosen, [*sequence, sensor], "left_semi")
+
+
+def list_sequences(frames: DataFrame) -> DataFrame:
+    """(subject, gait_type, instance, sensors) of what was read, sensors in order of name."""
+    return frames.groupBy("subject", "gait_type", "instance").agg(F.array_sort(F.collect_set("sensor")).alias("sensors"))
+
+
+def write_baseline(baseline: DataFrame, path: str, subject: str = "subject") -> None:
+    """Baselines by subject, so that one is read alone."""
+    baseline.write.mode("overwrite").partitionBy(subject).parquet(path)
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def read_replay(spark: SparkSession, path: str, video: str | None = None) -> DataFrame:
+    """Replay rows, of one video where named: only its folder is read."""
+    rows = spark.read.parquet(path)
+    return rows if video is None else rows.filter(F.col("video") == video)
+
+
+def read_replay_json(spark: SparkSession, path: str, subject: str) -> DataFrame:
+    """Replays kept as (gzipped) JSON with a map of subjects a frame: a row per frame and subject, whose fields are
+    ``subject``, a schema as text."""
+    shape = f"frames array<struct<frame_index:bigint,video_time:double,subjects:map<string,struct<{subject}>>>>"
+    rows = spark.read.schema(shape).option("multiLine", True).json(path).select(F.explode("frames").alias("f"), F.col("_metadata.file_name").alias("video"))
+    each = rows.select("video", "f.frame_index", "f.video_time", F.explode("f.subjects").alias("subject_id", "s"))
+    return each.select("video", "frame_index", "video_time", "subject_id", "s.*")
+
+
+def append_player_frames(frames: DataFrame, path: str) -> None:
+    """Players' rows of frames by game."""
+    frames.write.mode("append").partitionBy("game_id").parquet(path)
+
+
+def write_summary_json(scores: DataFrame, subject: str, gait: str, score: str, path: str) -> None:
+    """One JSON row per subject: the mean score of each of its gaits."""
+    by = scores.groupBy(subject, gait).agg(F.avg(score).alias("mean"), F.count("*").alias("n"))
+    whole = by.groupBy(subject).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(gait), F.struct("mean", "n"))))).alias("gaits"))
+    whole.write.mode("overwrite").json(path)
+
+
+def game_players(game_id: str, subjects: DataFrame, status: DataFrame, subject: str = "subject_id") -> DataFrame:
+    """A row per player of a finished game; without a status it is GREEN and without events."""
+    met = subjects.select(subject).distinct().join(status, subject, "left")
+    return met.fillna({"status": "GREEN", "events": 0, "high": 0, "fatigue": 0.0, "reason": ""}).withColumn("game_id", F.lit(game_id))
+
+
+def stream_frames(spark: SparkSession, path: str, schema: str, late: str = "10 seconds") -> DataFrame:
+    """Live frames from a folder of JSON lines; ``ts`` is their event time, rows later than ``late`` are dropped."""
+    return spark.readStream.schema(schema).json(path).withWatermark("ts", late)
+
+
+def stream_head_samples(stream: DataFrame, payload: str) -> DataFrame:
+    """Samples (play_id, player_id, timestamp_ms, head) of a stream of JSON payloads; those without a head point go."""
+    value = lambda name: F.get_json_object(payload, f"$.{name}")
+    rows = stream.select(value("play_id").alias("play_id"), value("player_id").alias("player_id"), value("timestamp_ms").try_cast("double").alias("timestamp_ms"), head_point(F.col(payload)).alias("head"))
+    return rows.filter(F.col("head").isNotNull() & F.col("timestamp_ms").isNotNull())

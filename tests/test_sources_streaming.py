@@ -71,3 +71,50 @@ def test_live_windows_equal_batch(spark, tmp_path):
     got = sorted((r.subject_id, r.n, r.most) for r in spark.table("live_windows").collect())
     assert got == [("a", 1, 5.0), ("a", 2, 3.0)]
     assert live.window_metrics(df).count() == 3
+
+
+def test_sensor_falls_back_to_the_first(spark):
+    rows = [("a", "normal", "1", s, i) for s in ("k1", "k2") for i in range(3)] + [("b", "lurch", "1", "k1", 0)]
+    df = spark.createDataFrame(rows, "subject string, gait_type string, instance string, sensor string, i int")
+    by = ["subject", "gait_type", "instance"]
+    got = sorted({(r.subject, r.sensor) for r in S.pick_sensor(df, by, "sensor", 1).collect()})
+    assert got == [("a", "k2"), ("b", "k1")]
+    assert {r.subject for r in S.pick_sensor(df, by, "sensor", 0, gait="lurch").collect()} == {"b"}
+    assert {(r.subject, tuple(r.sensors)) for r in S.list_sequences(df).collect()} == {("a", ("k1", "k2")), ("b", ("k1",))}
+
+
+def test_files_come_back(spark, tmp_path):
+    base = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 2.0)], "subject string, phase int, mean double")
+    S.write_baseline(base, str(tmp_path / "b"))
+    assert sorted((r.subject, r.mean) for r in S.read_baseline(spark, str(tmp_path / "b")).collect()) == [("a", 1.0), ("b", 2.0)]
+    replay = spark.createDataFrame([("v1", 0), ("v2", 1)], "video string, frame int")
+    S.write_replay(replay, str(tmp_path / "r"))
+    assert [r.frame for r in S.read_replay(spark, str(tmp_path / "r"), "v2").collect()] == [1]
+    frames = [{"frame_index": 3, "video_time": 0.1, "subjects": {"1": {"phase": "normal"}, "2": {"phase": "anomaly"}}}]
+    (tmp_path / "x.json").write_text(json.dumps({"frames": frames}))
+    rows = S.read_replay_json(spark, str(tmp_path / "x.json"), "phase:string").collect()
+    assert sorted((r.video, r.frame_index, r.subject_id, r.phase) for r in rows) == [("x.json", 3, "1", "normal"), ("x.json", 3, "2", "anomaly")]
+    for _ in range(2):
+        S.append_player_frames(spark.createDataFrame([("g", 1)], "game_id string, f int"), str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+    scores = spark.createDataFrame([("a", "normal", 1.0), ("a", "normal", 3.0), ("a", "lurch", 5.0)], "s string, g string, x double")
+    S.write_summary_json(scores, "s", "g", "x", str(tmp_path / "j"))
+    row = spark.read.json(str(tmp_path / "j")).first()
+    assert row.gaits.normal.mean == 2.0 and row.gaits.lurch.n == 1
+
+
+def test_players_without_events_are_green(spark):
+    subjects = spark.createDataFrame([(1,), (2,)], "subject_id int")
+    status = spark.createDataFrame([(1, "RED", 7, 1, 0.5, "r")], "subject_id int, status string, events long, high long, fatigue double, reason string")
+    got = {r.subject_id: (r.status, r.events, r.game_id) for r in S.game_players("g", subjects, status).collect()}
+    assert got == {1: ("RED", 7, "g"), 2: ("GREEN", 0, "g")}
+
+
+def test_streams_of_frames_and_heads(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"ts": "2024-01-01T00:00:00Z", "subject_id": "s", "payload": "{\\"play_id\\": \\"p\\", \\"player_id\\": \\"q\\", \\"timestamp_ms\\": 5, \\"head\\": [1, 2]}"}\n')
+    stream = S.stream_frames(spark, str(folder), "ts timestamp, subject_id string, payload string")
+    q = S.stream_head_samples(stream, "payload").writeStream.format("memory").queryName("heads").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert [(r.play_id, r.timestamp_ms, r.head.x) for r in spark.table("heads").collect()] == [("p", 5.0, 1.0)]
