@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import cut, drop, releasing
+from .store import cut, drop, forget, releasing
 from .substring import Hashes
 
 SHINGLE = 5
@@ -95,6 +95,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     found = cut(met.filter("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b"), "similar")
     for table in (pairs, need, sets):
         drop(table)
+    del both, texts, sets, met
+    forget(rows.sparkSession)
     return found
 
 

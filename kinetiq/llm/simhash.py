@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import copies
 from .components import components
-from .store import cut, drop, releasing
+from .store import cut, drop, forget, releasing
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 MAX_BITS = 4
@@ -132,7 +132,8 @@ def links(fps: DataFrame) -> DataFrame:
     labelled = cut(_relabelled(fps.select("fp", F.col("fp").alias("c")), first), "labelled")
 
     # one shuffle: counts and members of a key meet in the partition they were dealt to, and both go to one table
-    keyed = _variants(labelled).repartition("key")
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = _variants(labelled.repartition(parts, "fp")).repartition("key")  # a small table, but 64 keys to a row
     counts = [F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")]
     counts += [F.min("fp").alias("f"), F.min_by("c", "fp").alias("fc"), F.max("fp").alias("g"), F.max_by("c", "fp").alias("gc")]
     counts += [F.bit_xor("fp").alias("x"), F.bit_xor("c").alias("xc")]
@@ -209,7 +210,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     smallest = F.min(F.struct("doc_id", "th")).alias("r")
     nodes = prints.groupBy("tk").agg(smallest, *(F.first(c).alias(c) for c in ("fp", "n", "b")))
     nodes = cut(nodes.select("tk", "r.doc_id", "r.th", "fp", "n", "b"), "nodes")
-    close = nodes.select("tk", "fp").join(links(nodes.select("fp").distinct()), "fp")
+    linked = links(nodes.select("fp").distinct())
+    forget(docs.sparkSession)
+    close = nodes.select("tk", "fp").join(linked, "fp")
     close = close.join(close.groupBy("c").agg(F.min("tk").alias("a")), "c").select("a", F.col("tk").alias("b"))
     groups = components(close.union(copies.links(nodes, rows))).toDF("tk", "c")
     named = prints.select("doc_id", "th", "tk").join(groups, "tk", "left").withColumn("c", F.coalesce("c", "tk"))

@@ -6,6 +6,7 @@ once for the session and set as its checkpoint folder; a cluster has to name its
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,12 @@ def drop(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to any more; it does so when they are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def releasing(run):
     """A function for ``mapInArrow`` that gives Arrow's spare memory back when a task ends; workers outlive their tasks."""
 
