@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, packing, pii, sharding, simhash, substring, toxicity, warc, wavelet
+from . import alignment, ann, decontam, packing, phrases, pii, sharding, simhash, substring, toxicity, vectors, warc, wavelet
 
 
 def _table(spark, sf_dir, name):
@@ -49,6 +49,24 @@ def op10_wavelet(spark, sf_dir):
     return wavelet.round_trip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_ann, op4_decontam, op5_substring, op6_packing, op7_pii, op8_sharding, op9_warc, op10_wavelet)}
+def op11_phrases(spark, sf_dir):
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op4_decontam": decontam.ORACLE, "op9_warc": warc.ORACLE}
+
+def op12_vectors(spark, sf_dir):
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark, sf_dir):
+    return alignment.align_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_toxicity, op3_ann, op4_decontam, op5_substring, op6_packing, op7_pii, op8_sharding, op9_warc, op10_wavelet,
+        op11_phrases, op12_vectors, op13_alignment,
+    )
+}
+
+ORACLES: dict[str, str] = {"op4_decontam": decontam.ORACLE, "op9_warc": warc.ORACLE, "op11_phrases": phrases.ORACLE, "op12_vectors": vectors.ORACLE}
