@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once; a Column used twice is otherwise an expression planned twice."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def dist(a: Column, b: Column) -> Column:
     dx, dy = a["x"] - b["x"], a["y"] - b["y"]
     return F.sqrt(dx * dx + dy * dy)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinetiq.functions.geometry import let
+
 # Landmark numbers of the layouts. 33 landmarks, 17 and 133 keypoints.
 COCO17_TO_33 = {0: 0, 3: 7, 4: 8, 5: 11, 6: 12, 7: 13, 8: 14, 9: 15, 10: 16, 11: 23, 12: 24, 13: 25, 14: 26, 15: 27, 16: 28}
 FEET = {31: 27, 32: 28}
@@ -86,23 +88,39 @@ def _dot(a, b) -> Column:
 def srp_3d(joints: Column, hips: tuple[int, int], shoulders: tuple[int, int]) -> Column:
     """Joints in the body's frame: origin between the hips, unit their distance (1e-4 at least), x from right to left hip,
     y along the trunk made square to x (straight up where that has no length), z square to both."""
-    lh, rh, ls, rs = (_vec(F.get(joints, i)) for i in (*hips, *shoulders))
-    pelvis = tuple((a + b) / 2 for a, b in zip(lh, rh))
-    across = tuple(a - b for a, b in zip(lh, rh))
-    width = F.greatest(F.sqrt(_dot(across, across)), F.lit(1e-4))
-    x = tuple(c / width for c in across)
-    trunk = tuple((a + b) / 2 - p for a, b, p in zip(ls, rs, pelvis))
-    along = _dot(trunk, x)
-    up = tuple(t - along * c for t, c in zip(trunk, x))
-    length = F.sqrt(_dot(up, up))
-    y = tuple(F.when(length < 1e-6, d).otherwise(c / length) for c, d in zip(up, (0.0, 1.0, 0.0)))
-    z = (x[1] * y[2] - x[2] * y[1], x[2] * y[0] - x[0] * y[2], x[0] * y[1] - x[1] * y[0])
-
-    def place(j):
-        rel = tuple(c - p for c, p in zip(_vec(j), pelvis))
-        return F.struct((_dot(rel, x) / width).alias("x"), (_dot(rel, y) / width).alias("y"), (_dot(rel, z) / width).alias("z"))
-
-    return F.transform(joints, place)
+    three = lambda name, v: [c.alias(f"{name}{k}") for k, c in enumerate(v)]
+    of = lambda s, name: tuple(s[f"{name}{k}"] for k in range(3))
+
+    def anchored(j):
+        lh, rh, ls, rs = (_vec(F.get(j, i)) for i in (*hips, *shoulders))
+        pelvis = tuple((a + b) / 2 for a, b in zip(lh, rh))
+        trunk = tuple((a + b) / 2 - p for a, b, p in zip(ls, rs, pelvis))
+        return F.struct(*three("p", pelvis), *three("a", (a - b for a, b in zip(lh, rh))), *three("t", trunk))
+
+    def across(s):
+        width = F.greatest(F.sqrt(_dot(of(s, "a"), of(s, "a"))), F.lit(1e-4))
+        return let(width, lambda w: F.struct(*three("p", of(s, "p")), w.alias("w"), *three("x", (c / w for c in of(s, "a"))), *three("t", of(s, "t"))))
+
+    def along(s):
+        up = let(_dot(of(s, "t"), of(s, "x")), lambda d: F.struct(*three("u", (t - d * c for t, c in zip(of(s, "t"), of(s, "x"))))))
+        return F.struct(*three("p", of(s, "p")), s["w"].alias("w"), *three("x", of(s, "x")), up.alias("u"))
+
+    def upright(s):
+        up = of(s["u"], "u")
+        y = let(F.sqrt(_dot(up, up)), lambda n: F.struct(*three("y", (F.when(n < 1e-6, d).otherwise(c / n) for c, d in zip(up, (0.0, 1.0, 0.0))))))
+        return F.struct(*three("p", of(s, "p")), s["w"].alias("w"), *three("x", of(s, "x")), y.alias("y"))
+
+    def square(s):
+        x, y = of(s, "x"), of(s["y"], "y")
+        z = (x[1] * y[2] - x[2] * y[1], x[2] * y[0] - x[0] * y[2], x[0] * y[1] - x[1] * y[0])
+        return F.struct(*three("p", of(s, "p")), s["w"].alias("w"), *three("x", x), *three("y", y), *three("z", z))
+
+    def placed(j, s):
+        rel = tuple(c - p for c, p in zip(_vec(j), of(s, "p")))
+        return F.struct(*((_dot(rel, of(s, c)) / s["w"]).alias(c) for c in "xyz"))
+
+    frame = lambda j: let(let(let(let(anchored(j), across), along), upright), square)
+    return let(joints, lambda j: let(frame(j), lambda s: F.transform(j, lambda q: placed(q, s))))
 
 
 def normalize_visual(marks: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetiq.functions import physics as P
+from kinetiq.functions.geometry import let
 from kinetiq.functions.skeleton import BONES
 from kinetiq.operators.ordered import _own, cooldown, islands, ordered_scan, recurrence
 
@@ -151,24 +152,32 @@ def closing_velocity(a: Column, b: Column, scale: Column, fps: float, most: floa
         smooth = F.struct(*(reduce(lambda s, t: s + t, (F.get(h, k)[c] * float(w) for k, w in enumerate(row))).alias(c) for c in "xy"))
         return F.when(F.least(F.size(a), F.size(b)) >= 5, smooth).otherwise(F.struct(raw["x"].alias("x"), raw["y"].alias("y")))
 
-    (ax, ay), (bx, by) = _sub(place(a, 0), place(a, 2)), _sub(place(b, 0), place(b, 2))
-    vx, vy = (ax - bx) * fps / 2, (ay - by) * fps / 2
-    lx, ly = _sub(place(b, 0), place(a, 0))
-    apart = F.sqrt(lx * lx + ly * ly)
-    speed = F.when(apart < 1e-6, F.sqrt(vx * vx + vy * vy)).otherwise((vx * lx + vy * ly) / apart) * scale
+    def speed(s):
+        (ax, ay), (bx, by), (lx, ly) = _sub(s["a0"], s["a2"]), _sub(s["b0"], s["b2"]), _sub(s["b0"], s["a0"])
+        v = F.struct(((ax - bx) * fps / 2).alias("x"), ((ay - by) * fps / 2).alias("y"), lx.alias("lx"), ly.alias("ly"))
+        along = lambda v: F.when(v["apart"] < 1e-6, F.sqrt(v["x"] * v["x"] + v["y"] * v["y"])).otherwise((v["x"] * v["lx"] + v["y"] * v["ly"]) / v["apart"])
+        return let(let(v, lambda v: v.withField("apart", F.sqrt(v["lx"] * v["lx"] + v["ly"] * v["ly"]))), along)
+
+    last = F.struct(*(place(h, k).alias(f"{n}{k}") for n, h in (("a", a), ("b", b)) for k in (0, 2)))
     enough = (F.size(a) >= 3) & (F.size(b) >= 3) & (scale > 0)
-    return F.when(enough, F.least(F.lit(most), F.greatest(F.lit(0.0), speed))).otherwise(0.0)
+    return F.when(enough, F.least(F.lit(most), F.greatest(F.lit(0.0), let(last, speed) * scale))).otherwise(0.0)
 
 
 def approach_angle(a: Column, b: Column, fps: float) -> Column:
     """Radians between the relative velocity and the line between two heads, from unsmoothed places; 0 without either."""
     last = lambda h, k: F.get(h, F.size(h) - 1 - k)
-    (ax, ay), (bx, by) = _sub(last(a, 0), last(a, 2)), _sub(last(b, 0), last(b, 2))
-    vx, vy = (ax - bx) * fps / 2, (ay - by) * fps / 2
-    lx, ly = _sub(last(b, 0), last(a, 0))
-    v, length = F.sqrt(vx * vx + vy * vy), F.sqrt(lx * lx + ly * ly)
-    cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (vx * lx + vy * ly) / (v * length)))
-    return F.when((F.size(a) >= 3) & (F.size(b) >= 3) & (v >= 1e-6) & (length >= 1e-6), F.acos(cos)).otherwise(0.0)
+
+    def lines(s):
+        (ax, ay), (bx, by), (lx, ly) = _sub(s["a0"], s["a2"]), _sub(s["b0"], s["b2"]), _sub(s["b0"], s["a0"])
+        return F.struct(((ax - bx) * fps / 2).alias("vx"), ((ay - by) * fps / 2).alias("vy"), lx.alias("lx"), ly.alias("ly"))
+
+    def angle(s):
+        cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (s["vx"] * s["lx"] + s["vy"] * s["ly"]) / (s["v"] * s["l"])))
+        return F.when((s["v"] >= 1e-6) & (s["l"] >= 1e-6), F.acos(cos)).otherwise(0.0)
+
+    places = F.struct(*(last(h, k).alias(f"{n}{k}") for n, h in (("a", a), ("b", b)) for k in (0, 2)))
+    sized = lambda s: s.withField("v", F.sqrt(s["vx"] * s["vx"] + s["vy"] * s["vy"])).withField("l", F.sqrt(s["lx"] * s["lx"] + s["ly"] * s["ly"]))
+    return F.when((F.size(a) >= 3) & (F.size(b) >= 3), let(let(let(places, lines), sized), angle)).otherwise(0.0)
 
 
 def head_history(df: DataFrame, keys: list[str], order: list[str], head: str, rows: int = 5) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetiq.functions import physics as P
-from kinetiq.functions.geometry import bbox_iou
+from kinetiq.functions.geometry import bbox_iou, let
 from kinetiq.functions.skeleton import SEEN, head_center
 from kinetiq.operators.joins import pairs_in_frame
 
@@ -24,14 +24,19 @@ def _apart(a: Column, b: Column) -> Column:
 def head_to_body(head: Column, body: Column) -> Column:
     """(distance, keypoint) of a head to the nearest seen body keypoint of another, or to the middle of its torso, which
     counts as a hip; null without either."""
-    points = F.array(*(F.struct(_apart(F.get(body, i), head).alias("d"), F.lit(i).alias("k"), (F.get(body, i)["c"] >= SEEN).alias("seen")) for i in _BODY))
-    nearest = F.array_min(F.transform(F.filter(points, lambda p: p["seen"]), lambda p: F.struct(p["d"].alias("d"), p["k"].alias("k"))))
-    seen = F.filter(F.array(*(F.get(body, i) for i in _TORSO)), lambda p: p["c"] >= SEEN)
-    mean = lambda c: F.try_divide(F.aggregate(seen, F.lit(0.0), lambda s, p: s + p[c]), F.size(seen))
-    torso = F.when(F.size(seen) >= 2, F.sqrt(F.pow(mean("x") - head["x"], 2) + F.pow(mean("y") - head["y"], 2)))
-    inside = F.coalesce(torso < nearest["d"], F.lit(False))
-    found = F.when(inside, F.struct(torso.alias("d"), F.lit(11).alias("k"))).otherwise(nearest)
-    return F.when(head.isNotNull() & nearest.isNotNull(), found)
+    near = lambda i: F.struct(_apart(F.get(body, i), head).alias("d"), F.lit(i).alias("k"), (F.get(body, i)["c"] >= SEEN).alias("seen"))
+    seen_points = F.filter(F.array(*map(near, _BODY)), lambda p: p["seen"])
+    nearest = F.array_min(F.transform(seen_points, lambda p: F.struct(p["d"].alias("d"), p["k"].alias("k"))))
+    mean = lambda seen, c: F.aggregate(seen, F.lit(0.0), lambda s, p: s + p[c]) / F.size(seen)
+    middle = lambda seen: F.when(F.size(seen) >= 2, F.sqrt(F.pow(mean(seen, "x") - head["x"], 2) + F.pow(mean(seen, "y") - head["y"], 2)))
+    torso = let(F.filter(F.array(*(F.get(body, i) for i in _TORSO)), lambda p: p["c"] >= SEEN), middle)
+
+    def nearer(s):
+        inside = F.coalesce(s["torso"] < s["nearest"]["d"], F.lit(False))
+        return F.when(inside, F.struct(s["torso"].alias("d"), F.lit(11).alias("k"))).otherwise(s["nearest"])
+
+    found = let(F.struct(torso.alias("torso"), nearest.alias("nearest")), lambda s: F.when(s["nearest"].isNotNull(), nearer(s)))
+    return F.when(head.isNotNull(), found)
 
 
 def detect_contacts(df: DataFrame, keys: list[str], subject: str, points: str, least: float = 0.05, part: float = 0.5) -> DataFrame:

@@ -167,7 +167,9 @@ def cluster_segments(segments: DataFrame, distances: DataFrame, keys: list[str],
         return out
 
     kinds = T.StructType([segments.schema[c] for c in [*keys, *columns]] + [T.StructField("cluster", T.IntegerType())])
-    return segments.groupBy(*keys).cogroup(distances.groupBy(*keys)).applyInPandas(run, kinds)
+    own = [f"_own{i}" for i in range(len(keys))]  # both sides may descend from one table, whose keys are then the same columns
+    right = distances.select(*(F.col(k).alias(o) for k, o in zip(keys, own)), "a", "b", "distance")
+    return segments.groupBy(*keys).cogroup(right.groupBy(*own)).applyInPandas(run, kinds)
 
 
 def self_similarity(df: DataFrame, keys: list[str], order: str, features: str, window: int = 15) -> DataFrame:
@@ -241,7 +243,7 @@ def kinematic_sequence(df: DataFrame, keys: list[str], order: str, joint: str, o
 FATIGUE = {"rom": 0.25, "ewma": 0.20, "cusum": 0.20, "correlation": 0.15, "sparc": 0.08, "ldlj": 0.07, "spread": 0.05}
 
 
-def composite_fatigue(**parts: Column) -> Column:
+def composite_fatigue(digits: int = 3, **parts: Column) -> Column:
     """Weighted mean of the parts that are there: rom decay, share of alarming joints, height of the cumulative sum over its
     limit, slope of the correlations, sparc and ldlj decay, slope of the spread; each held to 0 to 1 in its own scale."""
     held = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
@@ -249,7 +251,7 @@ def composite_fatigue(**parts: Column) -> Column:
     scale |= {"correlation": lambda c: held(c * -20), "sparc": held, "ldlj": held, "spread": lambda c: held(c * 10)}
     sums = [(F.when(c.isNotNull(), scale[n](c) * FATIGUE[n]).otherwise(0.0), F.when(c.isNotNull(), FATIGUE[n]).otherwise(0.0)) for n, c in parts.items()]
     value, weight = (reduce(lambda a, b: a + b, (s[i] for s in sums)) for i in (0, 1))
-    return F.round(F.when(weight > 0, F.try_divide(value, weight)).otherwise(0.0), 3)
+    return F.round(F.when(weight > 0, F.try_divide(value, weight)).otherwise(0.0), digits)
 
 
 def resample_each(frames: DataFrame, keys: list[str], points: str, features: str = "f") -> DataFrame:
@@ -328,7 +330,7 @@ def register_metric(name: str, reading: Callable[[], Column]) -> None:
     METRICS[name] = reading
 
 
-def injury_risks(rows: DataFrame, keys: list[str], thresholds: DataFrame | None = None, scales: DataFrame | None = None, person: list[str] | None = None) -> DataFrame:
+def injury_risks(rows: DataFrame, keys: list[str], thresholds: DataFrame | None = None, scales: DataFrame | None = None, person: list[str] | None = None, digits: int = 1) -> DataFrame:
     """(keys, joint, risk, severity, value, threshold) of the metrics beyond their thresholds, strictly.
 
     ``rows`` has the metrics as columns; a missing or null one is 0. ``thresholds(metric, joint, risk, medium, high,
@@ -355,7 +357,7 @@ def injury_risks(rows: DataFrame, keys: list[str], thresholds: DataFrame | None
     high, medium = F.col("reading") > F.col("high"), F.col("reading") > F.col("medium")
     found = met.filter(F.coalesce(high, F.lit(False)) | medium)
     return found.select(
-        *keys, "joint", "risk", F.when(high, "high").otherwise("medium").alias("severity"), F.round("reading", 1).alias("value"),
+        *keys, "joint", "risk", F.when(high, "high").otherwise("medium").alias("severity"), F.round("reading", digits).alias("value"),
         F.when(high, F.col("high")).otherwise(F.col("medium")).alias("threshold"),
     )
 

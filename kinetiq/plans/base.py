@@ -25,3 +25,8 @@ def query(sql: str | None = None):
 
 def r(c, n: int = 4):
     return F.round(c, n)
+
+
+def up(c, n: int = 4):
+    """Rounded with ties, and what binary fractions leave just under one, upwards; ``round(x + 1e-9, n)`` in SQL does the same."""
+    return F.round(c + F.lit(1e-9), n)

@@ -8,7 +8,7 @@ from kinetiq.operators import cycles as C
 from kinetiq.operators import sequences as Q
 from kinetiq.plans import adapters as V
 from kinetiq.plans.adapters import with_views
-from kinetiq.plans.base import KEY, ORDER, query, r
+from kinetiq.plans.base import KEY, ORDER, query, r, up
 
 SEG = ["subject_id", "segment"]
 
@@ -137,11 +137,11 @@ def f14_kinematic_sequence(spark, d):
 
 
 @query(with_views("""SELECT subject_id, frame, round((least(1, x / 400) / 0.25::DOUBLE * 0 + 0.25::DOUBLE * least(1, x / 400 / 0.25::DOUBLE) + 0.2::DOUBLE * k / 100 + CASE WHEN velocity IS NULL THEN 0 ELSE 0.2::DOUBLE * least(1, velocity * 3) END
-  + 0.15::DOUBLE * greatest(0, least(1, (x - 50) / 1000 * 20))) / (0.25::DOUBLE + 0.2::DOUBLE + CASE WHEN velocity IS NULL THEN 0 ELSE 0.2::DOUBLE END + 0.15::DOUBLE), 3) AS fatigue FROM signal""", "signal"))
+  + 0.15::DOUBLE * greatest(0, least(1, (x - 50) / 1000 * 20))) / (0.25::DOUBLE + 0.2::DOUBLE + CASE WHEN velocity IS NULL THEN 0 ELSE 0.2::DOUBLE END + 0.15::DOUBLE) + 1e-9::DOUBLE, 3) AS fatigue FROM signal""", "signal"))
 def f15_composite_fatigue(spark, d):
     s = V.signal(spark, d)
-    value = Q.composite_fatigue(rom=F.col("x") / 400, ewma=F.col("k") / 100, cusum=F.col("velocity") * 3, correlation=(50 - F.col("x")) / 1000)
-    return s.select(*KEY, *ORDER, value.alias("fatigue"))
+    value = Q.composite_fatigue(8, rom=F.col("x") / 400, ewma=F.col("k") / 100, cusum=F.col("velocity") * 3, correlation=(50 - F.col("x")) / 1000)
+    return s.select(*KEY, *ORDER, up(value, 3).alias("fatigue"))
 
 
 _GROUPED = _sql_segments(12) + """, k AS (SELECT *, floor(quantile_cont(length, 0.5) OVER (PARTITION BY subject_id)) AS q FROM (SELECT DISTINCT subject_id, segment, length FROM c WHERE length >= 2)),
@@ -183,7 +183,7 @@ def d9_analyze_consistency(spark, d):
 
 
 def _risk_sql(rows: str) -> str:
-    return f"""SELECT subject_id, frame, joint, risk, CASE WHEN v > h THEN 'high' ELSE 'medium' END AS severity, round(v, 1) AS value, CASE WHEN v > h THEN h ELSE m END AS threshold FROM ({rows}) WHERE v > m"""
+    return f"""SELECT subject_id, frame, joint, risk, CASE WHEN v > h THEN 'high' ELSE 'medium' END AS severity, round(v + 1e-9::DOUBLE, 1) AS value, CASE WHEN v > h THEN h ELSE m END AS threshold FROM ({rows}) WHERE v > m"""
 
 
 _RISKS = " UNION ALL ".join(
@@ -200,7 +200,7 @@ def f18_injury_risks(spark, d):
     s = V.signal(spark, d).withColumns({
         "fppa_left": F.col("x") - 50, "fppa_right": F.col("k") / 3, "hip_drop": (F.col("k") - 50) / 4, "asymmetry": F.col("velocity") * 101.3,
     })
-    return Q.injury_risks(s, [*KEY, *ORDER])
+    return Q.injury_risks(s, [*KEY, *ORDER], digits=6).withColumn("value", up(F.col("value"), 1))
 
 
 @query()
@@ -248,11 +248,11 @@ def d3_distance_calibration(spark, d):
     return out.select("subject_id", *(r(c, 3).alias(c) for c in ("p50", "p90", "p99")))
 
 
-@query(with_views("""SELECT subject_id, kind, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std, count(x) AS n, (SELECT round(avg(y.x) FILTER (WHERE y.kind <> 'click') / avg(y.x) FILTER (WHERE y.kind = 'click'), 4) FROM signal y WHERE y.subject_id = s.subject_id) AS separation FROM signal s GROUP BY ALL""", "signal"))
+@query(with_views("""SELECT subject_id, kind, round(avg(x) + 1e-9::DOUBLE, 4) AS mean, round(stddev_pop(x) + 1e-9::DOUBLE, 4) AS std, count(x) AS n, (SELECT round(avg(y.x) FILTER (WHERE y.kind <> 'click') / avg(y.x) FILTER (WHERE y.kind = 'click') + 1e-9::DOUBLE, 4) FROM signal y WHERE y.subject_id = s.subject_id) AS separation FROM signal s GROUP BY ALL""", "signal"))
 def d6_gait_summary(spark, d):
     """Scores by subject and gait (here events and their kinds), with each subject's separation of other gaits from the normal one."""
     by, ratio = Q.gait_summary(V.signal(spark, d), "subject_id", "kind", "x", "click")
-    return by.join(ratio, KEY).select(*KEY, "kind", r("mean").alias("mean"), r("std").alias("std"), "n", r("separation").alias("separation"))
+    return by.join(ratio, KEY).select(*KEY, "kind", "n", *(up(F.col(c)).alias(c) for c in ("mean", "std", "separation")))
 
 
 @query(with_views(""", n AS (SELECT kind, greatest(k - 90, 0) AS c, count(*) AS n FROM signal GROUP BY ALL) SELECT kind, arg_max(c, (n, -c)) AS cluster FROM n GROUP BY 1""", "signal"))
