@@ -2,14 +2,20 @@
 
 Texts are tokenised once; what follows sees only lengths. The program has a variable per configuration (a multiset of
 lengths that fits a sequence) and a covering constraint per length. Multiplicative weights solve it: lengths that are
-still short of sequences weigh more, a knapsack by dynamic programming prices the best configuration, and its variable
-grows by as much as its scarcest length allows. The fractional solution is rounded down and what is left over is placed
-by best fit, still on the histogram. The histogram and the plan are bounded by the sequence length, not by the corpus:
-they are all that the driver sees. Pieces get their places by joining the plan on (length, number within the length).
+still short of sequences weigh more, and a knapsack by dynamic programming prices configurations. One table prices the
+best configuration with each length in it; all that are nearly as good as the best of all take a step in the round. Rounds end when
+the scaled solution, which covers every length, is within ``GAP`` of the least number of sequences that the tokens need, or
+after ``ROUNDS``; the rounding does not depend on the gap.
+
+The solution is rounded configuration by configuration, the largest first, as far as pieces are left, and the program is
+solved again for what the rounding left over, as long as that places a share of it. What remains is placed by best fit, still
+on the histogram: a tenth of the pieces or less, from the point of the rounding where that makes the fewest sequences. The histogram and the plan are bounded by the sequence length, not by the corpus: they are all that the
+driver sees. Pieces get their places by joining the plan on (length, number within the length).
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -24,8 +30,10 @@ from .tokens import encoder
 
 SEQUENCE = 2048
 END_ID = 0
-ROUNDS = 300
-STEP = 0.5
+#: Rounds of a solution at most, the weights' step, how near to the best a configuration has to be, how much of a length a
+#: round may cover, the gap to stop at, the share of what is left that a solution has to place for another, and the share of
+#: all pieces that best fit may get.
+ROUNDS, STEP, NEAR, EACH, GAP, PLACED, REST = 120, 0.05, 0.05, 0.5, 0.25, 0.05, 0.1
 
 _PIECES = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -66,8 +74,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE)
     return rows.mapInArrow(releasing(_pieces(tokenizer, size)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def price(values: np.ndarray, lengths: np.ndarray, size: int) -> Counter:
-    """The configuration of most total value that fits: unbounded knapsack, one table entry per number of tokens."""
+def prices(values: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack: the most value that fits into each room, and the length to take there (-1: leave one token)."""
     best, took = np.zeros(size + 1), np.full(size + 1, -1)
     for room in range(int(lengths[0]), size + 1):
         k = int(np.searchsorted(lengths, room, side="right"))
@@ -77,32 +85,48 @@ def price(values: np.ndarray, lengths: np.ndarray, size: int) -> Counter:
             best[room], took[room] = total[i], i
         else:
             best[room] = best[room - 1]
-    config, room = Counter(), size
+    return best, took
+
+
+def _taken(took: np.ndarray, lengths: np.ndarray, room: int) -> list[int]:
+    """The places of the lengths that fill a room best."""
+    out = []
     while room >= lengths[0]:
-        if took[room] < 0:
+        i = int(took[room])
+        if i < 0:
             room -= 1
         else:
-            config[int(lengths[took[room]])] += 1
-            room -= int(lengths[took[room]])
-    return config
+            out.append(i)
+            room -= int(lengths[i])
+    return out
 
 
-def solve(counts: dict[int, int], size: int = SEQUENCE, rounds: int = ROUNDS, step: float = STEP) -> dict[tuple, float]:
+def solve(counts: dict[int, int], size: int = SEQUENCE, rounds: int = ROUNDS, step: float = STEP, gap: float = GAP) -> dict[tuple, float]:
     """Fractional numbers of configurations (sorted tuples of lengths) that cover ``counts``, by multiplicative weights."""
     lengths = np.array(sorted(counts))
     need = np.array([counts[x] for x in lengths], float)
-    at = {int(x): i for i, x in enumerate(lengths)}
+    bound = max(1e-9, float(lengths @ need) / size)
     log_weight, covered, x = np.zeros(len(lengths)), np.zeros(len(lengths)), defaultdict(float)
     for _ in range(rounds):
-        # a token of a scarce length is worth more; values are by length, so that empty room costs
-        values = lengths * np.exp(log_weight - log_weight.max())
-        config = price(values, lengths, size)
-        share = min(need[at[v]] / k for v, k in config.items())
-        x[tuple(sorted(config.elements(), reverse=True))] += share
-        for v, k in config.items():
-            covered[at[v]] += k * share / need[at[v]]
-            log_weight[at[v]] -= step * k * share / need[at[v]]
-    scale = float(np.average(covered, weights=lengths * need))
+        # values are by length, so that empty room costs; a token of a scarce length is worth more
+        values = lengths * np.exp(np.clip(log_weight - log_weight.max(), -30, 0))
+        best, took = prices(values, lengths, size)
+        with_each = values + best[size - lengths]
+        start = covered.copy()
+        for i in np.argsort(covered, kind="stable").tolist():
+            if with_each[i] < (1 - NEAR) * best[size] or covered[i] - start[i] >= EACH:
+                continue
+            config = Counter([i, *_taken(took, lengths, size - int(lengths[i]))])
+            if any(covered[j] - start[j] >= EACH for j in config):
+                continue  # common fillers are priced anew before they are taken again
+            share = EACH * min(need[j] / k for j, k in config.items())
+            x[tuple(sorted((int(lengths[j]) for j in config.elements()), reverse=True))] += share
+            for j, k in config.items():
+                covered[j] += k * share / need[j]
+                log_weight[j] -= step * k * share / need[j]
+        if covered.min() > 0 and sum(x.values()) / covered.min() <= (1 + gap) * bound:
+            break
+    scale = float(covered.min() if covered.min() > 0 else np.average(covered, weights=lengths * need))
     return {c: v / scale for c, v in x.items()}
 
 
@@ -127,22 +151,40 @@ def best_fit(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple,
     return [(c, m) for by in spaces.values() for c, m in by.items()]
 
 
-def plan(counts: dict[int, int], size: int = SEQUENCE, rounds: int = ROUNDS) -> list[tuple[tuple, int]]:
-    """Configurations and how many sequences use each; together they hold exactly ``counts``."""
-    left = dict(counts)
+def rounded(solution: dict[tuple, float], left: Counter):
+    """Whole numbers of configurations, the largest first, each rounded up as far as pieces are left; ``left`` shrinks."""
+    for config, x in sorted(solution.items(), key=lambda c: (-c[1], c[0])):
+        use = Counter(config)
+        many = min(math.ceil(x), *(left[v] // k for v, k in use.items()))
+        if many:
+            for v, k in use.items():
+                left[v] -= k * many
+            yield config, many
+
+
+def plan(counts: dict[int, int], size: int = SEQUENCE, rounds: int = ROUNDS) -> tuple[list[tuple[tuple, int]], int]:
+    """Configurations and how many sequences use each, together holding exactly ``counts``; and how many pieces the program
+    has placed. The rest, ``REST`` of the pieces at most if the program gets so far, is placed by best fit: from where that
+    makes the fewest sequences."""
+    left, total = Counter(counts), sum(counts.values())
     out: list[tuple[tuple, int]] = []
     if full := left.pop(size, 0):
         out.append(((size,), full))
-    if left:
-        for config, x in sorted(solve(left, size, rounds).items(), key=lambda c: (-c[1], c[0])):
-            use = Counter(config)
-            many = min(int(x), *(left[v] // k for v, k in use.items()))
-            if many:
-                out.append((config, many))
-                for v, k in use.items():
-                    left[v] -= k * many
-        out += best_fit({v: k for v, k in left.items() if k}, size)
-    return out
+    ends, mark, placed = [], REST * total, full
+    while total - placed > REST / 4 * total:
+        before = placed
+        for config, many in rounded(solve(+left, size, rounds), left):
+            out.append((config, many))
+            placed += many * len(config)
+            if total - placed <= mark:
+                ends.append((len(out), +left))
+                mark = (total - placed) * 0.8
+        if placed - before < PLACED * (total - before):
+            break
+    ends.append((len(out), +left))
+    tails = [(out[:n], best_fit(rest, size), sum(rest.values())) for n, rest in ends]
+    head, tail, rest = min(tails, key=lambda t: (sum(m for _, m in t[0] + t[1]), t[2]))
+    return head + tail, total - rest
 
 
 def places(planned: list[tuple[tuple, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -167,7 +209,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, ro
     """
     cutup = cut(pieces(docs, tokenizer, size), "pieces")
     counts = {r["length"]: r["count"] for r in cutup.groupBy("length").count().collect()}  # at most ``size`` rows
-    rows = places(plan(counts, size, rounds)) if counts else []
+    rows = places(plan(counts, size, rounds)[0]) if counts else []
     spark = docs.sparkSession
     table = spark.createDataFrame(
         rows, "p_length long, p_from long, p_to long, p_shift long, offset long"

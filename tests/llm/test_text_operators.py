@@ -281,12 +281,42 @@ def test_plan_holds_exactly_the_histogram():
     rng = np.random.default_rng(4)
     counts = {int(x): int(n) for x, n in zip(rng.choice(np.arange(1, 101), 40, replace=False), rng.integers(1, 200, 40))}
     got = Counter()
-    for config, many in packing.plan(counts, 100, rounds=80):
+    planned, by_program = packing.plan(counts, 100, rounds=80)
+    assert by_program >= 0.9 * sum(counts.values())
+    for config, many in planned:
         assert sum(config) <= 100
         for v in config:
             got[v] += many
     assert got == counts
-    assert packing.plan({100: 7}, 100) == [((100,), 7)]
+    assert packing.plan({100: 7}, 100) == ([((100,), 7)], 7)
+
+
+def fewest(lengths, size):
+    """The least number of sequences, by trying all ways to fill one with the longest piece left."""
+    if not lengths:
+        return 0
+    first, rest = lengths[0], lengths[1:]
+    most = 1 + fewest(rest, size)
+    for n in range(1, len(rest) + 1):
+        for inside in {c for c in combinations(range(len(rest)), n)}:
+            if first + sum(rest[i] for i in inside) <= size:
+                most = min(most, 1 + fewest(tuple(v for i, v in enumerate(rest) if i not in inside), size))
+    return most
+
+
+def test_plan_of_a_few_pieces_is_near_the_fewest():
+    rng = np.random.default_rng(9)
+    for _ in range(12):
+        lengths = tuple(sorted(rng.integers(8, 70, 7).tolist(), reverse=True))
+        assert sum(m for _, m in packing.plan(Counter(lengths), 100)[0]) <= fewest(lengths, 100) + 1
+
+
+def test_the_program_beats_best_fit_where_that_goes_wrong():
+    for counts, least in (({1025: 100, 513: 100, 510: 100, 257: 200, 255: 200}, 150), ({700: 300, 650: 300, 698: 300, 1024: 100, 342: 600, 341: 300, 683: 300}, 601)):
+        planned, by_program = packing.plan(counts)
+        alone = sum(m for _, m in packing.best_fit(counts))
+        assert sum(m for _, m in planned) < alone and sum(m for _, m in planned) <= 1.05 * least
+        assert by_program >= 0.9 * sum(counts.values())
 
 
 RULES = {
