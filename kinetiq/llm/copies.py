@@ -3,8 +3,8 @@
 A fingerprint of 64 bits cannot find these: at that similarity two differ by about ten bits, and segments short enough to
 survive so many say nothing. Candidates come from ``BANDS`` bands of ``ROWS`` minimal hashes instead, which miss a pair at
 exactly 0.8 with a probability under 1e-7 and a closer one with less, and every candidate pair is verified on whole sets.
-Texts under a band are first linked to one of them; a band whose texts then lie in one component adds nothing, the others
-are joined in full.
+Texts under a band are first linked to a few of them; a band whose texts then lie in one component adds nothing, and of
+the others only texts of different components meet, each pair under one band.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .substring import Hashes
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
+#: Texts of a band that all its others meet first.
+ROUNDS = 3
 _RNG = np.random.default_rng(11)
 _TURN, _TIMES = (_RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
 _TIMES |= np.uint64(1)
@@ -100,22 +102,48 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return found
 
 
+def _named(met: DataFrame, edges: DataFrame) -> DataFrame:
+    """``met`` with the component c that each text is known to lie in, of those bands that still hold several."""
+    found = components(edges).select(F.col("node").alias("tk"), F.col("component").alias("c"))
+    named = met.join(found, "tk", "left").withColumn("c", F.coalesce("c", "tk"))
+    several = named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h")
+    return named.join(several, "h", "left_semi")
+
+
 def links(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """``nodes(tk, n, b, doc_id, th)``, a row per key -> ``(a, b)`` that connect all texts that similar pairs connect.
 
-    n is the number of a text's shingles, b its bands, and (doc_id, th) names a row of ``rows(doc_id, th, text)``.
+    n is the number of a text's shingles, b its bands, and (doc_id, th) names a row of ``rows(doc_id, th, text)``. In each
+    round every text of a band meets one of its texts: the one that meets most others under all its bands, which is the likely source
+    of a group of copies, and then that of those that it hasn't been joined to. Pairs that are left meet under one of their bands.
     """
-    posts = nodes.select("tk", "n", F.explode("b").alias("h")).repartition("h")
-    shared = posts.groupBy("h").agg(F.count("*").alias("many"), F.min("tk").alias("tk2"), F.min_by("n", "tk").alias("n2")).filter("many > 1")
-    met = cut(posts.join(shared, "h"), "met")
+    posts = nodes.select("tk", F.explode("b").alias("h"))
+    shared = posts.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1")
+    met = posts.join(shared, "h").join(nodes.select("tk", "n"), "tk")
+    met = cut(met.select("h", "tk", "n", "many"), "met")
+    degrees = met.groupBy("tk").agg(F.sum("many").alias("degree"))
+    met2 = cut(met.join(degrees, "tk").select("h", "tk", "n", "degree"), "met")
+    drop(met)
     possible = F.expr("5 * least(n, n2) >= 4 * greatest(n, n2)")
-    star = met.filter(F.expr("tk <> tk2") & possible)
-    sure = _verified(star.select(F.col("tk2").alias("a"), F.col("tk").alias("b")), nodes, rows)
-    found = components(sure).select(F.col("node").alias("tk"), F.col("component").alias("c"))
-    named = met.filter("many > 2").select("h", "tk", "n").join(found, "tk", "left").withColumn("c", F.coalesce("c", "tk"))
-    several = named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h")
-    left = cut(named.join(several, "h", "left_semi").select("h", "tk", "n", "c"), "mixed")
-    full = left.join(left.toDF("h", "tk2", "n2", "c2"), "h").filter(F.expr("c < c2") & possible)
+    of_two = F.max(F.struct("degree", "tk", "n", "c"))
+    sure, left = None, met2.withColumn("c", F.col("tk"))
+    for _ in range(ROUNDS):
+        hub = left.groupBy("h").agg(of_two.alias("p"))
+        if sure is not None:  # the next one is not yet joined to the first
+            apart = left.join(hub.select("h", F.col("p.c").alias("pc")), "h").filter("c <> pc")
+            hub = apart.groupBy("h").agg(of_two.alias("p"))
+        hub = hub.select("h", F.col("p.tk").alias("tk2"), F.col("p.n").alias("n2"), F.col("p.c").alias("c2"))
+        star = left.join(hub, "h").filter(F.expr("tk <> tk2 and c <> c2") & possible)
+        found = _verified(star.select(F.least("tk", "tk2").alias("a"), F.greatest("tk", "tk2").alias("b")), nodes, rows)
+        sure = found if sure is None else sure.union(found)
+        left = cut(_named(met2, sure), "mixed")
+        if left.isEmpty():
+            return sure
+    bands_of = left.groupBy("tk").agg(F.collect_set("h").alias("hs"))
+    left = cut(left.join(bands_of, "tk").select("h", "tk", "n", "c", "hs"), "mixed")
+    right = left.select(F.col("h").alias("h2"), F.col("tk").alias("tk2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("hs").alias("hs2"))
+    once = F.array_min(F.array_intersect("hs", "hs2")) == F.col("h")
+    full = left.join(right, (F.col("h") == F.col("h2")) & F.expr("c < c2") & possible & once)
     more = _verified(full.select(F.col("tk").alias("a"), F.col("tk2").alias("b")), nodes, rows)
-    drop(met), drop(left)
+    drop(met2), drop(left)
     return sure.union(more)
