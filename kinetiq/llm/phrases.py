@@ -1,8 +1,8 @@
 """Phrase collocations from sorted count streams.
 
 A task reads texts in chunks of bounded size, numbers the chunk's words in byte order and counts its word sequences by
-sorting packed numbers. What leaves the task are streams: for each language and bucket the chunk's different sequences in
-prefix order with their counts, compressed. A bucket's streams are merged and summed in one task; a sequence meets there
+sorting packed numbers. What leaves the task are streams: for each language and bucket the chunk's different sequences of each
+length in prefix order with their counts, compressed. A bucket's streams are merged and summed in one task; a sequence meets there
 once per chunk at most, so that no frequent word or phrase makes a bucket large.
 
 The sums that reach the smallest count are kept in two layouts: in prefix order, where a candidate finds its left part and
@@ -89,12 +89,16 @@ def sequences(ids: np.ndarray, piece: np.ndarray, base: int, n: int, skip: int =
     return rows, counts
 
 
-def _blob(phrases: pa.Array, counts: np.ndarray) -> bytes:
-    """A stream: its length, the phrases' lengths, the counts and the phrases' bytes, compressed."""
-    offsets = np.frombuffer(phrases.buffers()[1], np.int32)[phrases.offset : phrases.offset + len(phrases) + 1]
-    letters = memoryview(phrases.buffers()[2] or b"")[offsets[0] : offsets[-1]]
-    sizes = np.diff(offsets).astype("<i4")
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(sizes).to_bytes(8, "little"), sizes.tobytes(), counts.astype("<i8").tobytes(), letters]))
+def _blob(parts: list[tuple[pa.Array, np.ndarray]]) -> bytes:
+    """Streams one after another: their length, the phrases' lengths, the counts and the phrases' bytes, compressed."""
+    sizes, letters = [], []
+    for phrases, _ in parts:
+        offsets = np.frombuffer(phrases.buffers()[1], np.int32)[phrases.offset : phrases.offset + len(phrases) + 1]
+        sizes.append(np.diff(offsets).astype("<i4"))
+        letters.append(memoryview(phrases.buffers()[2] or b"")[offsets[0] : offsets[-1]])
+    sizes = np.concatenate(sizes)
+    counts = np.concatenate([c for _, c in parts]).astype("<i8")
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(sizes).to_bytes(8, "little"), sizes.tobytes(), counts.tobytes(), *letters]))
 
 
 def _open(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -126,10 +130,8 @@ def _streams(data: bytes, skip: int, lang: str, buckets: int):
     cuts = [np.searchsorted(w, np.arange(buckets + 1)) for w in where]
     out = []
     for b in np.unique(np.concatenate(where)).tolist():
-        for k in range(LONGEST):
-            i, j = int(cuts[k][b]), int(cuts[k][b + 1])
-            if i < j:
-                out.append((b, _blob(joined[k].slice(i, j - i), counts[k][i:j])))
+        spans = [(k, int(cuts[k][b]), int(cuts[k][b + 1])) for k in range(LONGEST)]
+        out.append((b, _blob([(joined[k].slice(i, j - i), counts[k][i:j]) for k, i, j in spans if i < j])))
     total = [len(ids) - skip] + [0] * (len(out) - 1)
     arrays = [pa.array([lang] * len(out), pa.string()), pa.array([b for b, _ in out], pa.int32()), pa.array(total, pa.int64()), pa.array([s for _, s in out], pa.binary())]
     yield pa.RecordBatch.from_arrays(arrays, schema=_STREAM)
@@ -189,7 +191,7 @@ def _merged(least: int):
 def counts(docs: DataFrame, least: int = LEAST, chunk: int = CHUNK) -> DataFrame:
     """``docs(lang, text)`` -> (lang, phrase, f): sequences of one to three words with f >= least; null phrases hold the words."""
     spark = docs.sparkSession
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
     streams = rows.mapInArrow(_counted(buckets, chunk), "lang string, bucket int, words long, stream binary")
     return streams.groupBy("lang", "bucket").applyInArrow(_merged(least), "lang string, phrase string, f long")
