@@ -8,7 +8,7 @@ from kinetiq.operators import density as N
 from kinetiq.operators import segmentation as G
 from kinetiq.plans import adapters as V
 from kinetiq.plans.adapters import with_views
-from kinetiq.plans.base import KEY, ORDER, query, r
+from kinetiq.plans.base import KEY, ORDER, query, r, up
 
 _PARTITION = """, l AS (SELECT subject_id, list(x ORDER BY frame) AS x, count(*) AS n FROM signal GROUP BY 1),
 c AS (SELECT subject_id, n, list_prepend(0::DOUBLE, [list_sum(x[1:i]) FOR i IN range(1, n + 1)]) AS s, list_prepend(0::DOUBLE, [list_sum([v * v FOR v IN x[1:i]]) FOR i IN range(1, n + 1)]) AS q, 1500 * ln(n) AS pen FROM l),
@@ -19,8 +19,8 @@ z(subject_id, t, f, l) AS (
     SELECT z.subject_id, z.t, z.f, z.l, coalesce(list_min([{'v': z.f[k + 1] + c.q[z.t + 2] - c.q[k + 1] - (c.s[z.t + 2] - c.s[k + 1]) ** 2 / (z.t + 1 - k) + pen, 's': k} FOR k IN range(0, z.t + 1 - 5 + 1) IF z.f[k + 1] < 'inf'::DOUBLE]), {'v': 'inf'::DOUBLE, 's': 0::BIGINT}) AS b
     FROM z JOIN c ON z.subject_id = c.subject_id WHERE z.t < c.n)),
 e AS (SELECT z.subject_id, t, l FROM z JOIN c ON z.subject_id = c.subject_id AND z.t = c.n),
-p(subject_id, l, at) AS (SELECT subject_id, l, l[t + 1] FROM e UNION ALL SELECT subject_id, l, l[at + 1] FROM p WHERE at > 0)
-SELECT subject_id, at AS change FROM p WHERE at > 0"""
+p(subject_id, l, c) AS (SELECT subject_id, l, l[t + 1] FROM e UNION ALL SELECT subject_id, l, l[c + 1] FROM p WHERE c > 0)
+SELECT subject_id, c AS change FROM p WHERE c > 0"""
 
 
 @query(with_views(_PARTITION, "signal"))
@@ -32,13 +32,13 @@ def f28_change_points(spark, d):
 
 _GAINS = """, w AS (SELECT subject_id, frame, count(x) OVER b AS bn, sum(x) OVER b AS bs, count(x) OVER a AS an, sum(x) OVER a AS s FROM signal
   WINDOW b AS (PARTITION BY subject_id ORDER BY frame ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY subject_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING))
-SELECT subject_id, frame, CASE WHEN bn = 8 AND an = 8 THEN round((bs / 8 - s / 8) ** 2 * 4, 3) END AS gain FROM w"""
+SELECT subject_id, frame, CASE WHEN bn = 8 AND an = 8 THEN round((bs / 8 - s / 8) ** 2 * 4 + 1e-9::DOUBLE, 3) END AS gain FROM w"""
 
 
 @query(with_views(_GAINS, "signal"))
 def f28_window_changes(spark, d):
     """Two windows of eight: their gain is four times the square of how far their means are apart."""
-    return G.window_changes(V.signal(spark, d), KEY, "frame", "x", 8).select(*KEY, *ORDER, r("gain", 3).alias("gain"))
+    return G.window_changes(V.signal(spark, d), KEY, "frame", "x", 8).select(*KEY, *ORDER, up(F.col("gain"), 3).alias("gain"))
 
 
 _NOVELTY = """, n AS (SELECT subject_id, count(*) AS n FROM feat GROUP BY 1),
@@ -63,12 +63,12 @@ def f29_novelty_boundaries(spark, d):
 
 _LIVE = """, r AS (SELECT subject_id, frame AS phase, f FROM feat WHERE frame < 20), v AS (SELECT subject_id, frame - 20 AS i, f FROM feat WHERE frame >= 20),
 n AS (SELECT v.subject_id, v.i, arg_min(r.phase, (list_distance(v.f, r.f), r.phase)) AS nearest FROM v JOIN r USING (subject_id) GROUP BY ALL),
-p(subject_id, i, at) AS (
+p(subject_id, i, ptr) AS (
   SELECT DISTINCT subject_id, -1::BIGINT, 0::BIGINT FROM v
   UNION ALL
-  SELECT subject_id, i, CASE WHEN at >= 19 THEN 0 ELSE at END FROM (
-    SELECT p.subject_id, p.i + 1 AS i, arg_min(r.phase, (list_distance(v.f, r.f), r.phase)) AS at
-    FROM p JOIN v ON v.subject_id = p.subject_id AND v.i = p.i + 1 JOIN r ON r.subject_id = p.subject_id AND r.phase >= p.at AND r.phase < p.at + 6 GROUP BY p.subject_id, p.i)),
+  SELECT subject_id, i, CASE WHEN ptr >= 19 THEN 0 ELSE ptr END FROM (
+    SELECT p.subject_id, p.i + 1 AS i, arg_min(r.phase, (list_distance(v.f, r.f), r.phase)) AS ptr
+    FROM p JOIN v ON v.subject_id = p.subject_id AND v.i = p.i + 1 JOIN r ON r.subject_id = p.subject_id AND r.phase >= p.ptr AND r.phase < p.ptr + 6 GROUP BY p.subject_id, p.i)),
 m AS (SELECT subject_id, 0.3::DOUBLE * median(d) AS slow FROM (SELECT subject_id, list_distance(f, lag(f) OVER (PARTITION BY subject_id ORDER BY phase)) AS d FROM r) WHERE d IS NOT NULL GROUP BY 1),
 s AS (SELECT subject_id, i, coalesce(list_distance(f, lag(f) OVER w), 0) AS d FROM v WINDOW w AS (PARTITION BY subject_id ORDER BY i)),
 g AS (SELECT s.subject_id, i, i > 0 AND lag(d) OVER w > slow AND d <= slow AS rest FROM s JOIN m USING (subject_id) WINDOW w AS (PARTITION BY s.subject_id ORDER BY i)),
@@ -76,7 +76,7 @@ q(subject_id, i, since) AS (
   SELECT DISTINCT subject_id, -1::BIGINT, 0::BIGINT FROM v
   UNION ALL
   SELECT q.subject_id, g.i, CASE WHEN g.rest AND g.i - q.since > 10 THEN g.i ELSE q.since END FROM q JOIN g ON g.subject_id = q.subject_id AND g.i = q.i + 1)
-SELECT n.subject_id, n.i + 20 AS frame, nearest, p.at AS pointer, least(floor(least((n.i - q.since) / 20, 1.0) * 20)::BIGINT, 19) AS phase
+SELECT n.subject_id, n.i + 20 AS frame, nearest, p.ptr AS pointer, least(floor(least((n.i - q.since) / 20, 1.0) * 20)::BIGINT, 19) AS phase
 FROM n JOIN p USING (subject_id, i) JOIN q USING (subject_id, i)"""
 
 
