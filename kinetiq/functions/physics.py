@@ -100,6 +100,13 @@ def concussion_composite(accel_g: Column, turn_deg: Column, frames: Column, rota
     return 100 / (1 + F.exp(-0.08 * (raw - 50)))
 
 
+def composite_of(accel_g: float, turn_deg: float, frames: int, rotation: float, closing: float) -> float:
+    """``concussion_composite`` of plain numbers, for states of streams."""
+    ramps = ((accel_g, 3.0, 12.0, 30.0), (turn_deg, 30.0, 120.0, 25.0), (frames, 1.0, 4.0, 15.0), (rotation, 12.0, 23.0, 20.0), (closing, 0.8, 2.2, 10.0))
+    raw = sum(min(max(v - start, 0.0) / width, 1.0) * points for v, start, width, points in ramps)
+    return 100 / (1 + math.exp(-0.08 * (raw - 50)))
+
+
 #: Zone and part of the speed that reaches the head, by COCO keypoints of the struck person.
 ZONES = (((0, 1, 2, 3, 4), "head_to_head", 0.7), ((5, 6), "head_to_shoulder", 0.4), ((7, 8), "head_to_torso", 0.25), ((11, 12), "head_to_torso", 0.2), ((9, 10), "head_to_limb", 0.15))
 

@@ -13,6 +13,15 @@ def zscore(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     return df.join(fit, keys).withColumn("z", z).drop("_m", "_s")
 
 
+def _load(a: DataFrame) -> DataFrame:
+    """``a`` with the seconds active_s, high_s and rest_s, and with the intensity and fatigue that they suggest."""
+    ratio = F.when(F.col("active_s") > 0, F.col("high_s") / F.col("active_s")).otherwise(0.0)
+    a = a.withColumn("intensity", ratio)
+    rest = F.greatest(F.lit(0.3), 1 - F.col("rest_s") / (F.col("active_s") + F.col("rest_s")) * 0.5)
+    tired = F.least(F.lit(1.0), F.col("intensity") * 0.6 + F.least(F.lit(1.0), F.col("active_s") / 600) * 0.4) * rest
+    return a.withColumn("fatigue", F.when(F.col("active_s") > 0, tired).otherwise(0.0))
+
+
 def workload(signal: DataFrame, keys: list[str], fps: float = 30.0, active: float = 0.05, high: float = 0.3) -> DataFrame:
     """Seconds active, at high intensity and at rest, their ratio and the fatigue that they suggest. Null velocity: rest."""
     v = F.coalesce(F.col("velocity"), F.lit(0.0))
@@ -20,11 +29,7 @@ def workload(signal: DataFrame, keys: list[str], fps: float = 30.0, active: floa
     a = signal.groupBy(*keys).agg(
         F.count("*").alias("total_frames"), secs(v >= active).alias("active_s"), secs(v >= high).alias("high_s"), secs(v < active).alias("rest_s")
     )
-    ratio = F.when(F.col("active_s") > 0, F.col("high_s") / F.col("active_s")).otherwise(0.0)
-    a = a.withColumn("intensity", ratio)
-    rest = F.greatest(F.lit(0.3), 1 - F.col("rest_s") / (F.col("active_s") + F.col("rest_s")) * 0.5)
-    tired = F.least(F.lit(1.0), F.col("intensity") * 0.6 + F.least(F.lit(1.0), F.col("active_s") / 600) * 0.4) * rest
-    return a.withColumn("fatigue", F.when(F.col("active_s") > 0, tired).otherwise(0.0))
+    return _load(a)
 
 
 def risk_status(events: DataFrame, load: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,7 +38,16 @@ def risk_status(events: DataFrame, load: DataFrame, keys: list[str]) -> DataFram
     Six events are RED; three, or one of high severity, YELLOW; only without those fatigue decides (.8 RED, .6 YELLOW).
     """
     n = events.groupBy(*keys).agg(F.count("*").alias("events"), F.sum((F.col("severity") == "high").cast("int")).alias("high"))
-    j = load.join(n, keys, "left").fillna(0, ["events", "high"])
+    return _status(load.join(n, keys, "left").fillna(0, ["events", "high"]), keys)
+
+
+def status_of(counts: DataFrame, keys: list[str], fps: float = 30.0) -> DataFrame:
+    """The same from running counts: events, high, total_frames, active_frames and high_frames; a row per row, of a table or a stream."""
+    seconds = {"active_s": F.col("active_frames") / fps, "high_s": F.col("high_frames") / fps, "rest_s": (F.col("total_frames") - F.col("active_frames")) / fps}
+    return _status(_load(counts.withColumns(seconds)), keys)
+
+
+def _status(j: DataFrame, keys: list[str]) -> DataFrame:
     status = (
         F.when(F.col("events") >= 6, "RED")
         .when((F.col("events") >= 3) | (F.col("high") > 0), "YELLOW")

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetiq.functions import physics as P
-from kinetiq.operators.ordered import islands, ordered_scan, recurrence
+from kinetiq.operators.ordered import islands, recurrence
+from kinetiq.operators.scans import Scan, scan
 
 #: Weights of a new speed, acceleration, jerk and turn; the way (m) that no head goes in a frame; the least
 #: acceleration (m/s2) whose direction counts; ceilings of acceleration (g) and jerk.
@@ -71,6 +72,20 @@ def head_frames(s: HeadState, x: np.ndarray, y: np.ndarray, ear: np.ndarray, dt:
 KINEMATICS = ("speed", "accel_g", "turn_rad", "jerk", "rotation")
 
 
+def kinematics_scan(x: str, y: str, ear: str, fps: float = 30.0) -> Scan:
+    """The recurrence of ``head_kinematics``; rows without a place keep nulls and leave the state as it was."""
+
+    def step(s, x, y, ear, dt=1 / fps):
+        x, y, ear = (v.astype(float) for v in (x, y, ear))
+        seen = ~(np.isnan(x) | np.isnan(y) | np.isnan(ear))
+        out = np.full((len(x), 5), np.nan)
+        if seen.any():
+            out[seen] = head_frames(s, x[seen], y[seen], ear[seen], dt)
+        return s, tuple(out.T)
+
+    return Scan([x, y, ear], ", ".join(f"{c} double" for c in KINEMATICS), HeadState, step)
+
+
 def head_kinematics(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, ear: str, fps: float = 30.0) -> DataFrame:
     """Each frame that has a head with its speed (m/s), acceleration (g), change of the acceleration's direction (rad), jerk
     and rotation (rad/s), each smoothed from the smoothed one before.
@@ -78,12 +93,8 @@ def head_kinematics(df: DataFrame, keys: list[str], order: list[str], x: str, y:
     ``x`` and ``y`` are metres, ``ear`` the angle of the line between the ears. A head that goes over two metres in a frame
     is another one: that frame is all zero and smoothing starts anew. Frames without a place are left out.
     """
-
-    def step(s, x, y, ear, dt=1 / fps):
-        return s, tuple(head_frames(s, x, y, ear, dt).T)
-
     seen = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(ear).isNotNull())
-    return ordered_scan(seen, keys, order, step, HeadState, ", ".join(f"{c} double" for c in KINEMATICS), [x, y, ear])
+    return scan(seen, keys, order, kinematics_scan(x, y, ear, fps))
 
 
 #: Shoulders (m), metres a pixel without them, frames that a peak holds, its decay then, the weight of a new
@@ -109,13 +120,8 @@ def held_peaks(scores: np.ndarray, peak: float, age: int) -> tuple[np.ndarray, f
     return out, peak, age
 
 
-def concussion_rating(df: DataFrame, keys: list[str], order: list[str], nose: str, left_ear: str, right_ear: str, shoulders: str, fps: float = 30.0) -> DataFrame:
-    """Each frame with ``rating``, 0 to 100: points for the head's speed, its smoothed rotation, and how far the speed stands
-    out of its baseline; the highest holds for 45 frames and decays then.
-
-    Points are structs of pixels (x, y); ``shoulders`` is their width in pixels. A frame without a head (any point null)
-    only lets the peak age.
-    """
+def rating_scan(columns: list[str], fps: float = 30.0) -> Scan:
+    """The recurrence of ``concussion_rating`` over x and y of nose, left and right ear and the shoulders' width, in pixels."""
 
     def step(s, nx, ny, lx, ly, rx, ry, width, dt=1 / fps):
         at, ear, turn, base, peak, age = s
@@ -141,10 +147,19 @@ def concussion_rating(df: DataFrame, keys: list[str], order: list[str], nose: st
         out, peak, age = held_peaks(score, peak, age)
         return (at, ear, turn, base, peak, age), (np.clip(out, 0, 100),)
 
+    return Scan(columns, "rating double", lambda: (None, None, 0.0, None, 0.0, HOLD), step)
+
+
+def concussion_rating(df: DataFrame, keys: list[str], order: list[str], nose: str, left_ear: str, right_ear: str, shoulders: str, fps: float = 30.0) -> DataFrame:
+    """Each frame with ``rating``, 0 to 100: points for the head's speed, its smoothed rotation, and how far the speed stands
+    out of its baseline; the highest holds for 45 frames and decays then.
+
+    Points are structs of pixels (x, y); ``shoulders`` is their width in pixels. A frame without a head (any point null)
+    only lets the peak age.
+    """
     points = {f"_h{i}{c}": F.col(p)[c].cast("double") for i, p in enumerate((nose, left_ear, right_ear)) for c in "xy"}
     rows = df.withColumns(points | {"_hw": F.coalesce(F.col(shoulders).cast("double"), F.lit(0.0))})
-    scanned = ordered_scan(rows, keys, order, step, lambda: (None, None, 0.0, None, 0.0, HOLD), "rating double", [*points, "_hw"])
-    return scanned.drop(*points, "_hw")
+    return scan(rows, keys, order, rating_scan([*points, "_hw"], fps)).drop(*points, "_hw")
 
 
 #: Approach (per second) that opens a window and how many frames it stays open; what makes an impact in it.

@@ -14,7 +14,7 @@ from kinetiq.plans.base import KEY, ORDER, query, r, up
 # a subject's head: places in metres (some jump over two), and the angle between the ears
 _HEAD = "SELECT subject_id, frame, x / 30 AS hx, k / 60.0::DOUBLE AS hy, (x * 7 + k) / 10 - 6.283185307179586 * floor((x * 7 + k) / 62.83185307179586) - 3.14159 AS ear FROM signal"
 
-_KINEMATICS = f""", h AS ({_HEAD}),
+_RECURRENCE = """,
 q(subject_id, frame, hx, hy, ear, moving, vx, vy, ax, ay, jerk, turn, dir) AS (
   SELECT subject_id, frame, hx, hy, ear, true, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM h WHERE frame = 0
   UNION ALL
@@ -30,6 +30,7 @@ q(subject_id, frame, hx, hy, ear, moving, vx, vy, ax, ay, jerk, turn, dir) AS (
         0.4::DOUBLE * (h.hx - q.hx) * 30 + 0.6::DOUBLE * q.vx AS wx, 0.4::DOUBLE * (h.hy - q.hy) * 30 + 0.6::DOUBLE * q.vy AS wy
       FROM q JOIN h ON h.subject_id = q.subject_id AND h.frame = q.frame + 1)))),
 kin AS (SELECT subject_id, frame, sqrt(vx ** 2 + vy ** 2) AS speed, least(sqrt(ax ** 2 + ay ** 2) / 9.81::DOUBLE, 100) AS accel_g, dir AS turn_rad, least(jerk, 50000) AS jerk, turn AS rotation FROM q)"""
+_KINEMATICS = f", h AS ({_HEAD})" + _RECURRENCE
 
 
 def _heads(spark, d):
