@@ -3,22 +3,29 @@
 A node of the tree that has to give k shards is parted where its weight is floor(k/2) to the rest, along the dimension
 (size, lang, source) in which it is widest for its range in the whole table. The weighted median comes from histograms of
 a 64-bit key, summed by Spark for all nodes of a level at once and narrowed to one bin until that bin weighs next to
-nothing; the driver holds at most ``BINS`` sums a node. The key's low bits order equal values by a hash of the text, so
-ties part anywhere and copies stay side by side: equal texts share a shard unless a border falls among them.
+nothing; the driver holds at most ``BINS`` sums a node. Text values are keyed by their rank among the distinct ones (among
+``RANKS`` of them, spread by hash, where there are more). The key's low bits order equal values by a hash of the text, so
+ties part anywhere and copies stay side by side: equal texts share a shard unless a border falls among them. A text whose
+copies weigh much is dealt into units of 1/``PART`` of a shard, row by row, so that a border may fall between any two of them.
 """
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import number_within
-from .store import cut
+from .store import cut, drop, releasing
 
 SHARDS, OVERHEAD = 40, 16
-BINS, PART, MOST_PARTS = 1024, 256, 256
+BINS, PART, RANKS = 1024, 256, 4096
+#: Bits of a key for a text's hash and for the unit of its copies, below those of the value.
+HASH_BITS, PART_BITS = 16, 16
 TOLERANCE = 1 / 4000
 DIMENSIONS = ("size", "lang", "source")
 
@@ -45,27 +52,45 @@ def _leaves(node: Node) -> list[Node]:
     return [node] if node.low is None else _leaves(node.low) + _leaves(node.high)
 
 
-def _as_number(name: str, have: set) -> Column:
-    """Text in the order of its first six bytes; a missing column or null is the smallest."""
-    if name not in have:
-        return F.lit(0.0)
-    raw = F.rpad(F.substring(F.encode(F.coalesce(F.col(name).cast("string"), F.lit("")), "UTF-8"), 1, 6), 6, F.lit(b"\0"))
-    return F.conv(F.hex(raw), 16, 10).cast("double")
+def _ranked(meta: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``meta`` with the text columns ``names`` as numbers: how many of the known values are smaller; a null is the smallest."""
+    known = {}
+    for name in names:
+        values = meta.select(name).filter(F.col(name).isNotNull()).distinct().orderBy(F.xxhash64(name), name).limit(RANKS)
+        known[name] = sorted(r[0].encode("utf-8", "surrogatepass") for r in values.collect())
+    schema = ", ".join(f"{f.name} {'double' if f.name in names else f.dataType.simpleString()}" for f in meta.schema.fields)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for name, column in zip(batch.schema.names, batch.columns):
+                if name in names:
+                    coded = column.dictionary_encode()
+                    rank = [1.0 + bisect.bisect_left(known[name], v.encode("utf-8", "surrogatepass")) for v in coded.dictionary.to_pylist()]
+                    column = pc.fill_null(pa.array(rank, pa.float64()).take(coded.indices), 0.0)
+                out.append(column)
+            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names)
+
+    return meta.mapInArrow(releasing(run), schema)
 
 
 def _units(meta: DataFrame, target: float) -> DataFrame:
-    """Equal texts as one weighted row, parted by a hash of doc_id where they weigh over 1/PART of a shard."""
+    """Equal texts as one weighted row, dealt row by row into parts where they weigh over 1/PART of a shard.
+
+    The parts are drawn, not taken from an id: rows may share one, or have none. They decide nothing but the place of a row
+    among its copies, and are written before they are used.
+    """
     same = ["h", "size", "text_crc32"]
-    parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") * F.col("size") * PART / F.lit(target)))
+    parts = F.least(F.lit(1 << PART_BITS), F.ceil(F.col("n") * F.col("size") * PART / F.lit(target)))
     groups = meta.groupBy(*same).agg(F.count("*").alias("n"), F.min("lang").alias("g_lang"), F.min("source").alias("g_source"))
     groups = groups.withColumn("parts", F.greatest(F.lit(1), parts).cast("int"))
-    return meta.join(groups, same).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    return meta.join(groups, same).withColumn("part", F.floor(F.rand(7) * F.col("parts")).cast("int"))
 
 
 def _key(value: Column, low: float, high: float) -> Column:
     scaled = F.lit(0.0) if high <= low else (value - low) / (high - low)
-    tie = F.shiftleft(F.col("h").bitwiseAND(F.lit((1 << 24) - 1)), 8) + F.col("part")
-    return F.shiftleft(F.floor(scaled * ((1 << 31) - 1)).cast("long"), 32) + tie
+    tie = F.shiftleft(F.col("h").bitwiseAND(F.lit((1 << HASH_BITS) - 1)), PART_BITS) + F.col("part")
+    return F.shiftleft(F.floor(scaled * ((1 << 31) - 1)).cast("long"), HASH_BITS + PART_BITS) + tie
 
 
 def _medians(units: DataFrame, root: Node, nodes: list[Node]) -> None:
@@ -133,17 +158,20 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     shards without rows.
     """
     have, text = set(docs.columns), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    meta = cut(
+    value = lambda name: (F.col(name) if name in have else F.lit(None)).cast("string").alias(name)
+    raw = cut(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.xxhash64(text).alias("h"),
-            _as_number("lang", have).alias("lang"),
-            _as_number("source", have).alias("source"),
+            value("lang"),
+            value("source"),
         ),
         "meta",
     )
+    meta = cut(_ranked(raw, ("lang", "source")), "meta")
+    drop(raw)
     ends = meta.agg(F.sum("size").alias("total"), *(f(d).alias(f"{f.__name__}_{d}") for d in DIMENSIONS for f in (F.min, F.max)))
     ends = ends.first()
     total = ends["total"] or 0
@@ -156,6 +184,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     root = tree(units, shards) if total else Node(1, 0)
     placed = rows.withColumn("shard", _place(root, lambda n: n.first).cast("int"))
     placed = cut(placed.select("doc_id", "size", "text_crc32", "shard"), "placed")
+    for table in (meta, rows, units):
+        drop(table)
     out = number_within(placed, ["shard"], ["doc_id", "text_crc32"], "slot")
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")

@@ -66,10 +66,10 @@ def test_best_first_order_is_by_distance():
 
 @pytest.mark.parametrize("shards", [7, 40])
 def test_shards_are_near_equal(spark, shards):
-    texts = [(i, "x" * int(n), ["en", "de", None][i % 3], f"s{i % 5}") for i, n in enumerate(rng.integers(0, 400, 3000))]
-    texts += [(10_000 + i, "copy of one text " * 10, "en", "s1") for i in range(1500)]
+    texts = [(i, "x" * int(n), ["en", "de", None][i % 3], f"https://s{i % 5}") for i, n in enumerate(rng.integers(0, 400, 3000))]
+    texts += [(7 if i % 2 else None, "copy of one text " * 10, "en", "https://s1") for i in range(2500)]  # a third of the bytes, two ids
     texts += [(None, None, None, None), (5, "", "en", "s"), (5, "", "en", "s")]
-    df = spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, lang string, source string, n int")
+    df = spark.createDataFrame([(*t, 1, "h", 2, 3.0) for t in texts], "doc_id long, text string, lang string, source string, n int, h string, part int, w double")
     rows = sharding.shard(df, shards).collect()
     assert len(rows) == len(texts) and {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
     by, slots = {}, {}
@@ -83,6 +83,28 @@ def test_shards_are_near_equal(spark, shards):
     assert sorted((r.size, r.text_crc32) for r in rows) == want
 
 
+def test_the_tree_parts_at_weighted_medians_of_the_widest_dimension(spark):
+    rows = [(int(a), int(b) << 33, int(c), int(w)) for a, b, c, w in zip(rng.integers(0, 1 << 62, 500), rng.integers(0, 5, 500), rng.integers(0, 1 << 40, 500), rng.integers(1, 90, 500))]
+    units = spark.createDataFrame(rows, "k_size long, k_lang long, k_source long, w long")
+    root, shards = sharding.tree(units, 13), []
+
+    def check(node, own):
+        if node.low is None:
+            return shards.append((node.first, sum(r[3] for r in own)))
+        spread = [(max(r[i] for r in own) >> 32) - (min(r[i] for r in own) >> 32) for i in range(3)]
+        i = sharding.DIMENSIONS.index(node.dim)
+        assert spread[i] == max(spread)
+        low, high = [r for r in own if r[i] < node.border], [r for r in own if r[i] >= node.border]
+        aim = sum(r[3] for r in own) * (node.shards // 2) / node.shards
+        slow = sorted({r[i] for r in own})
+        best = min(abs(sum(r[3] for r in own if r[i] < v) - aim) for v in [*slow, slow[-1] + 1])
+        assert abs(sum(r[3] for r in low) - aim) <= best + 1e-3 * sum(r[3] for r in own)
+        check(node.low, low), check(node.high, high)
+
+    check(root, rows)
+    assert sorted(s for s, _ in shards) == list(range(13))
+
+
 def test_shards_of_little(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     assert len(sharding.shard(df, 40).collect()) == 2
