@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetiq.functions import physics as P
-from kinetiq.operators.ordered import islands, recurrence
+from kinetiq.operators.ordered import convolve, interpolate_nulls, islands, recurrence, unwrap_angle
 from kinetiq.operators.scans import Scan, scan
 
 #: Weights of a new speed, acceleration, jerk and turn; the way (m) that no head goes in a frame; the least
@@ -199,3 +199,52 @@ def approach_impacts(kinematics: DataFrame, pairs: DataFrame, seq: list[str], fr
     ).filter((F.col("peak_g") >= SPIKE_G) | (F.col("turn_deg") >= SPIKE_DEG))
     c = F.col
     return peaks.withColumn("probability", P.concussion_composite(c("peak_g"), c("turn_deg"), c("frames"), c("rotation"), c("closing")))
+
+
+#: Metres from head to neck, metres a pixel without them; speed (m/s) and turn (degrees/s) of an impact, of a
+#: moderate and of a high one.
+HEAD_NECK, CLIP_PIXEL = 0.24, 0.004
+IMPACT_AT, MODERATE_AT, HIGH_AT = (3.0, 1200.0), (4.0, 1500.0), (7.0, 3000.0)
+
+
+def clip_report(samples: DataFrame, keys: list[str], frame: str, head: str, neck: str, location: str | None = None, fps: float = 240.0, scale: float | None = None) -> DataFrame:
+    """A row per clip: impact_detected, risk_level, linear_ms, rotational_degs, duration_ms, frame_of_impact (from 0, -1 without an impact),
+    location and recommendation.
+
+    ``head`` and ``neck`` are structs (x, y) in pixels; what is missing is interpolated. Metres a pixel come from the median way
+    from head to neck. Speed and turn are smoothed where a clip has five frames or more; frames beyond either limit form
+    regions, and the region with the worst frame is the impact. ``location`` names a column that says where the head was seen from.
+    """
+    own, whole = Window.partitionBy(*keys).orderBy(frame), Window.partitionBy(*keys)
+    rows = samples.withColumn("_i", F.row_number().over(own) - 1).withColumn("_n", F.count("*").over(whole))
+    for name, point in (("h", head), ("n", neck)):
+        for c in "xy":
+            rows = rows.withColumn("_v", F.col(point)[c].cast("double"))
+            rows = interpolate_nulls(rows, keys, "_i", "_v").withColumnRenamed("filled", f"_{name}{c}")
+    far = F.sqrt(F.pow(F.col("_hx") - F.col("_nx"), 2) + F.pow(F.col("_hy") - F.col("_ny"), 2))
+    metres = F.lit(float(scale)) if scale else F.coalesce(F.lit(HEAD_NECK) / F.greatest(F.percentile(F.when(far > 1, far), F.lit(0.5)).over(whole), F.lit(1e-3)), F.lit(CLIP_PIXEL))
+    rows = rows.withColumn("_m", metres).withColumn("_a", F.atan2(F.col("_hy") - F.col("_ny"), F.col("_hx") - F.col("_nx")))
+    rows = unwrap_angle(rows, keys, ["_i"], "_a")
+    moved = F.sqrt(F.pow(F.col("_hx") - F.lag("_hx").over(own), 2) + F.pow(F.col("_hy") - F.lag("_hy").over(own), 2))
+    turned = F.degrees(F.abs(F.col("unwrapped") - F.lag("unwrapped").over(own)))
+    rows = rows.withColumns({"_s": F.coalesce(moved * F.col("_m") * fps, F.lit(0.0)), "_r": F.coalesce(turned * fps, F.lit(0.0))})
+    for c in ("_s", "_r"):
+        rows = convolve(rows, keys, ["_i"], c, [0.25, 0.5, 0.25]).withColumn(c, F.when(F.col("_n") >= 5, F.col("smoothed")).otherwise(F.col(c))).drop("smoothed")
+    rows = rows.withColumn("_hit", (F.col("_s") >= IMPACT_AT[0]) | (F.col("_r") >= IMPACT_AT[1])).withColumn("_worst", F.col("_s") / HIGH_AT[0] + F.col("_r") / HIGH_AT[1])
+    runs = islands(rows, keys, ["_i"], F.coalesce(F.lag("_hit").over(own) != F.col("_hit"), F.lit(True)))
+    rows_with = runs.withColumn("_place", F.lit(None) if location is None else F.col(location))
+    regions = rows_with.groupBy(*keys, "island", "_hit").agg(
+        F.max("_s").alias("s"), F.max("_r").alias("r"), F.count("*").alias("n"), F.max(F.struct(F.col("_worst").alias("w"), (-F.col("_i")).alias("i"), F.col("_place").cast("string").alias("place"))).alias("top"), F.min("_i").alias("start"),
+    )
+    worst = F.max(F.when(F.col("_hit"), F.struct(F.col("top.w").alias("w"), (-F.col("start")).alias("o"), "s", "r", "n", "top")))
+    clips = regions.groupBy(*keys).agg(worst.alias("hit"), F.max("s").alias("s"), F.max("r").alias("r"))
+    hit = F.col("hit").isNotNull()
+    linear, turn = F.coalesce("hit.s", "s"), F.coalesce("hit.r", "r")
+    over = lambda at: (linear > at[0]) | (turn > at[1])
+    level = F.when(over(HIGH_AT), "HIGH").when(hit & over(MODERATE_AT), "MODERATE").otherwise("LOW")
+    return clips.select(
+        *keys, hit.alias("impact_detected"), level.alias("risk_level"), linear.alias("linear_ms"), turn.alias("rotational_degs"),
+        F.coalesce(F.col("hit.n") / fps * 1000, F.lit(0.0)).alias("duration_ms"), F.coalesce(-F.col("hit.top.i"), F.lit(-1)).cast("long").alias("frame_of_impact"),
+        F.when(hit, F.coalesce("hit.top.place", F.lit("UNKNOWN"))).otherwise("UNKNOWN").alias("location"),
+        F.when(level == "HIGH", "EVALUATE NOW").when(level == "MODERATE", "MONITOR").otherwise("CLEARED").alias("recommendation"),
+    )

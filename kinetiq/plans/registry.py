@@ -652,4 +652,4 @@ def d23_injury_modifiers(spark, d):
     return m.select("user_id", r("fppa_scale", 6).alias("fppa"), r("hip_drop_scale", 6).alias("hip_drop"))
 
 
-from kinetiq.plans import head_queries, live_queries, monitor_queries, people_queries, segment_queries, sequence_queries, skeleton_queries  # noqa: E402, F401  they register their queries
+from kinetiq.plans import cluster_queries, head_queries, live_queries, monitor_queries, people_queries, segment_queries, sequence_queries, skeleton_queries  # noqa: E402, F401  they register their queries
