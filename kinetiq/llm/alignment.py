@@ -13,7 +13,9 @@ documents again and looks counts up: index, verify the key, read. Shards are bro
 from __future__ import annotations
 
 import hashlib
+import os
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,26 +36,32 @@ UNCUT = f"^ | $|{tokens.BESIDE_WHITE}"
 BITS = 32  # of a pair's code: the id of B in the low half
 
 
-def ends_of(sizes: list[int]) -> list[int]:
-    out, at = [], 0
-    for n in sizes:
-        at += n
-        out.append(at)
-    return out
+def different(x: np.ndarray) -> np.ndarray:
+    """Sorted, each value once."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
-def align(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[list[int], list[str]]:
-    """Pair codes of all overlapping tokens, and the groups between common ends as text."""
-    codes, groups = [], []
-    i = j = i0 = j0 = 0
-    while i < len(a):
-        codes.append(a[i] << BITS | b[j])
-        x, y = a_ends[i], b_ends[j]
-        i, j = i + (x <= y), j + (y <= x)
-        if x == y:
-            groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-            i0, j0 = i, j
-    return codes, groups
+def align(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Of texts one after another, whose tokens have these ids and bytes and which end at ``ends``: the pair codes of all
+    overlapping tokens, how many of them and how many groups each text has, and the groups as text.
+
+    Between any two neighbouring token ends there is one token of either kind, and two tokens that overlap do so in one such stretch.
+    """
+    a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
+    bounds = different(np.concatenate((a_ends, b_ends)))
+    starts = np.concatenate(([0], bounds[:-1]))
+    codes = a[np.searchsorted(a_ends, starts, "right")] << BITS | b[np.searchsorted(b_ends, starts, "right")]
+    links = np.diff(np.searchsorted(bounds, ends, "right"), prepend=0)
+    both = np.intersect1d(a_ends, b_ends, assume_unique=True)
+
+    def listed(at: np.ndarray, ids) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], at)).astype(np.int32)), ids)
+
+    sides = [pc.binary_join(listed(np.searchsorted(e, both, "right"), pa.array(ids).cast(pa.string())), ",") for e, ids in ((a_ends, a), (b_ends, b))]
+    per_text = np.searchsorted(both, ends, "right")
+    texts = pc.binary_join(listed(per_text, pc.binary_join_element_wise(*sides, "|")), ";").to_pylist()
+    return codes, links, np.diff(per_text, prepend=0), texts
 
 
 class Aligner:
@@ -63,17 +71,19 @@ class Aligner:
         import public_tokenizers
         from sentencepiece import SentencePieceProcessor
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+
         self.a = tokens.Encoder(a_path or public_tokenizers.path(A_FILE))
-        self.a.library.encode_special_tokens, self.a.special = True, []  # their strings are ordinary text
+        self.a.library.encode_special_tokens = True  # their strings are ordinary text
         self.b = SentencePieceProcessor(model_file=b_path or public_tokenizers.path(B_FILE))
         letter = {c: b for b, c in tokens.byte_letters().items()}
         vocabulary = self.a.library.get_vocab()
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, k in vocabulary.items():
-            self.a_bytes[k] = bytes(letter[c] for c in token) if all(c in letter for c in token) else token.encode()
-        n = self.b.get_piece_size()
+            a_bytes[k] = bytes(letter[c] for c in token) if all(c in letter for c in token) else token.encode()
         piece = lambda k: bytes([int(self.b.id_to_piece(k)[3:5], 16)]) if self.b.is_byte(k) else self.b.id_to_piece(k).replace("▁", " ").encode()
-        self.b_bytes = [piece(k) for k in range(n)]
+        self.bytes = a_bytes, [piece(k) for k in range(self.b.get_piece_size())]
+        self.sizes = [np.array([len(t) for t in side], np.int64) for side in self.bytes]
         self._clear()
 
     def _clear(self) -> None:
@@ -84,16 +94,34 @@ class Aligner:
 
     def _learn(self, pieces: list[str]) -> None:
         new = [p for p in pieces if p not in self.known]
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        for piece, b in zip(new, self.b.encode(new, num_threads=1) if new else ()):
-            a, whole = list(self.a._encoded(" " + piece)), b" " + piece.encode("utf-8", "surrogatepass")
-            same = b"".join([a_bytes[k] for k in a]) == whole == b"".join([b_bytes[k] for k in b])
-            codes, groups = align(a, ends_of([len(a_bytes[k]) for k in a]), b, ends_of([len(b_bytes[k]) for k in b])) if same else ((), ())
-            self.known[piece] = len(self.texts)
-            self.texts.append(";".join(groups))
-            self.codes.extend(codes)
-            self.ends.append(len(self.codes))
-            self.shape.extend((len(a), len(b), len(groups)) if same else (-1, -1, -1))
+        for at in range(0, len(new), 65536):
+            self._align(new[at : at + 65536])
+
+    def _align(self, new: list[str]) -> None:
+        spaced = [" " + p for p in new]
+        found = [e.ids for e in self.a.library.encode_batch_fast(spaced, add_special_tokens=False)], self.b.encode(new, num_threads=1)
+        many = [np.fromiter(map(len, f), np.int64, len(new)) for f in found]
+        ids = [np.fromiter(chain.from_iterable(f), np.int64, int(n.sum())) for f, n in zip(found, many)]
+        sizes = [w[i] for w, i in zip(self.sizes, ids)]
+        want = pc.binary_length(pa.array(spaced)).to_numpy().astype(np.int64)
+        upto = [np.concatenate(([0], np.cumsum(z)))[np.concatenate(([0], np.cumsum(n)))] for z, n in zip(sizes, many)]
+        good = (np.diff(upto[0]) == want) & (np.diff(upto[1]) == want)
+        bytes_of = lambda k, row: b"".join([self.bytes[k][i] for i in row])
+        if not good.all() or any(bytes_of(k, i.tolist()) != "".join(spaced).encode("utf-8", "surrogatepass") for k, i in enumerate(ids)):
+            whole = [t.encode("utf-8", "surrogatepass") for t in spaced]
+            good &= np.array([bytes_of(0, x) == t == bytes_of(1, y) for x, y, t in zip(*found, whole)])
+        kept = [np.repeat(good, n) for n in many]
+        codes, links, groups, texts = align(ids[0][kept[0]], sizes[0][kept[0]], ids[1][kept[1]], sizes[1][kept[1]], np.cumsum(want[good]))
+        shape, ends = np.full((len(new), 3), -1, np.int64), np.zeros(len(new), np.int64)
+        shape[good] = np.stack((many[0][good], many[1][good], groups), axis=1)
+        ends[good] = links
+        first = len(self.texts)
+        self.known.update(zip(new, range(first, first + len(new))))
+        text = iter(texts)
+        self.texts += [next(text) if g else "" for g in good.tolist()]
+        self.ends.frombytes((np.cumsum(ends) + len(self.codes)).tobytes())
+        self.codes.frombytes(codes.tobytes())
+        self.shape.frombytes(shape.tobytes())
 
     def batch(self, column: pa.Array):
         """Some texts at a time: ``Part`` objects."""
@@ -160,13 +188,13 @@ class Part:
         spans = self.last - self.first
         text = np.repeat(np.arange(len(spans)), spans)
         place = np.repeat(self.first - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(len(text))
-        held = np.unique(text * max(1, len(self.numbers)) + self.at[place])
+        held = different(text * max(1, len(self.numbers)) + self.at[place])
         text, piece = np.divmod(held, max(1, len(self.numbers)))
         many = self.many[piece] if len(piece) else np.zeros(0, np.int64)
         begins = np.cumsum(self.many) - self.many
         code, rank = np.unique(self.codes, return_inverse=True)
         link = np.repeat(begins[piece] - (np.cumsum(many) - many), many) + np.arange(int(many.sum())) if len(piece) else np.zeros(0, np.int64)
-        pairs = np.unique(np.repeat(text, many) * max(1, len(code)) + rank[link])
+        pairs = different(np.repeat(text, many) * max(1, len(code)) + rank[link])
         return code, np.bincount(pairs % max(1, len(code)), minlength=len(code))
 
     def digests(self) -> list[str]:
