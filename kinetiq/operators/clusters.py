@@ -97,8 +97,8 @@ def segment_features(frames: DataFrame, keys: list[str], kind: str = "spectral",
     parts = KINDS[kind](F.col("x"), points)
     each = series.select(*keys, "dim", *(p.alias(f"p{i}") for i, p in enumerate(parts)))
     whole = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", *(f"p{i}" for i in range(len(parts)))))).alias("w"))
-    vectors = [F.flatten(F.transform("w", lambda d, i=i: d[f"p{i}"])) for i in range(len(parts))]
-    return whole.select(*keys, F.concat(*vectors).alias("vector"))
+    part = lambda i: F.flatten(F.transform("w", lambda d: d[f"p{i}"]))
+    return whole.select(*keys, F.concat(*(part(i) for i in range(len(parts)))).alias("vector"))
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> float:
@@ -245,7 +245,16 @@ def model_clusters(df: DataFrame, order: str, vector: str, kind: str = "gmm", mo
         return df.withColumn("cluster", F.lit(0))
     d = rows.select(F.size(vector)).first()[0]
     best = None
-    for k in range(1 if kind == "gmm" else 2, min(most, n if kind == "gmm" else n - 1) + 1):
+    if kind == "gmm":  # one part: its likelihood follows from the covariances
+        x = [F.get(clean, i) for i in range(d)]
+        pairs = [(i, j) for i in range(d) for j in range(i + 1)]
+        row = rows.agg(*(F.covar_pop(x[i], x[j]) for i, j in pairs)).first()
+        spread = np.zeros((d, d))
+        for (i, j), v in zip(pairs, row):
+            spread[i, j] = spread[j, i] = v
+        size = np.linalg.slogdet(spread + 1e-9 * np.eye(d))[1]
+        best = (-n * (d * np.log(2 * np.pi) + size + d) - np.log(n) * (d + d * (d + 1) / 2), None)
+    for k in range(2, min(most, n if kind == "gmm" else n - 1) + 1):
         if kind == "gmm":
             model = GaussianMixture(k=k, seed=seed, maxIter=200, featuresCol="_v", predictionCol="_raw", probabilityCol="_p").fit(rows)
             worth = 2 * model.summary.logLikelihood - np.log(n) * (k - 1 + k * d + k * d * (d + 1) / 2)
@@ -257,7 +266,7 @@ def model_clusters(df: DataFrame, order: str, vector: str, kind: str = "gmm", mo
             worth = ClusteringEvaluator(featuresCol="_v", predictionCol="_raw").evaluate(found)
         if best is None or worth > best[0]:
             best = (worth, model)
-    if best is None:
+    if best is None or best[1] is None:
         return df.withColumn("cluster", F.lit(0))
     return _contiguous(best[1].transform(rows).drop("_v", "_p"), order, "_raw")
 

@@ -45,10 +45,10 @@ def _compared(points: DataFrame, distance: float, compare, out: str) -> DataFram
     ``points(id, v, ...)`` with different ids.
     """
     n = points.count()
-    sample = points.orderBy(F.xxhash64("id"), "id").limit(int(np.clip(n // CELL, 1, PIVOTS))).toPandas()  # the pivots
-    pivots = np.array(sample["v"].tolist(), float).reshape(len(sample), -1)
     if not n:
         return points.sparkSession.createDataFrame([], out)
+    sample = points.orderBy(F.xxhash64("id"), "id").limit(int(np.clip(n // CELL, 1, PIVOTS))).toPandas()  # the pivots
+    pivots = np.array(sample["v"].tolist(), float)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
     members = points.mapInPandas(_members(pivots, distance), f"{kinds}, cell int, home boolean")
     sizes = members.groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))

@@ -53,7 +53,7 @@ class Forest:
         return tuple(map(np.array, (feature, cut, low, high, depth)))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """Nearer to 0 is odder, nearer to -1... the more usual a row, the larger; less the border that a tenth lies under."""
+        """The more usual a row, the larger; below 0 for the oddest tenth of the rows that the trees come from."""
         total = np.zeros(len(x))
         for feature, cut, low, high, depth in self.trees:
             at = np.zeros(len(x), np.int64)
@@ -90,7 +90,7 @@ def isolation_scan(features: str) -> Scan:
 def isolation_score(df: DataFrame, keys: list[str], order: list[str], features: str) -> DataFrame:
     """Each row with ``isolation``, 0 to 1: how much easier random cuts part it from the last 300 rows than most of them.
 
-    Trees are seeded and fitted every 60 rows of a key on its last 300; before the first fit there is no score (NaN). Numbers that are none
+    Trees are seeded and fitted every 60 rows of a key on its last 300; before the first fit there is no score (null). Numbers that are none
     count as 0. The scan is usable live (``isolation_scan``); its trees are not those of any other library.
     """
     return scan(df, keys, order, isolation_scan(features))

@@ -121,7 +121,7 @@ def f30_adaptive_resegment(spark, d):
 @query()
 def f32_online_clusters(spark, d):
     flat = C.segment_features(_segments(spark, d, 5), SEG, "flat", points=5)
-    merged = C.online_clusters(flat, KEY, ["segment"], "vector", 5, "merge", threshold=0.55)
+    merged = C.online_clusters(flat, KEY, ["segment"], "vector", 5, "merge", threshold=0.85)
     return merged.select(*SEG, "cluster", "clusters")
 
 
@@ -130,9 +130,9 @@ _ROWS = "[" + ", ".join("[" + ", ".join(f"({float(v)!r})::DOUBLE" for v in _LEVE
 
 
 @query(with_views(_sql_segments() + _sql_resampled("30") + f""", x AS (SELECT subject_id, segment, dim, list(v ORDER BY phase) AS x, avg(v) AS m, stddev_pop(v) AS sd FROM s GROUP BY ALL),
-c AS (SELECT *, list_avg([((v - m) / sd) ** 3 FOR v IN x]) AS skew, list_avg([((v - m) / sd) ** 4 FOR v IN x]) - 3 AS kurtosis FROM x)
+mo AS (SELECT *, list_avg([((v - m) / sd) ** 3 FOR v IN x]) AS skew, list_avg([((v - m) / sd) ** 4 FOR v IN x]) - 3 AS kurtosis FROM x)
 SELECT subject_id, segment, dim, round(m, 4) AS mean, round(sd, 4) AS std, round(skew, 3) AS skew, round(kurtosis, 3) AS kurtosis, round(list_dot_product(x, w[1]), 4) AS a0, round(list_dot_product(x, w[2]), 4) AS d3, round(list_dot_product(x, w[3]), 4) AS d2, round(list_dot_product(x, w[4]), 4) AS d1
-FROM c, (SELECT {_ROWS} AS w)""", "feat"))
+FROM mo, (SELECT {_ROWS} AS w)""", "feat"))
 def f33_segment_features(spark, d):
     """Moments and a coefficient of each level of the wavelet transform, by dimension."""
     f = _segments(spark, d)
