@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -180,10 +181,13 @@ def kmeans_cycles(df: DataFrame, vector: str, k: int = 6, seed: int = 42) -> Dat
 
 
 def project_3d(df: DataFrame, vector: str) -> DataFrame:
-    """``place``: the first three principal components, for display."""
+    """``place``: the first three principal components, for display; the largest loading of each is positive."""
     rows = _vectors(df, vector)
-    out = PCA(k=3, inputCol="_v", outputCol="_p").fit(rows).transform(rows)
-    return out.withColumn("place", vector_to_array("_p")).drop("_v", "_p")
+    model = PCA(k=3, inputCol="_v", outputCol="_p").fit(rows)
+    loadings = model.pc.toArray()
+    signs = [float(np.sign(column[np.abs(column).argmax()]) or 1.0) for column in loadings.T]
+    turned = F.zip_with(vector_to_array("_p"), F.array(*map(F.lit, signs)), lambda v, s: v * s)
+    return model.transform(rows).withColumn("place", turned).drop("_v", "_p")
 
 
 def lookup(df: DataFrame, ids: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
