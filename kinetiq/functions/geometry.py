@@ -52,6 +52,18 @@ def asymmetry_index(left: Column, right: Column) -> Column:
     return F.when(most < 1e-8, 0.0).otherwise(F.abs(left - right) / most * 100)
 
 
+#: The joints of the angles that come in pairs, left and right: knees, elbows, hips.
+BILATERAL = (((6, 8, 10), (7, 9, 11)), ((0, 2, 4), (1, 3, 5)), ((0, 6, 8), (1, 7, 9)))
+
+
+def frame_asymmetry(joints: Column, least: float = 0.3) -> Column:
+    """Mean asymmetry of the pairs of angles whose joints are all seen; 0 without any."""
+    angle = lambda chain: F.when(visible(joints, list(chain), least), joint_angle(*(F.get(joints, i) for i in chain)))
+    both = lambda pair: let(F.struct(angle(pair[0]).alias("l"), angle(pair[1]).alias("r")), lambda s: F.when(s["l"].isNotNull() & s["r"].isNotNull(), asymmetry_index(s["l"], s["r"])))
+    there = F.filter(F.array(*map(both, BILATERAL)), lambda v: v.isNotNull())
+    return let(there, lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)).otherwise(0.0))
+
+
 def midpoint(a: Column, b: Column) -> Column:
     return F.struct(((a["x"] + b["x"]) / 2).alias("x"), ((a["y"] + b["y"]) / 2).alias("y"))
 

@@ -157,8 +157,13 @@ SCALES = {
 }
 
 
+#: Joints that an injury has watched; of a shoulder the elbow of its side, both where none is named.
+WATCHED = {"acl": ("left_knee", "right_knee"), "ankle": ("left_ankle", "right_ankle")}
+
+
 def injury_modifiers(injuries: DataFrame, keys: list[str]) -> DataFrame:
-    """Threshold scales of each person: the product of the factors of the injuries (type, severity) that touch a metric."""
+    """Threshold scales of each person, the product of the factors of the injuries (type, severity, side) that touch a metric, and
+    ``monitor_joints``, the joints to watch, once for each injury that names them."""
     factor = F.lit(SEVERITY["mild"])
     for name, value in SEVERITY.items():
         factor = F.when(F.col("severity") == name, value).otherwise(factor)
@@ -166,7 +171,26 @@ def injury_modifiers(injuries: DataFrame, keys: list[str]) -> DataFrame:
     for metric in ("fppa", "hip_drop", "trunk_lean", "asymmetry", "angular_velocity"):
         types = [t for t, m in SCALES.items() if metric in m]
         out.append(F.product(F.when(F.col("type").isin(*types), factor).otherwise(1.0)).alias(f"{metric}_scale"))
-    return injuries.groupBy(*keys).agg(*out)
+    side = F.coalesce(F.col("side"), F.lit("bilateral")) if "side" in injuries.columns else F.lit("bilateral")
+    elbow = lambda s: F.when((F.col("type") == "shoulder") & side.isin(s, "bilateral"), f"{s}_elbow")
+    joints = [F.when(F.col("type") == t, j) for t, names in WATCHED.items() for j in names]
+    watched = F.filter(F.array(*joints, elbow("left"), elbow("right")), lambda j: j.isNotNull())
+    return injuries.groupBy(*keys).agg(*out, F.array_sort(F.flatten(F.collect_list(watched))).alias("monitor_joints"))
+
+
+def joint_summary(scores: DataFrame, keys: list[str], joint: str, score: str, worst: int = 3) -> DataFrame:
+    """(keys, joints, worst): the mean score of each joint as a map, and the joints of the highest means, worst first."""
+    means = scores.groupBy(*keys, joint).agg(F.avg(score).alias("_m"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("_m")).alias("m"), F.col(joint).alias("j"))))
+    table = F.map_from_entries(F.collect_list(F.struct(F.col(joint), F.col("_m"))))
+    return means.groupBy(*keys).agg(table.alias("joints"), F.transform(F.slice(order, 1, worst), lambda s: s["j"]).alias("worst"))
+
+
+def team_averages(players: DataFrame, keys: list[str], player: str, risk: str, fatigue: str, limit: float = 70.0) -> DataFrame:
+    """(keys, mean, fatigue, over): a team's means of risk and fatigue, and its players (player, risk) over the limit, highest first."""
+    over = F.collect_list(F.when(F.col(risk) > limit, F.struct((-F.col(risk)).alias("r"), F.col(player).alias("p"))))
+    out = players.groupBy(*keys).agg(F.avg(risk).alias("mean"), F.avg(fatigue).alias("fatigue"), F.array_sort(over).alias("_o"))
+    return out.select(*keys, "mean", "fatigue", F.transform("_o", lambda o: F.struct(o["p"].alias("player"), (-o["r"]).alias("risk"))).alias("over"))
 
 
 def sequence_summary(scores: DataFrame, keys: list[str], score: str, sequences: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from kinetiq.operators import joins as J
 from kinetiq.operators import ordered as E
 from kinetiq.plans import adapters as V
 from kinetiq.plans.adapters import with_views
-from kinetiq.plans.base import KEY, ORACLES, ORDER, QUERIES, query, r
+from kinetiq.plans.base import KEY, ORACLES, ORDER, QUERIES, query, r, up
 from kinetiq.sources import frames as S
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -437,13 +437,15 @@ def b33_landmark_bbox(spark, d):
     return b.select("vec_id", *(r(f"b.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
-@query(with_views(""", w AS (SELECT vec_id, joints, l, h, sqrt((l.x - h.x) ** 2 + (l.y - h.y) ** 2) AS w FROM (SELECT *, joints[7] AS l, joints[8] AS h FROM pose14))
-SELECT vec_id, round(CASE WHEN joints[7].v >= 0.3 AND joints[9].v >= 0.3 THEN sqrt((joints[7].x - joints[9].x) ** 2 + (joints[7].y - joints[9].y) ** 2) / w ELSE 0 END, 4) AS thigh,
-round(CASE WHEN joints[9].v >= 0.3 AND joints[11].v >= 0.3 THEN sqrt((joints[9].x - joints[11].x) ** 2 + (joints[9].y - joints[11].y) ** 2) / w ELSE 0 END, 4) AS shank
-FROM w WHERE l.v >= 0.3 AND h.v >= 0.3 AND w >= 1e-6""", "pose14"))
+_LIMBS = ((0, 2), (2, 4), (1, 3), (3, 5), (6, 8), (8, 10), (7, 9), (9, 11), (0, 6), (1, 7))
+
+
+@query(with_views(f""", w AS (SELECT vec_id, joints AS j, sqrt((joints[7].x - joints[8].x) ** 2 + (joints[7].y - joints[8].y) ** 2) AS w FROM pose14 WHERE joints[7].v >= 0.3 AND joints[8].v >= 0.3)
+SELECT vec_id, (i - 1)::INT AS limb, round(CASE WHEN j[p[1] + 1].v >= 0.3 AND j[p[2] + 1].v >= 0.3 THEN sqrt((j[p[1] + 1].x - j[p[2] + 1].x) ** 2 + (j[p[1] + 1].y - j[p[2] + 1].y) ** 2) / w ELSE 0 END, 4) AS length
+FROM (SELECT *, unnest({[list(p) for p in _LIMBS]}) AS p, unnest(range(1, 11)) AS i FROM w WHERE w >= 1e-6)""", "pose14"))
 def b16_limb_lengths(spark, d):
-    x = V.pose14(spark, d).withColumn("l", G.limb_lengths(F.col("joints"), [(6, 8), (8, 10)], (6, 7))).filter("l is not null")
-    return x.select("vec_id", r(F.get("l", 0)).alias("thigh"), r(F.get("l", 1)).alias("shank"))
+    x = V.pose14(spark, d).withColumn("l", G.limb_lengths(F.col("joints"), list(_LIMBS), (6, 7))).filter("l is not null")
+    return x.select("vec_id", F.posexplode("l").alias("limb", "length")).withColumn("length", r("length"))
 
 
 @query(with_views(""", a AS (SELECT vec_id, joints, l, h, (l.x + h.x) / 2 AS px, (l.y + h.y) / 2 AS py, sqrt((l.x - h.x) ** 2 + (l.y - h.y) ** 2) AS w,
@@ -542,10 +544,15 @@ def d10_cluster_summary(spark, d):
     return s.groupBy("kind").agg(F.count("*").alias("n"), r(F.avg("x")).alias("mean"), F.count(F.when(F.col("velocity") >= 0.3, 1)).alias("anomalies"))
 
 
-@query("""SELECT c_nationkey AS team, round(avg(c_acctbal), 6) AS mean, count(*) FILTER (WHERE c_acctbal > 7000) AS over FROM customer GROUP BY 1""")
+_PLAYERS = "SELECT c_nationkey AS team, c_custkey AS player, c_acctbal / 100 AS risk, c_custkey % 100 AS fatigue FROM customer"
+
+
+@query(f"""SELECT team, round(avg(risk) OVER w, 6) AS mean, round(avg(fatigue) OVER w, 6) AS fatigue, player, round(risk, 4) AS risk FROM ({_PLAYERS}) WINDOW w AS (PARTITION BY team) QUALIFY risk > 70""")
 def d20_team_averages(spark, d):
-    c = V.table(spark, d, "customer")
-    return c.groupBy(F.col("c_nationkey").alias("team")).agg(r(F.avg("c_acctbal"), 6).alias("mean"), F.count(F.when(F.col("c_acctbal") > 7000, 1)).alias("over"))
+    """Each team's means, with its players over 70."""
+    c = V.table(spark, d, "customer").select(F.col("c_nationkey").alias("team"), F.col("c_custkey").alias("player"), (F.col("c_acctbal") / 100).alias("risk"), (F.col("c_custkey") % 100).alias("fatigue"))
+    t = A.team_averages(c, ["team"], "player", "risk", "fatigue")
+    return t.select("team", r("mean", 6).alias("mean"), r("fatigue", 6).alias("fatigue"), F.explode("over").alias("o")).select("team", "mean", "fatigue", "o.player", r("o.risk").alias("risk"))
 
 
 @query(with_views("SELECT subject_id, frame, round(x, 4) AS x FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY t DESC, frame DESC) AS n FROM signal) WHERE n <= 50", "signal"))
@@ -573,11 +580,15 @@ def b23_ground_impact(spark, d):
     return i.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r("i.peak_g").alias("peak_g"), r("i.probability", 6).alias("probability"))
 
 
-@query(with_views("""SELECT vec_id, round(CASE WHEN greatest(abs(a), abs(b)) < 1e-8 THEN 0 ELSE abs(a - b) / greatest(abs(a), abs(b)) * 100 END, 3) AS asymmetry
-FROM (SELECT vec_id, joints[9].y AS a, joints[10].y AS b FROM pose14)""", "pose14"))
+_ANGLE = """CASE WHEN {a}.v >= 0.3 AND {b}.v >= 0.3 AND {c}.v >= 0.3 THEN CASE WHEN sqrt(({a}.x - {b}.x) ** 2 + ({a}.y - {b}.y) ** 2) < 1e-8 OR sqrt(({c}.x - {b}.x) ** 2 + ({c}.y - {b}.y) ** 2) < 1e-8 THEN 180
+  ELSE degrees(acos(greatest(-1, least(1, (({a}.x - {b}.x) * ({c}.x - {b}.x) + ({a}.y - {b}.y) * ({c}.y - {b}.y)) / (sqrt(({a}.x - {b}.x) ** 2 + ({a}.y - {b}.y) ** 2) * sqrt(({c}.x - {b}.x) ** 2 + ({c}.y - {b}.y) ** 2)))))) END END"""
+_PAIRED = ", ".join(f"[{', '.join(_ANGLE.format(**{n: f'j[{i + 1}]' for n, i in zip('abc', chain)}) for chain in pair)}]" for pair in G.BILATERAL)
+
+
+@query(with_views(f"""SELECT vec_id, round(coalesce(list_avg([CASE WHEN greatest(abs(p[1]), abs(p[2])) < 1e-8 THEN 0 ELSE abs(p[1] - p[2]) / greatest(abs(p[1]), abs(p[2])) * 100 END FOR p IN a IF p[1] IS NOT NULL AND p[2] IS NOT NULL]), 0), 3) AS asymmetry
+FROM (SELECT vec_id, [{_PAIRED}] AS a FROM (SELECT vec_id, joints AS j FROM pose14))""", "pose14"))
 def b14_asymmetry_index(spark, d):
-    j = lambda i: F.get("joints", i)["y"]
-    return V.pose14(spark, d).select("vec_id", r(G.asymmetry_index(j(8), j(9)), 3).alias("asymmetry"))
+    return V.pose14(spark, d).select("vec_id", r(G.frame_asymmetry(F.col("joints")), 3).alias("asymmetry"))
 
 
 @query(with_views("""SELECT a.subject_id, a.frame, count(b.frame) AS covering FROM signal a LEFT JOIN (SELECT subject_id, t AS st, t + 86400 AS en, frame FROM signal WHERE kind = 'purchase') b
@@ -599,11 +610,12 @@ def b12_fppa(spark, d):
     return V.pose14(spark, d).select("vec_id", r(G.fppa(j(6), j(8), j(10)), 3).alias("fppa"))
 
 
-@query("""SELECT l_linenumber AS keypoint, CASE WHEN l_linenumber <= 4 THEN 'head_to_head' WHEN l_linenumber IN (5, 6) THEN 'head_to_shoulder' ELSE 'head_to_torso' END AS zone,
-CASE WHEN l_linenumber <= 4 THEN 0.7 WHEN l_linenumber IN (5, 6) THEN 0.4 ELSE 0.25 END::DOUBLE AS coupling, count(*) AS n FROM lineitem GROUP BY ALL""")
+@query("""SELECT l_partkey % 17 AS keypoint, CASE WHEN l_partkey % 17 <= 4 THEN 'head_to_head' WHEN l_partkey % 17 IN (5, 6) THEN 'head_to_shoulder' WHEN l_partkey % 17 IN (7, 8, 11, 12) THEN 'head_to_torso' ELSE 'head_to_limb' END AS zone,
+CASE WHEN l_partkey % 17 <= 4 THEN 0.7 WHEN l_partkey % 17 IN (5, 6) THEN 0.4 WHEN l_partkey % 17 IN (7, 8) THEN 0.25 WHEN l_partkey % 17 IN (11, 12) THEN 0.2 WHEN l_partkey % 17 IN (9, 10) THEN 0.15 ELSE 0.08 END::DOUBLE AS coupling, count(*) AS n FROM lineitem GROUP BY ALL""")
 def b20_contact_zone(spark, d):
-    t = V.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("keypoint"), P.contact_zone(F.col("l_linenumber")).alias("z"))
-    return t.groupBy("keypoint", F.col("z.zone").alias("zone"), F.col("z.coupling").alias("coupling")).agg(F.count("*").alias("n"))
+    t = V.table(spark, d, "lineitem").select((F.col("l_partkey") % 17).alias("keypoint"))
+    z = t.withColumn("z", P.contact_zone(F.col("keypoint")))
+    return z.groupBy("keypoint", F.col("z.zone").alias("zone"), F.col("z.coupling").alias("coupling")).agg(F.count("*").alias("n"))
 
 
 @query(with_views("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(100 / (1 + exp(-0.08::DOUBLE * (least(greatest(mass_a / 8 - 3, 0) / 12, 1) * 30 + least(greatest(mass_b - 30, 0) / 120, 1) * 25
@@ -614,11 +626,12 @@ def b24_concussion_composite(spark, d):
     return i.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r(p).alias("p"))
 
 
-@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT vec_id, list_avg(v[1:10]) AS a, list_max(v[1:10]) AS h, list_avg(v[11:20]) AS b, list_avg(v[21:30]) AS c FROM e)
-SELECT vec_id, floor((a * 0.6::DOUBLE + h * 0.4::DOUBLE) * 100)::BIGINT AS concussion, floor(b * 100)::BIGINT AS fatigue, floor((1 - c) * 100)::BIGINT AS recovery, floor(60 + b * 140)::BIGINT AS heart_rate FROM m""")
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT vec_id, list_avg(v[1:10]) AS a, list_max(v[1:10]) AS h, list_avg(v[11:20]) AS b, list_avg(v[21:30]) AS c, list_avg(v[31:40]) AS d, list_avg(v[41:50]) AS e FROM e)
+SELECT vec_id, floor((a * 0.6::DOUBLE + h * 0.4::DOUBLE) * 100)::BIGINT AS concussion, floor(b * 100)::BIGINT AS fatigue, floor((1 - c) * 100)::BIGINT AS recovery, floor(d * 100)::BIGINT AS movement, floor(e * 100)::BIGINT AS performance,
+  floor(60 + b * 140)::BIGINT AS heart_rate, round(h * 40, 1) AS collision_velocity, floor((1 - b * 0.5) * 100)::BIGINT AS hydration FROM m""")
 def b28_derive_metrics(spark, d):
     e = V.table(spark, d, "embeddings").select("vec_id", P.derive_metrics(F.col("embedding").cast("array<double>")).alias("m"))
-    return e.select("vec_id", "m.concussion", "m.fatigue", "m.recovery", "m.heart_rate")
+    return e.select("vec_id", "m.*")
 
 
 @query(with_views("""SELECT subject_id, frame, CASE WHEN p < 0.1 OR p > 0.9 THEN 'transition' WHEN p < 0.5 THEN 'ascending' ELSE 'descending' END AS phase
@@ -635,21 +648,33 @@ def b32_frame_phase_label(spark, d):
     return s.join(n, "subject_id").select(*KEY, *ORDER, G.frame_phase(F.col("frame"), F.col("n"), F.lit(1), F.col("velocity") >= 0.3).alias("phase"))
 
 
-@query(with_views("""SELECT kind, count(*) FILTER (WHERE x IS NOT NULL) AS cycles, round(avg(x), 4) AS mean, round(quantile_cont(x, 0.5), 4) AS median, round(max(x), 4) AS most FROM signal GROUP BY 1""", "signal"))
+@query(with_views(""", j AS (SELECT subject_id, kind, avg(x) AS m, row_number() OVER (PARTITION BY subject_id ORDER BY avg(x) DESC, kind) AS n FROM signal GROUP BY subject_id, kind),
+s AS (SELECT subject_id, count(x) AS cycles, round(avg(x) + 1e-9::DOUBLE, 4) AS mean, round(quantile_cont(x, 0.5) + 1e-9::DOUBLE, 4) AS median, round(max(x) + 1e-9::DOUBLE, 4) AS most FROM signal GROUP BY 1)
+SELECT s.*, kind AS joint, round(m + 1e-9::DOUBLE, 4) AS joint_mean, n <= 3 AS worst FROM s JOIN j USING (subject_id)""", "signal"))
 def d5_sequence_summary(spark, d):
-    out = A.sequence_summary(V.signal(spark, d), ["kind"], "x")
-    return out.select("kind", "cycles", r("mean").alias("mean"), r("median").alias("median"), r("most").alias("most"))
+    """Subjects as sequences, kinds of event as joints."""
+    s = V.signal(spark, d)
+    out = A.sequence_summary(s, KEY, "x").join(A.joint_summary(s, KEY, "kind", "x"), KEY)
+    rows = out.select(*KEY, "cycles", "mean", "median", "most", F.explode("joints").alias("joint", "joint_mean"), "worst")
+    return rows.select(*KEY, "cycles", "joint", *(up(F.col(c)).alias(c) for c in ("mean", "median", "most", "joint_mean")), F.array_contains("worst", F.col("joint")).alias("worst"))
+
+
+_INJURIES = """SELECT o_custkey % 500 AS user_id, ['acl', 'shoulder', 'lower_back', 'hip', 'hamstring', 'knee_general', 'ankle', 'unknown'][o_orderkey % 8 + 1] AS type, ['left', 'right', 'bilateral', NULL][o_orderkey // 8 % 4 + 1] AS side,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 0.65::DOUBLE WHEN '2-HIGH' THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END AS f FROM orders"""
 
 
-@query("""SELECT o_custkey % 500 AS user_id, round(product(CASE WHEN o_orderkey % 7 IN (0, 5) THEN f ELSE 1 END), 6) AS fppa, round(product(CASE WHEN o_orderkey % 7 IN (2, 3) THEN f ELSE 1 END), 6) AS hip_drop
-FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 0.65::DOUBLE WHEN '2-HIGH' THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END AS f FROM orders) GROUP BY 1""")
+@query("WITH i AS (" + _INJURIES + ") SELECT user_id, " + ", ".join(f"round(product(CASE WHEN type IN ({t}) THEN f ELSE 1 END), 6) AS {n}" for n, t in (("fppa", "'acl', 'knee_general'"), ("hip_drop", "'lower_back', 'hip'"), ("trunk_lean", "'lower_back'"), ("asymmetry", "'hamstring'"), ("angular_velocity", "'shoulder'")))
+  + """, count(*) FILTER (WHERE type = 'acl') * 2 + count(*) FILTER (WHERE type = 'ankle') * 2 + count(*) FILTER (WHERE type = 'shoulder' AND coalesce(side, 'bilateral') IN ('left', 'right')) + 2 * count(*) FILTER (WHERE type = 'shoulder' AND coalesce(side, 'bilateral') = 'bilateral') AS watched,
+  coalesce(bool_or(type = 'shoulder' AND coalesce(side, 'bilateral') <> 'right'), false) AS left_elbow FROM i GROUP BY 1""")
 def d23_injury_modifiers(spark, d):
-    kinds = F.array(*(F.lit(k) for k in ("acl", "shoulder", "lower_back", "hip", "hamstring", "knee_general", "unknown")))
+    pick = lambda n, *names: F.get(F.array(*(F.lit(k) for k in names)), n.cast("int"))
     severity = F.when(F.col("o_orderpriority") == "1-URGENT", "severe").when(F.col("o_orderpriority") == "2-HIGH", "moderate").otherwise("mild")
-    o = V.table(spark, d, "orders")
-    i = o.select((F.col("o_custkey") % 500).alias("user_id"), F.get(kinds, (F.col("o_orderkey") % 7).cast("int")).alias("type"), severity.alias("severity"))
+    kind = pick(F.col("o_orderkey") % 8, "acl", "shoulder", "lower_back", "hip", "hamstring", "knee_general", "ankle", "unknown")
+    side = pick(F.expr("o_orderkey div 8 % 4"), "left", "right", "bilateral", None)
+    i = V.table(spark, d, "orders").select((F.col("o_custkey") % 500).alias("user_id"), kind.alias("type"), severity.alias("severity"), side.alias("side"))
     m = A.injury_modifiers(i, ["user_id"])
-    return m.select("user_id", r("fppa_scale", 6).alias("fppa"), r("hip_drop_scale", 6).alias("hip_drop"))
+    names = ("fppa", "hip_drop", "trunk_lean", "asymmetry", "angular_velocity")
+    return m.select("user_id", *(r(f"{n}_scale", 6).alias(n) for n in names), F.size("monitor_joints").cast("long").alias("watched"), F.array_contains("monitor_joints", "left_elbow").alias("left_elbow"))
 
 
 from kinetiq.plans import cluster_queries, head_queries, live_queries, monitor_queries, people_queries, segment_queries, sequence_queries, skeleton_queries  # noqa: E402, F401  they register their queries

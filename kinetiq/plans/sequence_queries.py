@@ -159,11 +159,11 @@ t AS (SELECT subject_id, max(phase) AS top FROM r GROUP BY 1),
 a AS (SELECT cc.subject_id, cc.segment, cc.at, cc.f, floor(cc.at / (cc.length - 1)::DOUBLE * top)::BIGINT AS phase FROM cc JOIN t USING (subject_id)), j AS (SELECT a.*, rep FROM a JOIN r USING (subject_id, phase))"""
 
 
-@query(with_views(_REPS + " SELECT subject_id, segment, \"at\", phase, round(rep[1], 4) AS first FROM j", "feat"))
+@query(with_views(_REPS + " SELECT subject_id, segment, \"at\", phase, unnest(range(28))::INT AS dim, round(unnest(rep), 4) AS v FROM j", "feat"))
 def c6_align_to_representative(spark, d):
     f = _segments(spark, d, 12)
     out = Q.align_to_representative(f, Q.representatives(f, KEY, "segment"), KEY)
-    return out.select(*SEG, "at", "phase", r(F.get("rep", 0)).alias("first"))
+    return out.select(*SEG, "at", "phase", F.posexplode("rep").alias("dim", "v")).withColumn("v", r("v"))
 
 
 @query(with_views(_REPS + " SELECT subject_id, segment, \"at\", round(list_avg([greatest(0, 1 - sqrt((f[2*i+1] - rep[2*i+1]) ** 2 + (f[2*i+2] - rep[2*i+2]) ** 2)) FOR i IN range(14)]) * 100, 3) AS score FROM j", "feat"))
