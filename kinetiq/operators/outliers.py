@@ -20,55 +20,58 @@ def expected_depth(n: np.ndarray | float):
 
 
 class Forest:
-    """Trees as arrays of nodes: the feature and cut of a split, or the depth that a leaf stands for."""
+    """Trees as one array of nodes: the feature and cut of a split and its first child, or the depth that a leaf stands for.
+
+    All trees grow together, a level at a time; the first nodes are their roots.
+    """
 
     def __init__(self, x: np.ndarray, seed: int):
         rng = np.random.default_rng(seed)
         take = min(TREE_ROWS, len(x))
         self.unit = float(expected_depth(take))
-        self.trees = [self._tree(x[rng.choice(len(x), take, replace=False)], rng, math.ceil(math.log2(max(take, 2)))) for _ in range(TREES)]
+        rows = np.concatenate([rng.choice(len(x), take, replace=False) for _ in range(TREES)])
+        self._grow(x[rows], np.repeat(np.arange(TREES), take), rng, math.ceil(math.log2(max(take, 2))))
         self.border = 0.0
         self.border = float(np.percentile(self.scores(x), 100 * SHARE))
 
-    @staticmethod
-    def _tree(x: np.ndarray, rng, limit: int):
-        feature, cut, low, high, depth = [], [], [], [], []
-        todo = [(np.arange(len(x)), 0, -1, False)]
-        while todo:
-            rows, at, parent, right = todo.pop()
-            node = len(feature)
-            if parent >= 0:
-                (high if right else low)[parent] = node
-            own = x[rows]
-            lo, hi = own.min(axis=0), own.max(axis=0)
-            wide = np.flatnonzero(hi > lo)
-            split = at < limit and len(rows) > 1 and len(wide)
-            f = int(rng.choice(wide)) if split else -1
-            c = float(rng.uniform(lo[f], hi[f])) if split else 0.0
-            feature.append(f), cut.append(c), low.append(-1), high.append(-1)
-            depth.append(at + (0.0 if split else float(expected_depth(len(rows)))))
-            if split:
-                below = own[:, f] <= c
-                todo += [(rows[~below], at + 1, node, True), (rows[below], at + 1, node, False)]
-        return tuple(map(np.array, (feature, cut, low, high, depth)))
+    def _grow(self, own: np.ndarray, node: np.ndarray, rng, limit: int) -> None:
+        """``own`` rows stand in order of their ``node``, numbered within the level."""
+        feature, cut, low, depth, before = [], [], [], [], 0
+        for level in range(limit + 1):
+            count = np.bincount(node)
+            starts = np.cumsum(count) - count
+            lo, hi = np.minimum.reduceat(own, starts), np.maximum.reduceat(own, starts)
+            wide = hi > lo
+            split = wide.any(axis=1) & (level < limit)
+            f = (np.cumsum(wide, axis=1) > (rng.random(len(count)) * wide.sum(axis=1)).astype(int)[:, None]).argmax(axis=1)
+            lo, hi = lo[np.arange(len(f)), f], hi[np.arange(len(f)), f]
+            c = 2 * (lo / 2 + (hi / 2 - lo / 2) * rng.random(len(count)))
+            c = np.where((lo <= c) & (c < hi), c, lo)  # among neighbouring numbers a cut may round to the upper one
+            place = 2 * (np.cumsum(split) - 1)
+            feature.append(np.where(split, f, -1)), cut.append(c), low.append(before + len(count) + place)
+            depth.append(level + np.where(split, 0.0, expected_depth(count)))
+            before += len(count)
+            if not split.any():
+                break
+            own, node = own[split[node]], node[split[node]]
+            node = (place[node] + (own[np.arange(len(own)), f[node]] > c[node])).astype(np.int16)
+            order = np.argsort(node, kind="stable")
+            own, node = own[order], node[order]
+        self.feature, self.cut, self.low, self.depth = map(np.concatenate, (feature, cut, low, depth))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """The more usual a row, the larger; below 0 for the oddest tenth of the rows that the trees come from."""
-        total = np.zeros(len(x))
-        for feature, cut, low, high, depth in self.trees:
-            at = np.zeros(len(x), np.int64)
-            while (inner := feature[at] >= 0).any():
-                f = np.maximum(feature[at], 0)
-                down = np.where(x[np.arange(len(x)), f] <= cut[at], low[at], high[at])
-                at = np.where(inner, down, at)
-            total += depth[at]
-        return -(2.0 ** (-total / len(self.trees) / max(self.unit, 1e-12))) - self.border
+        at, rows = np.tile(np.arange(TREES), (len(x), 1)), np.arange(len(x))[:, None]
+        while ((f := self.feature[at]) >= 0).any():
+            at = np.where(f >= 0, self.low[at] + (x[rows, f] > self.cut[at]), at)
+        return -(2.0 ** (-self.depth[at].sum(axis=1) / TREES / max(self.unit, 1e-12))) - self.border
 
 
 def isolation_scan(features: str) -> Scan:
     def step(state, values):
         held, seen, forest = state
-        x = np.nan_to_num(np.array([list(v) for v in values], float))
+        x = np.array([list(v) for v in values], float)
+        x = np.where(np.isfinite(x), x, 0.0)
         out, i = np.full(len(x), np.nan), 0
         while i < len(x):
             j = min(len(x), i + EVERY - seen % EVERY)  # up to the row that fits anew
@@ -90,7 +93,7 @@ def isolation_scan(features: str) -> Scan:
 def isolation_score(df: DataFrame, keys: list[str], order: list[str], features: str) -> DataFrame:
     """Each row with ``isolation``, 0 to 1: how much easier random cuts part it from the last 300 rows than most of them.
 
-    Trees are seeded and fitted every 60 rows of a key on its last 300; before the first fit there is no score (null). Numbers that are none
-    count as 0. The scan is usable live (``isolation_scan``); its trees are not those of any other library.
+    Trees are seeded and fitted every 60 rows of a key on its last 300; before the first fit there is no score (null). Numbers that are none or
+    not finite count as 0. The scan is usable live (``isolation_scan``); its trees are not those of any other library.
     """
     return scan(df, keys, order, isolation_scan(features))

@@ -21,11 +21,13 @@ from kinetiq.operators.ordered import l2
 
 def per_key(df: DataFrame, keys: list[str], order: str, make: Callable[[pd.DataFrame], dict], out: str) -> DataFrame:
     """``make`` gives new columns for a key's rows in order: (keys, out). Lists of any length make rows."""
-    kinds = T.StructType([df.schema[k] for k in keys] + T._parse_datatype_string(out).fields)
+    added = T._parse_datatype_string(out).fields
+    kinds = T.StructType([df.schema[k] for k in keys] + added)
+    lists = {f.name: object for f in added if isinstance(f.dataType, T.ArrayType)}  # also where a key gives no rows
 
     def run(pdf):
         pdf = pdf.sort_values(order)
-        found = pd.DataFrame(make(pdf))
+        found = pd.DataFrame(make(pdf)).astype(lists)
         for i, k in enumerate(keys):
             found.insert(i, k, pdf[k].iloc[0])
         return found

@@ -98,6 +98,13 @@ def test_an_odd_row_is_easier_to_isolate(spark):
     assert {str(r) for r in again} == set(again_first)
 
 
+def test_rows_that_differ_by_rounding_are_parted(spark):
+    near = [0.1, float(np.nextafter(0.1, 1)), float("inf"), -1.7e308, 1.7e308]
+    df = spark.createDataFrame([(k, i, [near[i % (2 if k == 1 else 5)], 1.0]) for k in (1, 2) for i in range(130)], "k int, frame int, f array<double>")
+    rows = O.isolation_score(df, ["k"], ["frame"], "f").collect()
+    assert len(rows) == 260 and all(0 <= r.isolation <= 1 for r in rows if r.frame >= 59)
+
+
 def test_online_clusters_equal_a_loop(spark):
     base = rng.normal(0, 2, (4, 6))
     x = [base[i % 4] + rng.normal(0, 0.3 if i < 30 else 1.2, 6) for i in range(45)]
