@@ -47,6 +47,22 @@ def test_dbscan_equals_brute_force_whatever_the_cells(spark, monkeypatch):
     assert N.dbscan(df.limit(0), 1.0).collect() == []
 
 
+def test_dbscan_settles_points_by_a_sample_and_compares_only_the_rest(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL", 25)
+    monkeypatch.setattr(N, "BLOCK", 16)
+    x = np.concatenate([rng.normal(0, 0.5, (300, 3)), rng.normal(4, 0.4, (60, 3)), rng.uniform(-4, 8, (40, 3)), np.zeros((20, 3)), np.array([[0.8, 0, 0]] * 3)])
+    points = {int(i): v for i, v in zip(rng.permutation(len(x)), x)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in points.items()], "id long, v array<double>")
+    want = plain_dbscan(points, 0.8, 5)
+    met = []
+    compared = N._compared
+    monkeypatch.setattr(N, "_compared", lambda points, *rest: met.append(points.filter("not settled").count()) or compared(points, *rest))
+    for size in (1, 40, 100):
+        monkeypatch.setattr(N, "SAMPLE", size)
+        assert {r.id: (r.core, r.cluster) for r in N.dbscan(df, 0.8, 5).collect()} == want
+    assert max(met[-2:]) < len(x) // 2 <= min(met[:2])
+
+
 def cheapest(x, penalty, least):
     """The least cost over all ways to part a short series."""
     cost = lambda i, j: float(((x[i:j] - x[i:j].mean(axis=0)) ** 2).sum())
