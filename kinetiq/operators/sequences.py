@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from kinetiq.functions import signals as S
 from kinetiq.operators.cycles import resample
+from kinetiq.operators.joins import within
 from kinetiq.operators.ordered import l2
 
 
@@ -71,7 +72,7 @@ def segment_motions(df: DataFrame, boundaries: DataFrame, keys: list[str], index
     b = b.withColumn("end_valid", F.coalesce(F.lead("boundary").over(own), F.col("_n")))
     b = b.filter(F.col("end_valid") - F.col("boundary") >= least).withColumn("segment", F.row_number().over(own) - 1)
     b = b.select(*keys, "segment", F.col("boundary").alias("start_valid"), "end_valid")
-    rows = df.join(b, keys).filter((F.col(index) >= F.col("start_valid")) & (F.col(index) < F.col("end_valid")))
+    rows = within(df, b, keys, index, "start_valid", "end_valid")
     by = [*keys, "segment", "start_valid", "end_valid"]
     frames = rows.groupBy(*by).agg(F.min(frame).alias("start_frame"), F.max(frame).alias("end_frame"))
     return frames.join(_mean_vector(rows, by, features).withColumnRenamed(features, "mean_feature"), by)
@@ -122,12 +123,38 @@ def segment_distance(spectra: DataFrame, keys: list[str], segment: str, metric:
     return a.join(b, keys).filter("a < b").select(*keys, "a", "b", value.alias("distance"))
 
 
-def cluster_segments(segments: DataFrame, distances: DataFrame, keys: list[str], threshold: float = 2.0, fps: float = 30.0, linkage: str = "average") -> DataFrame:
+#: The same distances between blocks of segments as arrays: which of mean poses and spectra count.
+APART = {"mean_and_spectrum": ("mean", "spectrum"), "mean": ("mean",), "spectrum": ("spectrum",)}
+
+
+def segment_apart(spectra: pd.DataFrame, metric: str = "mean_and_spectrum") -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """``distance(rows, others)`` between rows of one sequence's ``segment_spectra``: a product of blocks for each part of the metric."""
+    parts = [_matrix(spectra, c) for c in APART[metric]]
+    squares, scale = [(x * x).sum(axis=1) for x in parts], np.sqrt(len(spectra["mean"].iat[0]))
+
+    def distance(rows, others):
+        total = 0.0
+        for x, s in zip(parts, squares):
+            gap = x[rows] @ (-2 * x[others].T)
+            gap += s[rows][:, None]
+            gap += s[others][None]
+            np.maximum(gap, 0, out=gap)
+            total = total + np.sqrt(gap, out=gap)
+        return total / scale
+
+    return distance
+
+
+def cluster_segments(segments: DataFrame, distances: DataFrame, keys: list[str], threshold: float = 2.0, fps: float = 30.0, linkage: str = "average", metric: str = "mean_and_spectrum") -> DataFrame:
     """Segments (from ``segment_motions``) with a cluster: (keys, start_valid, end_valid, start_frame, end_frame, cluster).
 
     Agglomerative clustering cut at ``threshold``; neighbours of one cluster become one; a cluster of one segment and under
     three seconds joins the nearest other by mean feature; clusters are numbered as they appear.
+
+    ``distances`` are the pairs of ``segment_distance``, or ``segment_spectra``, of which a key's distances are worked out a block at a
+    time (average linkage and the metrics of ``APART`` only), so that no table of all pairs is made.
     """
+    pairs = "distance" in distances.columns
     columns = ["start_valid", "end_valid", "start_frame", "end_frame"]
 
     def join_up(rows):
@@ -146,11 +173,15 @@ def cluster_segments(segments: DataFrame, distances: DataFrame, keys: list[str],
         if not len(left):
             return pd.DataFrame(columns=[*keys, *columns, "cluster"])
         left = left.sort_values("segment").reset_index(drop=True)
-        place = {s: i for i, s in enumerate(left["segment"])}
-        d = np.zeros((len(left), len(left)))
-        for a, b, v in right[["a", "b", "distance"]].itertuples(index=False):
-            d[place[a], place[b]] = d[place[b], place[a]] = v
-        labels = S.average_linkage(d, threshold, linkage)
+        if pairs:
+            place = {s: i for i, s in enumerate(left["segment"])}
+            d = np.zeros((len(left), len(left)))
+            for a, b, v in right[["a", "b", "distance"]].itertuples(index=False):
+                d[place[a], place[b]] = d[place[b], place[a]] = v
+            labels = S.average_linkage(d, threshold, linkage)
+        else:
+            apart = segment_apart(right.set_index("_segment").loc[left["segment"]], metric)
+            labels = S.linkage_by_blocks(apart, len(left), threshold)
         rows = [dict(zip(columns, r[:4]), mean=np.array(r[4], float), c=c) for r, c in zip(left[[*columns, "mean_feature"]].itertuples(index=False), labels)]
         rows = join_up(rows)
         seconds, means = {}, {}
@@ -160,7 +191,8 @@ def cluster_segments(segments: DataFrame, distances: DataFrame, keys: list[str],
         small = {c for c, s in seconds.items() if len(s) < 2 and sum(s) < 3.0}
         if small and len(small) < len(seconds):
             large = {c: np.mean(m, axis=0) for c, m in means.items() if c not in small}
-            nearest = {c: min(large, key=lambda o: float(np.linalg.norm(large[o] - np.mean(means[c], axis=0)))) for c in small}
+            names_of, centres = list(large), np.array(list(large.values()))
+            nearest = {c: names_of[int(np.linalg.norm(centres - np.mean(means[c], axis=0), axis=1).argmin())] for c in small}
             rows = join_up([r | {"c": nearest.get(r["c"], r["c"])} for r in rows])
         names: dict[int, int] = {}
         out = pd.DataFrame([{k: r[k] for k in columns} | {"cluster": names.setdefault(r["c"], len(names))} for r in rows])
@@ -170,7 +202,7 @@ def cluster_segments(segments: DataFrame, distances: DataFrame, keys: list[str],
 
     kinds = T.StructType([segments.schema[c] for c in [*keys, *columns]] + [T.StructField("cluster", T.IntegerType())])
     own = [f"_own{i}" for i in range(len(keys))]  # both sides may descend from one table, whose keys are then the same columns
-    right = distances.select(*(F.col(k).alias(o) for k, o in zip(keys, own)), "a", "b", "distance")
+    right = distances.select(*(F.col(k).alias(o) for k, o in zip(keys, own)), *(("a", "b", "distance") if pairs else (F.col("segment").alias("_segment"), "mean", "spectrum")))
     return segments.groupBy(*keys).cogroup(right.groupBy(*own)).applyInPandas(run, kinds)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinetiq.operators import cycles as C
+from kinetiq.operators import joins as J
 from kinetiq.operators import sequences as Q
 from kinetiq.plans import adapters as V
 from kinetiq.plans.adapters import with_views
@@ -85,10 +86,9 @@ def f8_cluster_segments(spark, d):
     f = V.feat(spark, d)
     every = f.filter("frame % 10 = 0").select("subject_id", F.col("frame").alias("boundary"))
     segments = Q.segment_motions(f, every, KEY, "frame", "frame", "f")
-    inside = f.join(segments.select(*SEG, "start_valid", "end_valid"), KEY).filter("frame >= start_valid and frame < end_valid")
+    inside = J.within(f, segments.select(*SEG, "start_valid", "end_valid"), KEY, "frame", "start_valid", "end_valid")
     inside = inside.withColumns({"at": F.expr("frame - start_valid"), "length": F.expr("end_valid - start_valid")})
-    distances = Q.segment_distance(Q.segment_spectra(inside, SEG), KEY, "segment")
-    return Q.cluster_segments(segments, distances, KEY, threshold=0.14, fps=5.0)
+    return Q.cluster_segments(segments, Q.segment_spectra(inside, SEG), KEY, threshold=0.14, fps=5.0)
 
 
 @query(with_views(""", n AS (SELECT subject_id, count(*) AS n FROM feat GROUP BY 1), x AS (SELECT subject_id, frame, unnest(range(28)) AS dim, unnest(f) AS v FROM feat),

@@ -2,8 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinetiq.functions import signals as S
+from kinetiq.operators import clusters as C
+from kinetiq.operators import joins as J
 from kinetiq.operators import sequences as Q
 
 
@@ -118,3 +121,47 @@ def test_new_metrics_and_distances(spark):
         assert [r.distance for r in Q.segment_distance(spectra, ["k"], "s", "first").collect()] == [3.0]
     finally:
         del Q.DISTANCES["first"]
+
+
+def test_linkage_by_blocks_equals_linkage_of_the_whole_matrix(monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(S, "HELD", 10)
+    monkeypatch.setattr(S, "BLOCK", 200)
+    for n in (1, 2, 40, 120):
+        x = rng.normal(0, 1, (n, 3))
+        d = np.linalg.norm(x[:, None] - x[None], axis=2)
+        met = []
+        apart = lambda a, b: met.append(len(a) * len(b)) or d[np.ix_(a, b)]
+        for limit in (0.3, 0.9, 2.0):
+            assert S.linkage_by_blocks(apart, n, limit) == S.average_linkage(d, limit)
+        assert max(met) <= max(200, n)
+
+
+def test_segments_of_spectra_cluster_as_those_of_pairs_and_spans_meet_only_near_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, i, [float(v) for v in rng.normal((i // 6) % 3, 0.3, 4)]) for k in (1, 2) for i in range(150)]
+    frames = spark.createDataFrame(rows, "k int, frame long, f array<double>")
+    marks = frames.filter("frame % 6 = 0").select("k", F.col("frame").alias("boundary"))
+    segments = Q.segment_motions(frames, marks, ["k"], "frame", "frame", "f")
+    inside = J.within(frames, segments.select("k", "segment", "start_valid", "end_valid"), ["k"], "frame", "start_valid", "end_valid")
+    assert inside.count() == 300
+    spans = spark.createDataFrame([(1, 0, 150), (1, 63, 65), (1, 64, 64), (2, 128, 999)], "k int, a int, b int")
+    assert J.within(frames, spans, ["k"], "frame", "a", "b").count() == 150 + 2 + 22
+    spectra = Q.segment_spectra(inside.withColumns({"at": F.expr("frame - start_valid"), "length": F.expr("end_valid - start_valid")}), ["k", "segment"])
+    pairs = Q.segment_distance(spectra, ["k"], "segment")
+    got = [Q.cluster_segments(segments, d, ["k"], threshold=1.0).orderBy("k", "start_valid").collect() for d in (spectra, pairs)]
+    assert got[0] == got[1] and len({r.cluster for r in got[0]}) == 3
+    near = lambda d: np.exp(-(d**2) / 2)
+    shares = pairs.withColumn("share", F.exp(-F.pow("distance", F.lit(2)) / 2))
+    two = [c.orderBy("k", "segment").collect() for c in (C.spectral_segments(spectra, ["k"], "segment", near), C.spectral_clusters(shares, spectra.select("k", "segment"), ["k"], "segment"))]
+    assert two[0] == two[1] and len({r.cluster for r in two[0]}) > 1
+
+
+def test_smallest_eigenvalues_are_the_same_without_the_others(monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, 1, (200, 3)) for c in (0, 5, 10)])
+    w = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / 8)
+    whole = C._smallest(w.copy(), 9)
+    monkeypatch.setattr(C, "DENSE", 100)
+    part = C._smallest(w.copy(), 9)
+    assert np.allclose(whole[0], part[0], atol=1e-9) and np.allclose(np.abs((whole[1] * part[1]).sum(axis=0)), 1, atol=1e-6)
