@@ -11,12 +11,13 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinetiq.functions import signals as S
 from kinetiq.operators.cycles import resample
 from kinetiq.operators.graphs import checkpointed
 from kinetiq.operators.scans import Scan, scan
-from kinetiq.operators.sequences import per_key
+from kinetiq.operators.sequences import per_key, segment_apart
 
 #: The low-pass filter of the Daubechies wavelet with four vanishing moments.
 DB4 = (
@@ -281,35 +282,95 @@ def co_association(runs: DataFrame, keys: list[str], item: str) -> DataFrame:
     return together.join(total, keys).select(*keys, "a", "b", (F.col("count") / F.col("_runs")).alias("share"))
 
 
+#: Items from which on the smallest eigenvalues are found without the others; vectors of a block and blocks at most.
+DENSE, WIDTH, STEPS = 2000, 16, 60
+
+
+def _smallest(w: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """The Laplacian's ``many`` smallest eigenvalues and their vectors; ``w`` (symmetric) is used up.
+
+    Beyond ``DENSE`` rows by block Lanczos, kept orthogonal, to residuals of 1e-10; all of them where that isn't reached.
+    """
+    size = 1 / np.sqrt(w.sum(axis=1))
+    w *= size[:, None]
+    w *= size[None]
+    n = len(w)
+    if n > DENSE:
+        rng = np.random.default_rng(0)
+        block = np.linalg.qr(np.column_stack([1 / size, rng.normal(size=(n, WIDTH - 1))]))[0]
+        basis, images = block, w @ block
+        for step in range(STEPS):
+            if step % 5 == 4:
+                values, inner = np.linalg.eigh(basis.T @ images)
+                top = inner[:, ::-1][:, :many]
+                if np.abs(images @ top - basis @ top * values[::-1][:many]).max() < 1e-10:
+                    return 1 - values[::-1][:many], basis @ top
+            block = images[:, -WIDTH:]
+            for _ in range(2):
+                block = block - basis @ (basis.T @ block)
+                block = np.linalg.qr(block)[0]
+            basis, images = np.hstack((basis, block)), np.hstack((images, w @ block))
+        del basis, images
+    np.negative(w, out=w)
+    w[np.arange(n), np.arange(n)] += 1
+    values, vectors = np.linalg.eigh(w)
+    return values[:many], vectors[:, :many]
+
+
+def _spectral(w: np.ndarray, k: int | None, most: int) -> list[int]:
+    """Clusters of items by their similarities, numbered as they appear."""
+    n, top = len(w), min(most, len(w) - 1)
+    values, vectors = _smallest(w, max(top + 1, min(k or 1, n)))
+    parts = k or (int(np.diff(values[: top + 1]).argmax()) + 1 if top >= 1 else 1)
+    x = vectors[:, : min(parts, n)]
+    x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+    starts = [0]
+    while len(starts) < min(parts, n):
+        starts.append(int(((x[:, None] - x[starts][None]) ** 2).sum(axis=2).min(axis=1).argmax()))
+    centres = x[starts]
+    for _ in range(50):
+        labels = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.array([x[labels == j].mean(axis=0) if (labels == j).any() else centres[j] for j in range(len(centres))])
+    names: dict[int, int] = {}
+    return [names.setdefault(int(c), len(names)) for c in labels]
+
+
 def spectral_clusters(similarity: DataFrame, items: DataFrame, keys: list[str], item: str, k: int | None = None, most: int = 8) -> DataFrame:
     """``items(keys, item)`` with ``cluster``: spectral clustering of a key's items by ``similarity(keys, a, b, share)``.
 
-    ``k`` parts, or as many as come before the largest gap of the Laplacian's smallest eigenvalues. A key is one recording's few segments.
+    ``k`` parts, or as many as come before the largest gap of the Laplacian's smallest eigenvalues. A key is one recording's segments; its
+    items and its pairs meet once, in one group.
     """
-    pairs = similarity.groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "share")).alias("_p"))
-    held = items.join(pairs, keys, "left")
+    own = [f"_own{i}" for i in range(len(keys))]  # both sides may descend from one table
+    pairs = similarity.select(*(F.col(c).alias(o) for c, o in zip(keys, own)), "a", "b", "share")
 
-    def make(p: pd.DataFrame) -> dict:
-        own = p[item].to_numpy()
-        place = {v: i for i, v in enumerate(own.tolist())}
-        w = np.eye(len(own))
-        for e in p["_p"].iat[0] if p["_p"].iat[0] is not None else ():
-            w[place[e["a"]], place[e["b"]]] = w[place[e["b"]], place[e["a"]]] = e["share"]
-        size = 1 / np.sqrt(w.sum(axis=1))
-        values, vectors = np.linalg.eigh(np.eye(len(w)) - size[:, None] * w * size[None])
-        top = min(most, len(w) - 1)
-        parts = k or (int(np.diff(values[: top + 1]).argmax()) + 1 if top >= 1 else 1)
-        x = vectors[:, : min(parts, len(w))]
-        x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
-        starts = [0]
-        while len(starts) < min(parts, len(w)):
-            starts.append(int(((x[:, None] - x[starts][None]) ** 2).sum(axis=2).min(axis=1).argmax()))
-        centres = x[starts]
-        for _ in range(50):
-            labels = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-            centres = np.array([x[labels == j].mean(axis=0) if (labels == j).any() else centres[j] for j in range(len(centres))])
-        names: dict[int, int] = {}
-        return {item: own, "cluster": [names.setdefault(int(c), len(names)) for c in labels]}
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame(columns=[*keys, item, "cluster"])
+        left = left.sort_values(item).reset_index(drop=True)
+        place = pd.Index(left[item])
+        a, b = place.get_indexer(right["a"]), place.get_indexer(right["b"])
+        w = np.eye(len(left))
+        w[a, b] = w[b, a] = right["share"].to_numpy(float)
+        return left[[*keys, item]].assign(cluster=np.array(_spectral(w, k, most), np.int32))
+
+    kinds = T.StructType([items.schema[c] for c in [*keys, item]] + [T.StructField("cluster", T.IntegerType())])
+    return items.select(*keys, item).groupBy(*keys).cogroup(pairs.groupBy(*own)).applyInPandas(run, kinds)
 
-    kind = items.schema[item].dataType.simpleString()
-    return per_key(held, keys, item, make, f"{item} {kind}, cluster int")
+
+def spectral_segments(spectra: DataFrame, keys: list[str], item: str, share: Callable[[np.ndarray], np.ndarray], k: int | None = None, most: int = 8, metric: str = "mean_and_spectrum") -> DataFrame:
+    """``spectral_clusters`` of segments (``segment_spectra``) whose similarity is ``share`` of their distance: a key's matrix is worked out
+    a block of rows at a time within its group, so that no table of all pairs is made."""
+
+    def make(p: pd.DataFrame) -> dict:
+        apart, n = segment_apart(p, metric), len(p)
+        w, step = np.empty((n, n)), max(1, (1 << 22) // n)
+        for i in range(0, n, step):
+            w[i : i + step] = share(apart(np.arange(i, min(n, i + step)), np.arange(n)))
+        for i in range(n):
+            w[i, i] = 1.0
+            w[i + 1 :, i] = w[i, i + 1 :]
+        return {item: p[item].to_numpy(), "cluster": _spectral(w, k, most)}
+
+    kind = spectra.schema[item].dataType.simpleString()
+    return per_key(spectra.select(*keys, item, "mean", "spectrum"), keys, item, make, f"{item} {kind}, cluster int")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kinetiq.operators import clusters as C
 from kinetiq.operators import heads as H
+from kinetiq.operators import joins as J
 from kinetiq.operators import outliers as O
 from kinetiq.operators import sequences as Q
 from kinetiq.plans import adapters as V
@@ -98,8 +100,7 @@ def f26_co_association(spark, d):
 @query()
 def f26_spectral_clusters(spark, d):
     spectra = Q.segment_spectra(_segments(spark, d), SEG)
-    pairs = Q.segment_distance(spectra, KEY, "segment").withColumn("share", F.exp(-F.pow(F.col("distance") / 0.1, 2) / 2))
-    return C.spectral_clusters(pairs, spectra.select(*SEG), KEY, "segment")
+    return C.spectral_segments(spectra, KEY, "segment", lambda d: np.exp(-((d / 0.1) ** 2) / 2))
 
 
 @query()
@@ -111,9 +112,9 @@ def f30_adaptive_resegment(spark, d):
         size = int(5 * seconds)
         marks = rows.filter(f"frame % {size} = 0").select("subject_id", F.col("frame").alias("boundary"))
         segments = Q.segment_motions(rows, marks, KEY, "frame", "frame", "f")
-        inside = rows.join(segments.select(*SEG, "start_valid", "end_valid"), KEY).filter("frame >= start_valid and frame < end_valid")
+        inside = J.within(rows, segments.select(*SEG, "start_valid", "end_valid"), KEY, "frame", "start_valid", "end_valid")
         inside = inside.withColumns({"at": F.expr("frame - start_valid"), "length": F.expr("end_valid - start_valid")})
-        return Q.cluster_segments(segments, Q.segment_distance(Q.segment_spectra(inside, SEG), KEY, "segment"), KEY, threshold=0.11, fps=30.0)
+        return Q.cluster_segments(segments, Q.segment_spectra(inside, SEG), KEY, threshold=0.11, fps=30.0)
 
     return C.adaptive_resegment(f, KEY, segmented, share=0.5, many=3).select(*KEY, "start_valid", "end_valid", "cluster", "run")
 
