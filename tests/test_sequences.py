@@ -151,8 +151,8 @@ def test_segments_of_spectra_cluster_as_those_of_pairs_and_spans_meet_only_near_
     pairs = Q.segment_distance(spectra, ["k"], "segment")
     got = [Q.cluster_segments(segments, d, ["k"], threshold=1.0).orderBy("k", "start_valid").collect() for d in (spectra, pairs)]
     assert got[0] == got[1] and len({r.cluster for r in got[0]}) == 3
-    near = lambda d: np.exp(-(d**2) / 2)
-    shares = pairs.withColumn("share", F.exp(-F.pow("distance", F.lit(2)) / 2))
+    near = lambda d: np.exp(-((d / 0.2) ** 2) / 2)
+    shares = pairs.withColumn("share", F.exp(-F.pow(F.col("distance") / 0.2, 2) / 2))
     two = [c.orderBy("k", "segment").collect() for c in (C.spectral_segments(spectra, ["k"], "segment", near), C.spectral_clusters(shares, spectra.select("k", "segment"), ["k"], "segment"))]
     assert two[0] == two[1] and len({r.cluster for r in two[0]}) > 1
 
