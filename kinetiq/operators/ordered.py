@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -52,10 +53,16 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], step: Callabl
 _BLOCK = 256
 
 
+@functools.lru_cache(maxsize=64)
+def _powers(keep: float) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``keep``, and those of the distances of a block's rows below its diagonal."""
+    powers, at = keep ** np.arange(_BLOCK + 1), np.arange(_BLOCK)
+    return powers, np.tril(powers[np.abs(np.subtract.outer(at, at))])
+
+
 def recurrence(x: np.ndarray, keep: float, before: float) -> np.ndarray:
     """y = x + keep * y before, as a triangular product per block of rows."""
-    powers = keep ** np.arange(_BLOCK + 1)
-    lower = np.tril(powers[np.abs(np.subtract.outer(np.arange(min(_BLOCK, len(x))), np.arange(min(_BLOCK, len(x)))))])
+    powers, lower = _powers(float(keep))
     out = np.empty(len(x))
     for i in range(0, len(x), _BLOCK):
         part = x[i : i + _BLOCK]

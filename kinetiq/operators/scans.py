@@ -26,6 +26,25 @@ def scan(df: DataFrame, keys: list[str], order: list[str], s: Scan) -> DataFrame
     return ordered_scan(df, keys, order, s.step, s.init, s.out, s.needs)
 
 
+def chained(scans: list[Scan]) -> Scan:
+    """Several recurrences in one pass over the rows; each may need columns that an earlier one gives."""
+    names = [[field.split()[0] for field in s.out.split(",")] for s in scans]
+    needs: list[str] = []
+    for k, s in enumerate(scans):
+        made = {n for given in names[:k] for n in given}
+        needs += [c for c in s.needs if c not in made and c not in needs]
+
+    def step(states, *arrays):
+        columns, states, out = dict(zip(needs, arrays)), list(states), []
+        for k, s in enumerate(scans):
+            states[k], found = s.step(states[k], *(columns[c] for c in s.needs))
+            columns |= zip(names[k], found)
+            out += found
+        return states, tuple(out)
+
+    return Scan(needs, ", ".join(s.out for s in scans), lambda: [s.init() for s in scans], step)
+
+
 def _matrix(values) -> np.ndarray:
     return np.array([list(v) for v in values], float)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,24 @@ def test_quality_does_not_depend_on_micro_batches(spark, tmp_path):
     assert rows_of(live, *columns) == whole
 
 
+def test_a_table_of_frames_is_dealt_once_for_all_scans(spark):
+    plan = Q.quality(Q.quality_frames(spark, TABLES))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+
+
+def test_heads_of_a_whole_sequence_are_worked_out_by_subject(monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = pd.DataFrame({"subject_id": rng.integers(0, 3, 60), "x": rng.normal(0, 1, 60), "y": rng.normal(0, 1, 60), "ear": rng.uniform(-3, 3, 60)})
+    rows.loc[rng.choice(60, 9, replace=False), "x"] = None
+    plain, want = {}, []
+    for r in rows.itertuples():
+        want.append(L.H.head_frames(plain.setdefault(r.subject_id, L.H.HeadState()), *(np.array([v]) for v in (r.x, r.y, r.ear)), 1 / 30)[0] if r.x == r.x else np.full(5, np.nan))
+    calls, frames = [], L.H.head_frames
+    monkeypatch.setattr(L.H, "head_frames", lambda *a: calls.append(1) or frames(*a))
+    got = np.stack(L.HeadImpacts().whole(rows)["head"])
+    assert len(calls) == 3 and np.allclose(got, np.stack(want), atol=1e-9, equal_nan=True)
+
+
 def test_scans_equal_the_windows_of_the_batch_operators(spark):
     frames = Q.quality_frames(spark, TABLES)
     whole = Q.quality(frames)
