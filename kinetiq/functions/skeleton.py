@@ -151,8 +151,8 @@ def has_real_depth(marks: Column) -> Column:
 
 
 def feature_vector(joints: Column, at: tuple[int, ...], parts: str = "xyz") -> Column:
-    """The chosen joints' coordinates one after another."""
-    return F.array(*(F.get(joints, i)[c] for i in at for c in parts))
+    """The chosen joints' coordinates one after another; ``joints`` are worked out once for all of them."""
+    return let(joints, lambda p: F.array(*(F.get(p, i)[c] for i in at for c in parts)))
 
 
 def trajectory(frames: DataFrame, keys: list[str], order: list[str], values: str) -> DataFrame:

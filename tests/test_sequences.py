@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinetiq.functions import signals as S
+from kinetiq.functions import skeleton as K
 from kinetiq.operators import clusters as C
 from kinetiq.operators import joins as J
 from kinetiq.operators import sequences as Q
@@ -165,3 +166,11 @@ def test_smallest_eigenvalues_are_the_same_without_the_others(monkeypatch):
     monkeypatch.setattr(C, "DENSE", 100)
     part = C._smallest(w.copy(), 9)
     assert np.allclose(whole[0], part[0], atol=1e-9) and np.allclose(np.abs((whole[1] * part[1]).sum(axis=0)), 1, atol=1e-6)
+
+
+def test_joints_of_a_feature_vector_are_worked_out_once(spark):
+    df = spark.createDataFrame([(1, [{"x": 1.0, "y": 2.0}, {"x": 3.0, "y": 4.0}])], "k int, p array<struct<x:double,y:double>>")
+    moved = F.transform("p", lambda j: j.withField("x", j["x"] + 12345.678))
+    out = df.select(K.feature_vector(moved, (0, 1), "xy").alias("f"))
+    assert out.first().f == [12346.678, 2.0, 12348.678, 4.0]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("12345.678") == 1
