@@ -116,10 +116,20 @@ def _relabelled(rows: DataFrame, joined: DataFrame) -> DataFrame:
     return named.select(*rows.columns)
 
 
-def _several(rows: DataFrame, by: list[str], *more) -> DataFrame:
-    """The rows of those combinations of ``by`` that hold several components, with what ``more`` counts of them."""
-    counts = rows.groupBy(*by).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *more).filter("lo < hi")
-    return rows.join(counts, by)
+def _apart(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of those combinations of ``by`` that hold a pair of different components which ``_once`` may give to them.
+
+    Under the key of any but a segment's lowest bit that takes two fingerprints that differ in this bit.
+    """
+    bit = F.shiftright("key", 32).cast("int")
+    lowest = F.lit(False)
+    for low, _ in SEGMENTS:
+        lowest = lowest | (bit == low)
+    side = F.expr("(shiftrightunsigned(fp, cast(shiftright(key, 32) as int)) & 1L) = 1L")
+    ends = [(f(F.when(on, F.col("c"))).alias(n)) for f, on, n in ((F.min, side, "lo1"), (F.max, side, "hi1"), (F.min, ~side, "lo0"), (F.max, ~side, "hi0"))]
+    counts = rows.groupBy(*by).agg(*ends)
+    across = "lo0 is not null and lo1 is not null and least(lo0, lo1) < greatest(hi0, hi1)"
+    return rows.join(counts.filter((lowest & F.expr("least(lo0, lo1) < greatest(hi0, hi1)")) | F.expr(across)).select(*by), by)
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -160,7 +170,7 @@ def links(fps: DataFrame) -> DataFrame:
     second = components(pairs.union(star.select("c", "head.c").distinct().toDF("a", "b")))
     earlier, labelled = labelled, cut(_relabelled(labelled, second), "labelled")
 
-    left = cut(_several(_refined(_relabelled(crowded, second).repartition("fp")), by).select(*by, "rest", "fp", "c"), "mixed")
+    left = cut(_apart(_refined(_relabelled(crowded, second).repartition("fp")), by).select(*by, "rest", "fp", "c"), "mixed")
     right = left.toDF(*(f"r_{k}" for k in by), "rest2", "fp2", "c2")
     same = [F.col(k) == F.col(f"r_{k}") for k in by]
     full = left.join(right, [*same, F.col("c") < F.col("c2"), _close("fp", "fp2"), _once()])

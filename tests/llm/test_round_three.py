@@ -175,3 +175,12 @@ def test_every_linked_pair_meets_in_one_cell():
     at_home = np.arange(30)[None] == home[:, None]
     for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.98, 1))):
         assert (member[i] & member[j] & (at_home[i] | at_home[j])).sum() == 1
+
+
+def test_refined_keys_keep_only_rows_that_a_pair_needs(spark):
+    from kinetiq.llm import simhash
+
+    bit = lambda b: b << 32
+    rows = [(bit(1), 0b00, 1), (bit(1), 0b01 << 30, 2), (bit(2), 0b000, 1), (bit(2), 0b100, 2), (bit(0), 0, 1), (bit(0), 1 << 40, 2), (bit(3), 0, 1), (bit(3), 8, 1)]
+    df = spark.createDataFrame(rows, "key long, fp long, c long")
+    assert sorted(r.key >> 32 for r in simhash._apart(df, ["key"]).collect()) == [0, 0, 2, 2]  # bit 1 is alike, bit 3 of one component
