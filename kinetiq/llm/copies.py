@@ -3,8 +3,9 @@
 A fingerprint of 64 bits cannot find these: at that similarity two differ by about ten bits, and segments short enough to
 survive so many say nothing. Candidates come from ``BANDS`` bands of ``ROWS`` minimal hashes instead, which miss a pair at
 exactly 0.8 with a probability under 1e-7 and a closer one with less, and every candidate pair is verified on whole sets.
-Texts under a band are first linked to a few of them; a band whose texts then lie in one component adds nothing, and of
-the others only texts of different components meet, each pair under one band.
+Texts under a band are first linked to one of them; a band whose texts then lie in one component adds nothing. Texts of the
+others meet by their rarest shared shingles (a prefix filter with places), which misses no pair: in a large group of copies
+that lie just under 0.8 of each other a band holds nearly all pairs, a rare shingle few.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .substring import Hashes
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
-#: Texts of a band that all its others meet first.
-ROUNDS = 1
+#: Bits that bound from below in how many shingles two texts differ; of use for texts of up to some two thousand words.
+PARITIES = 512
 _RNG = np.random.default_rng(11)
 _TURN, _TIMES = (_RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
 _TIMES |= np.uint64(1)
@@ -82,26 +83,67 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sets(text: str | None) -> tuple[np.ndarray]:
-    return (shingles(words_of(text)),)
+def _sets(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles, and for each of PARITIES classes of them whether their number is odd.
+
+    Two texts differ in at least as many shingles as in such bits.
+    """
+    found = shingles(words_of(text))
+    odd = np.bincount(found.view(np.uint64) % np.uint64(PARITIES), minlength=PARITIES).astype(np.uint8) & 1
+    return found, np.packbits(odd).view(np.int64)
+
+
+def _all_sets(met: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(tk, s, k): the shingles and parities of the texts of ``met(tk)``. ``nodes`` names a row (doc_id, th) of each key."""
+    need = cut(nodes.select("tk", "doc_id", "th").join(met.select("tk").distinct(), "tk", "left_semi"), "need")
+    texts = rows.join(need, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("tk", "text")
+    sets = cut(mapped(texts, _sets, "s array<long>, k array<long>"), "sets")
+    drop(need)
+    return sets
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of ``pairs(a, b)`` of text keys, those that are similar enough. ``nodes`` names a row (doc_id, th) of each key."""
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of ``pairs(a, b)`` of text keys, those that are similar enough."""
     pairs = cut(pairs.distinct(), "pairs")
-    both = pairs.select(F.col("a").alias("tk")).union(pairs.select("b")).distinct()
-    need = cut(nodes.select("tk", "doc_id", "th").join(both, "tk", "left_semi"), "need")
-    texts = rows.join(need, ["doc_id", "th"]).select("tk", "text")
-    sets = cut(mapped(texts, _sets, "s array<long>").dropDuplicates(["tk"]), "sets")
-    met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    met = pairs.join(sets.select(F.col("tk").alias("a"), F.col("s").alias("x")), "a")
+    met = met.join(sets.select(F.col("tk").alias("b"), F.col("s").alias("y")), "b")
     found = cut(met.filter("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b"), "similar")
-    for table in (pairs, need, sets):
-        drop(table)
-    del both, texts, sets, met
-    forget(rows.sparkSession)
+    drop(pairs)
+    del met
+    forget(sets.sparkSession)
     return found
 
 
+def _candidates(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``texts(tk, c)`` with different c, among them all that are similar.
+
+    Only shingles of several components can be common to a pair. A text's are ordered by how many texts have them, the rarest
+    first. What two texts have in common lies behind the first common one in both orders, so that it bounds their number by
+    what follows there, r: a pair has to meet under a shingle where both have enough left for their sizes. That
+    takes four fifths of a text's own size at least, so only the places before that are kept. Pairs whose parities show that
+    they differ in over a ninth of their shingles together (a similarity of 0.8) are left out.
+    """
+    keyed = texts.join(sets.select("tk", "s"), "tk").select("tk", "c", F.size("s").alias("n"), F.explode("s").alias("e")).repartition("e")
+    several = keyed.groupBy("e").agg(F.count("*").alias("many"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+    shared = keyed.join(several.select("e", "many"), "e").groupBy("tk", "c", "n")
+    ordered = shared.agg(F.array_sort(F.collect_list(F.struct("many", "e"))).alias("es")).filter("5 * size(es) >= 4 * n")
+    places = F.posexplode(F.expr("slice(es, 1, size(es) - cast((4 * n + 4) div 5 as int) + 1)")).alias("at", "p")
+    posts = cut(ordered.select("tk", "c", "n", F.size("es").alias("u"), places).select("tk", "c", "n", F.expr("u - at").alias("r"), "p.e"), "posts")
+    least = posts.groupBy("e").agg(F.min("n").alias("least"))
+    able = posts.join(least, "e").filter("9 * r >= 4 * (n + least)").select("tk", "c", "n", "r", "e")
+    mixed = able.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("e")
+    able = able.join(mixed, "e", "left_semi").join(sets.select("tk", "k"), "tk")
+    left = cut(able.select("tk", "c", "n", "r", "e", "k"), "prefixes")
+    drop(posts)
+    right = left.toDF("tk2", "c2", "n2", "r2", "e2", "k2")
+    odd = " + ".join(f"bit_count(k[{i}] ^ k2[{i}])" for i in range(PARITIES // 64))
+    close = F.expr(f"c < c2 and 9 * least(r, r2) >= 4 * (n + n2) and 9 * ({odd}) <= n + n2")
+    full = left.join(right, (F.col("e") == F.col("e2")) & close)
+    pairs = cut(full.select(F.col("tk").alias("a"), F.col("tk2").alias("b")).distinct(), "candidates")
+    drop(left)
+    return pairs
+
+
 def _named(met: DataFrame, edges: DataFrame) -> DataFrame:
     """``met`` with the component c that each text is known to lie in, of those bands that still hold several."""
     found = components(edges).select(F.col("node").alias("tk"), F.col("component").alias("c"))
@@ -113,9 +155,9 @@ def _named(met: DataFrame, edges: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """``nodes(tk, n, b, doc_id, th)``, a row per key -> ``(a, b)`` that connect all texts that similar pairs connect.
 
-    n is the number of a text's shingles, b its bands, and (doc_id, th) names a row of ``rows(doc_id, th, text)``. In each
-    round every text of a band meets one of its texts: the one that meets most others under all its bands, which is the likely source
-    of a group of copies, and then that of those that it hasn't been joined to. Pairs that are left meet under one of their bands.
+    n is the number of a text's shingles, b its bands, and (doc_id, th) names a row of ``rows(doc_id, th, text)``. First
+    every text of a band meets one of its texts: the one that meets most others under all its bands, which is the likely source
+    of a group of copies. The texts of bands that then hold several components meet by ``_candidates``.
     """
     posts = nodes.select("tk", F.explode("b").alias("h"))
     shared = posts.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1")
@@ -124,26 +166,13 @@ def links(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     degrees = met.groupBy("tk").agg(F.sum("many").alias("degree"))
     met2 = cut(met.join(degrees, "tk").select("h", "tk", "n", "degree"), "met")
     drop(met)
-    possible = F.expr("5 * least(n, n2) >= 4 * greatest(n, n2)")
-    of_two = F.max(F.struct("degree", "tk", "n", "c"))
-    sure, left = None, met2.withColumn("c", F.col("tk"))
-    for _ in range(ROUNDS):
-        hub = left.groupBy("h").agg(of_two.alias("p"))
-        if sure is not None:  # the next one is not yet joined to the first
-            apart = left.join(hub.select("h", F.col("p.c").alias("pc")), "h").filter("c <> pc")
-            hub = apart.groupBy("h").agg(of_two.alias("p"))
-        hub = hub.select("h", F.col("p.tk").alias("tk2"), F.col("p.n").alias("n2"), F.col("p.c").alias("c2"))
-        star = left.join(hub, "h").filter(F.expr("tk <> tk2 and c <> c2") & possible)
-        found = _verified(star.select(F.least("tk", "tk2").alias("a"), F.greatest("tk", "tk2").alias("b")), nodes, rows)
-        sure = found if sure is None else sure.union(found)
-        left = cut(_named(met2, sure), "mixed")
-        if left.isEmpty():
-            return sure
-    bands_of = left.groupBy("tk").agg(F.collect_set("h").alias("hs"))
-    left = cut(left.join(bands_of, "tk").select("h", "tk", "n", "c", "hs"), "mixed")
-    right = left.select(F.col("h").alias("h2"), F.col("tk").alias("tk2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("hs").alias("hs2"))
-    once = F.array_min(F.array_intersect("hs", "hs2")) == F.col("h")
-    full = left.join(right, (F.col("h") == F.col("h2")) & F.expr("c < c2") & possible & once)
-    more = _verified(full.select(F.col("tk").alias("a"), F.col("tk2").alias("b")), nodes, rows)
-    drop(met2), drop(left)
+    sets = _all_sets(met2, nodes, rows)
+    hub = met2.groupBy("h").agg(F.max(F.struct("degree", "tk", "n")).alias("p"))
+    hub = hub.select("h", F.col("p.tk").alias("tk2"), F.col("p.n").alias("n2"))
+    star = met2.join(hub, "h").filter("tk <> tk2 and 5 * least(n, n2) >= 4 * greatest(n, n2)")
+    sure = _verified(star.select(F.least("tk", "tk2").alias("a"), F.greatest("tk", "tk2").alias("b")), sets)
+    left = cut(_named(met2.select("h", "tk"), sure).select("tk", "c").distinct(), "mixed")
+    drop(met2)
+    more = _verified(_candidates(left, sets), sets)
+    drop(left), drop(sets)
     return sure.union(more)

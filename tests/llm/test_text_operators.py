@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from kinetiq.llm import decontam, packing, pii, simhash, substring, tokens, toxicity
+from kinetiq.llm import copies, decontam, packing, pii, simhash, substring, tokens, toxicity
 from kinetiq.llm.components import components
 from kinetiq.llm.ranks import number_within
 from kinetiq.llm.tokens import Encoder
@@ -131,6 +131,22 @@ def test_kept_documents_against_all_shingle_sets(spark):
     assert simhash.keep_one(docs(spark, [])).count() == 0
 
 
+def test_copies_just_too_far_apart_meet_in_few_pairs(spark, monkeypatch):
+    base, rng = words(150, 77), np.random.default_rng(7)
+    texts = []
+    for k in range(150):  # far from the source and from each other, but under common bands; every tenth has a copy nearby
+        w = list(base)
+        for at in rng.choice(150, 2 + k % 2, replace=False):
+            w[at] = f"z{rng.integers(0, 40)}"
+        texts.append((2 * k, " ".join(w)))
+        if k % 10 == 0:
+            texts.append((2 * k + 1, " ".join(w[:75] + ["own"] + w[76:])))
+    met, verified = [], copies._verified
+    monkeypatch.setattr(copies, "_verified", lambda pairs, *more: met.append(pairs.distinct().count()) or verified(pairs, *more))
+    assert {r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect()} == slow_kept(texts)
+    assert met[-1] < 2 * len(texts), met
+
+
 def test_a_repeated_id_does_not_hide_another_text(spark):
     a, b, c = (" ".join(words(60, s)) for s in (501, 502, 503))
     rows = [(1, a), (1, b), (2, b), (3, c), (3, c)]
