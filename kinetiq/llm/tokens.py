@@ -27,7 +27,7 @@ BORDER = regex.compile(r"(?<!\s) (?!\s)")
 #: Characters whose classes no version of the rule's tables tells apart are below this one.
 SETTLED = "\u0250"
 #: Pieces and words that a process remembers (it starts anew beyond that), and bytes of text that it works on at once.
-PIECES, WORDS, SLICE = 400_000, 100_000, 4 << 20
+PIECES, WORDS, SLICE = 800_000, 100_000, 8 << 20
 
 _ENCODERS: dict = {}
 
@@ -142,8 +142,13 @@ class Encoder:
         ends = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.flatten().dictionary_encode()
         pieces, known = coded.dictionary.to_pylist(), self.after_space
-        passing = self._learn(pieces)
-        numbers = np.fromiter((known[p] if p in known else passing[p] for p in pieces), np.int32, len(pieces))
+        found = list(map(known.get, pieces))
+        new = [i for i, number in enumerate(found) if number is None]
+        passing = self._learn([pieces[i] for i in new])
+        for i in new:
+            p = pieces[i]
+            found[i] = known[p] if p in known else passing[p]
+        numbers = np.array(found, np.int32)
         numbers = numbers[coded.indices.to_numpy()]
         heads = coded.dictionary.take(coded.indices.take(pa.array(ends[:-1]))).to_pylist()
         heads = [self._whole(uncut[i]) if i in uncut else self._encoded(h) if h else () for i, h in enumerate(heads)]

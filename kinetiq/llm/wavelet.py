@@ -34,9 +34,9 @@ def part_planes(ids: np.ndarray, levels: int):
     for shift in range(levels - 1, -1, -1):
         bit = (ids >> ids.dtype.type(shift)).astype(np.uint8) & 1
         bit = bit.view(bool)
-        low = ids[~bit]
+        low, high = np.flatnonzero(~bit), np.flatnonzero(bit)  # on mixed bits places are several times faster than masks
         yield bit, len(low)
-        ids = np.concatenate((low, ids[bit]))
+        ids = np.concatenate((ids.take(low), ids.take(high)))
 
 
 def join_planes(planes: list[np.ndarray], zeros: list[int], n: int, dtype=np.uint16) -> np.ndarray:
@@ -44,8 +44,8 @@ def join_planes(planes: list[np.ndarray], zeros: list[int], n: int, dtype=np.uin
     ids = np.zeros(n, dtype)
     for level, (bit, zero) in enumerate(zip(reversed(planes), reversed(zeros))):
         up = np.empty(n, dtype)
-        up[~bit] = ids[:zero]
-        up[bit] = ids[zero:] | dtype(1 << level)
+        up[np.flatnonzero(~bit)] = ids[:zero]
+        up[np.flatnonzero(bit)] = ids[zero:] | dtype(1 << level)
         ids = up
     return ids
 

@@ -147,6 +147,22 @@ def test_copies_just_too_far_apart_meet_in_few_pairs(spark, monkeypatch):
     assert met[-1] < 2 * len(texts), met
 
 
+def test_many_words_are_encoded_once():
+    letters = [chr(97 + i) for i in range(26)]
+    some = [f"{a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters][:430_000]
+    texts = pa.array([" ".join(some[k::4]) for k in range(4)])
+    encoder, calls = Encoder(), []
+
+    class Counted:
+        def __init__(self, model):
+            self.tokenize = lambda s: calls.append(s) or model.tokenize(s)
+
+    first = [ids.tolist() for ids, _ in encoder.batch(texts)]
+    encoder.model = Counted(encoder.model)
+    assert [ids.tolist() for ids, _ in encoder.batch(texts)] == first
+    assert len(calls) < 1000
+
+
 def test_a_repeated_id_does_not_hide_another_text(spark):
     a, b, c = (" ".join(words(60, s)) for s in (501, 502, 503))
     rows = [(1, a), (1, b), (2, b), (3, c), (3, c)]
